@@ -27,6 +27,11 @@ _SPACES = r"[\x20\x09-\x0D]+"
 _MOD = 1 << 32
 
 
+def _short(dense: Column) -> Column:
+    """Dense lanes as signed 32-bit numbers, half as wide on the way."""
+    return F.transform(dense, lambda x: (x - F.when(x >= _MOD // 2, _MOD).otherwise(0)).cast("int"))
+
+
 def paragraphs(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
 
@@ -76,7 +81,7 @@ def cosine(a: Column, b: Column) -> Column:
 def printed(dense: Column, sketch: Column) -> Column:
     hexed = lambda width: lambda x: F.lpad(F.lower(F.hex(x)), width, "0")
     lanes = F.transform(sketch, lambda x: (x.cast("long") + 65536) % 65536)
-    return F.concat(F.array_join(F.transform(dense, hexed(8)), ""), F.lit("-"), F.array_join(F.transform(lanes, hexed(4)), ""))
+    return F.concat(F.array_join(F.transform(dense, lambda x: hexed(8)((x.cast("long") + _MOD) % _MOD)), ""), F.lit("-"), F.array_join(F.transform(lanes, hexed(4)), ""))
 
 
 def neighbours(ids: DataFrame, stash: Stash) -> DataFrame:
@@ -91,6 +96,10 @@ def neighbours(ids: DataFrame, stash: Stash) -> DataFrame:
     return ranged.withColumn("inside", inside).join(F.broadcast(ends), "range").select("id", "n_chars", F.coalesce("inside", "below", "highest").alias("next_id"))
 
 
+def _sha(column: str) -> Column:
+    return F.unhex(F.sha2(column, 256))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; see the module."""
     spark = docs.sparkSession
@@ -99,11 +108,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     next_of = stash.put(neighbours(own.select("id", F.char_length("text").cast("long").alias("n_chars")), stash), "next")
     # what each id gives to the one above it: as many of its first characters as that one's second half has
     asked = next_of.select(F.col("next_id").alias("id"), F.col("id").alias("above"), F.floor(F.col("n_chars") / 2).cast("int").alias("asked"))
-    heads = own.join(asked, "id").select(F.col("above").alias("id"), F.struct(F.sha2("text", 256).alias("sha"), F.col("text").substr(F.lit(1), F.col("asked")).alias("head")).alias("given"))
+    known = own.where("id is not null")  # both joins below read one shuffle of it
+    heads = known.join(asked, "id").select(F.col("above").alias("id"), F.struct(_sha("text").alias("sha"), F.col("text").substr(F.lit(1), F.col("asked")).alias("head")).alias("given"))
     heads = heads.groupBy("id").agg(F.min("given").alias("given")).select("id", "given.head")
     half = F.floor(F.char_length("text") / 2).cast("int")
-    edited = F.concat(F.col("text").substr(F.lit(1), F.char_length("text") - half), F.coalesce(F.col("head").substr(F.lit(1), half), F.lit("")))
-    both = own.join(heads, "id", "left").select("id", "text", edited.alias("edited"), F.char_length("text").cast("long").alias("n_chars"))
+    edited = F.concat(F.col("text").substr(F.lit(1), F.char_length("text") - half), F.col("head").substr(F.lit(1), half))
+    alone = own.where("id is null").withColumn("head", F.lit(""))
+    both = known.join(heads, "id").unionByName(alone).select("id", "text", edited.alias("edited"), F.char_length("text").cast("long").alias("n_chars"))
     keyed = both.withColumn("key", F.xxhash64("text"))  # repeated rows have one key; lane SKETCH counts them
     halves = F.array(*(F.struct(F.lit(w).alias("which"), F.col(c).alias("t")) for w, c in enumerate(("text", "edited"))))
     lanes = (
@@ -117,7 +128,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     times = F.element_at("lanes", -1)["s0"]
     part = lambda s: F.transform(F.slice("lanes", 1, SKETCH), lambda x: F.round(x[s] / times).cast("smallint"))
     sketches = lanes.select("id", "key", part("s0").alias("sketch"), part("s1").alias("edited_sketch"), times.alias("times"))
-    sums = keyed.select("id", "key", "n_chars", F.sha2("text", 256).alias("sha"), F.sha2("edited", 256).alias("edited_sha256"), dense_sum(F.col("text")).alias("dense"), dense_sum(F.col("edited")).alias("edited_dense"))
+    sums = keyed.select("id", "key", "n_chars", _sha("text").alias("sha"), _sha("edited").alias("edited_sha"), _short(dense_sum(F.col("text"))).alias("dense"), _short(dense_sum(F.col("edited"))).alias("edited_dense"))
     sums = sums.dropDuplicates(["id", "key"])
     same = F.col("sums.id").eqNullSafe(F.col("s.id")) & (F.col("sums.key") == F.col("s.key"))
     main = stash.put(sums.alias("sums").join(sketches.alias("s"), same).select("sums.*", "sketch", "edited_sketch", "times"), "vectors")
@@ -125,14 +136,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     first = main.where("id is not null").groupBy("id").agg(F.min(F.struct("sha", "dense", "sketch")).alias("other"))
     nearby = next_of.select(F.col("id").alias("above"), F.col("next_id").alias("id")).join(first, "id").select(F.col("above").alias("id"), "other")
     alike = lambda d, v, e, w: F.when(d == e, F.lit(1.0)).otherwise(cosine(v, w))
-    empty = F.array_repeat(F.lit(0).cast("long"), DENSE)
+    empty = F.array_repeat(F.lit(0), DENSE)
     return (
         main.join(nearby, "id", "left")
         .withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times"))))
         .select(
             F.col("id").alias("doc_id"),
             "n_chars",
-            "edited_sha256",
+            F.lower(F.hex("edited_sha")).alias("edited_sha256"),
             printed(F.col("dense"), F.col("sketch")).alias("fingerprint"),
             printed(F.col("edited_dense"), F.col("edited_sketch")).alias("edited_fingerprint"),
             alike(F.col("dense"), F.col("sketch"), F.col("edited_dense"), F.col("edited_sketch")).alias("near_edited"),
