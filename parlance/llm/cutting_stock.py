@@ -58,30 +58,33 @@ def best_patterns(value: np.ndarray, width: np.ndarray, room: int, most: int = 4
     returned, the best first, with the greatest value.
     """
     best, took = np.zeros(room + 1), np.full(room + 1, -1)
-    order = np.argsort(width, kind="stable")
-    value, width = value[order], width[order]
-    fit = np.searchsorted(width, np.arange(room + 1), side="right")
+    by_width = np.full(room + 1, -np.inf)
+    np.maximum.at(by_width, width, value)
+    back = np.zeros(room + 1)  # best, backwards: its last c numbers are best[c - 1] to best[0]
+    back[room] = 0.0
     for c in range(1, room + 1):
-        best[c] = best[c - 1]
-        if k := fit[c]:
-            got = best[c - width[:k]] + value[:k]
-            j = got.argmax()
-            if got[j] > best[c] + 1e-12:
-                best[c], took[c] = got[j], j
+        got = back[room - c + 1 :] + by_width[1 : c + 1]
+        j = got.argmax()
+        if got[j] > best[c - 1] + 1e-12:
+            best[c], took[c] = got[j], j + 1
+        else:
+            best[c] = best[c - 1]
+        back[room - c] = best[c]
+    at = {int(w): i for i, w in enumerate(width)}
     around = value + best[room - width]
     out: dict[bytes, np.ndarray] = {}
     for j in np.argsort(-around, kind="stable"):
         if len(out) == most or around[j] <= 1:
             break
         pattern = np.zeros(len(width), np.int64)
-        pattern[order[j]] = 1
+        pattern[j] = 1
         c = room - int(width[j])
         while c > 0:
             if took[c] < 0:
                 c -= 1
             else:
-                pattern[order[took[c]]] += 1
-                c -= int(width[took[c]])
+                pattern[at[int(took[c])]] += 1
+                c -= int(took[c])
         out.setdefault(pattern.tobytes(), pattern)
     return float(best[room]), list(out.values())
 

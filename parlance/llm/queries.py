@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import cotraining, multiset_hash, quality_rules
+from parlance.llm import cotraining, cube_mixing, cutting_stock, hyperminhash, multiset_hash, quality_rules, repair_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.query,
     "op2_cotraining": cotraining.query,
     "op3_multiset_hash": multiset_hash.query,
+    "op5_cutting_stock": cutting_stock.query,
+    "op6_hyperminhash": hyperminhash.query,
+    "op7_repair_tokens": repair_tokens.query,
+    "op10_cube_mixing": cube_mixing.query,
 }
 ORACLES: dict[str, str] = {}
