@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) -
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def best_patterns(value: np.ndarray, width: np.ndarray, room: int, most: int = 40) -> tuple[float, list[np.ndarray]]:
+def best_patterns(value: np.ndarray, width: np.ndarray, room: int, most: int = 8) -> tuple[float, list[np.ndarray]]:
     """The unbounded knapsack: how often to take each class for the greatest value within the room.
 
     The table of the best values of all rooms also has the best pattern around each class; up to ``most`` of these are
@@ -61,7 +61,6 @@ def best_patterns(value: np.ndarray, width: np.ndarray, room: int, most: int = 4
     by_width = np.full(room + 1, -np.inf)
     np.maximum.at(by_width, width, value)
     back = np.zeros(room + 1)  # best, backwards: its last c numbers are best[c - 1] to best[0]
-    back[room] = 0.0
     for c in range(1, room + 1):
         got = back[room - c + 1 :] + by_width[1 : c + 1]
         j = got.argmax()
@@ -70,6 +69,7 @@ def best_patterns(value: np.ndarray, width: np.ndarray, room: int, most: int = 4
         else:
             best[c] = best[c - 1]
         back[room - c] = best[c]
+    used = np.maximum.accumulate(np.where(took > 0, np.arange(room + 1), 0))  # the room that the best pattern fills
     at = {int(w): i for i, w in enumerate(width)}
     around = value + best[room - width]
     out: dict[bytes, np.ndarray] = {}
@@ -78,13 +78,10 @@ def best_patterns(value: np.ndarray, width: np.ndarray, room: int, most: int = 4
             break
         pattern = np.zeros(len(width), np.int64)
         pattern[j] = 1
-        c = room - int(width[j])
+        c = used[room - width[j]]
         while c > 0:
-            if took[c] < 0:
-                c -= 1
-            else:
-                pattern[at[int(took[c])]] += 1
-                c -= int(took[c])
+            pattern[at[int(took[c])]] += 1
+            c = used[c - took[c]]
         out.setdefault(pattern.tobytes(), pattern)
     return float(best[room]), list(out.values())
 

@@ -96,6 +96,10 @@ def neighbours(ids: DataFrame, stash: Stash) -> DataFrame:
     return ranged.withColumn("inside", inside).join(F.broadcast(ends), "range").select("id", "n_chars", F.coalesce("inside", "below", "highest").alias("next_id"))
 
 
+def _id(name: str) -> Column:
+    return F.nullif(F.col(name), F.lit("")).cast("long")
+
+
 def _sha(column: str) -> Column:
     return F.unhex(F.sha2(column, 256))
 
@@ -104,34 +108,33 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; see the module."""
     spark = docs.sparkSession
     stash = Stash(spark)
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    next_of = stash.put(neighbours(own.select("id", F.char_length("text").cast("long").alias("n_chars")), stash), "next")
+    # ids as strings that are never null ('' for none): joins and sums below then read one shuffle by this key
+    name = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    own = docs.select(name.alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    next_of = stash.put(neighbours(own.select(_id("name").alias("id"), F.char_length("text").cast("long").alias("n_chars")), stash), "next")
     # what each id gives to the one above it: as many of its first characters as that one's second half has
-    asked = next_of.select(F.col("next_id").alias("id"), F.col("id").alias("above"), F.floor(F.col("n_chars") / 2).cast("int").alias("asked"))
-    known = own.where("id is not null")  # both joins below read one shuffle of it
-    heads = known.join(asked, "id").select(F.col("above").alias("id"), F.struct(_sha("text").alias("sha"), F.col("text").substr(F.lit(1), F.col("asked")).alias("head")).alias("given"))
-    heads = heads.groupBy("id").agg(F.min("given").alias("given")).select("id", "given.head")
+    asked = next_of.select(F.col("next_id").cast("string").alias("name"), F.col("id").cast("string").alias("above"), F.floor(F.col("n_chars") / 2).cast("int").alias("asked"))
+    heads = own.join(asked, "name").select(F.col("above").alias("name"), F.struct(_sha("text").alias("sha"), F.col("text").substr(F.lit(1), F.col("asked")).alias("head")).alias("given"))
+    heads = heads.groupBy("name").agg(F.min("given").alias("given")).select("name", "given.head")
     half = F.floor(F.char_length("text") / 2).cast("int")
-    edited = F.concat(F.col("text").substr(F.lit(1), F.char_length("text") - half), F.col("head").substr(F.lit(1), half))
-    alone = own.where("id is null").withColumn("head", F.lit(""))
-    both = known.join(heads, "id").unionByName(alone).select("id", "text", edited.alias("edited"), F.char_length("text").cast("long").alias("n_chars"))
+    edited = F.concat(F.col("text").substr(F.lit(1), F.char_length("text") - half), F.coalesce(F.col("head").substr(F.lit(1), half), F.lit("")))
+    both = own.join(heads, "name", "left").select("name", "text", edited.alias("edited"), F.char_length("text").cast("long").alias("n_chars"))
     keyed = both.withColumn("key", F.xxhash64("text"))  # repeated rows have one key; lane SKETCH counts them
     halves = F.array(*(F.struct(F.lit(w).alias("which"), F.col(c).alias("t")) for w, c in enumerate(("text", "edited"))))
     lanes = (
-        keyed.select("id", "key", F.explode(halves).alias("x"))
-        .select("id", "key", "x.which", F.explode(sketch_codes(F.col("x.t"))).alias("code"))
-        .groupBy("id", "key", F.shiftright("code", 2).alias("lane"))
+        keyed.select("name", "key", F.explode(halves).alias("x"))
+        .select("name", "key", "x.which", F.explode(sketch_codes(F.col("x.t"))).alias("code"))
+        .groupBy("name", "key", F.shiftright("code", 2).alias("lane"))
         .agg(*(F.sum(F.when(F.col("which") == w, F.col("code").bitwiseAND(3) - 1).otherwise(0)).cast("int").alias(f"s{w}") for w in (0, 1)))
-        .groupBy("id", "key")
+        .groupBy("name", "key")
         .agg(F.sort_array(F.collect_list(F.struct("lane", "s0", "s1"))).alias("lanes"))
     )
     times = F.element_at("lanes", -1)["s0"]
     part = lambda s: F.transform(F.slice("lanes", 1, SKETCH), lambda x: F.round(x[s] / times).cast("smallint"))
-    sketches = lanes.select("id", "key", part("s0").alias("sketch"), part("s1").alias("edited_sketch"), times.alias("times"))
-    sums = keyed.select("id", "key", "n_chars", _sha("text").alias("sha"), _sha("edited").alias("edited_sha"), _short(dense_sum(F.col("text"))).alias("dense"), _short(dense_sum(F.col("edited"))).alias("edited_dense"))
-    sums = sums.dropDuplicates(["id", "key"])
-    same = F.col("sums.id").eqNullSafe(F.col("s.id")) & (F.col("sums.key") == F.col("s.key"))
-    main = stash.put(sums.alias("sums").join(sketches.alias("s"), same).select("sums.*", "sketch", "edited_sketch", "times"), "vectors")
+    sketches = lanes.select("name", "key", part("s0").alias("sketch"), part("s1").alias("edited_sketch"), times.alias("times"))
+    sums = keyed.select("name", "key", "n_chars", _sha("text").alias("sha"), _sha("edited").alias("edited_sha"), _short(dense_sum(F.col("text"))).alias("dense"), _short(dense_sum(F.col("edited"))).alias("edited_dense"))
+    main = sums.dropDuplicates(["name", "key"]).join(sketches, ["name", "key"]).withColumn("id", _id("name")).drop("name", "key")
+    main = stash.put(main, "vectors")
     stash.drop("ranges")
     first = main.where("id is not null").groupBy("id").agg(F.min(F.struct("sha", "dense", "sketch")).alias("other"))
     nearby = next_of.select(F.col("id").alias("above"), F.col("next_id").alias("id")).join(first, "id").select(F.col("above").alias("id"), "other")

@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import cotraining, cube_mixing, cutting_stock, hyperminhash, multiset_hash, quality_rules, repair_tokens
+from parlance.llm import cotraining, cube_mixing, cutting_stock, html_lstm, hyperminhash, multiset_hash, quality_rules, repair_tokens, role_repair, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.query,
     "op2_cotraining": cotraining.query,
     "op3_multiset_hash": multiset_hash.query,
+    "op4_html_lstm": html_lstm.query,
     "op5_cutting_stock": cutting_stock.query,
     "op6_hyperminhash": hyperminhash.query,
     "op7_repair_tokens": repair_tokens.query,
+    "op8_url_filter": url_filter.query,
+    "op9_role_repair": role_repair.query,
     "op10_cube_mixing": cube_mixing.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_url_filter": url_filter.oracle()}
