@@ -1,10 +1,433 @@
-"""Queries over the driver's tables, by the ids of the operator inventory, and their SQL."""
+"""Queries over the driver's tables, named by the ids of the operator inventory, and their SQL.
+
+The driver's tables hold no chat history, so each query applies its operator to an analogous table: conversations as
+messages (conversation: channel, role: author), events as timed messages, region, nation and customer as guild, channel
+and user, lineitem and part as attachments of orders, page URLs as links, documents as a keyword corpus.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parlance.functions import ids as I
+from parlance.functions import text as X
+from parlance.functions.render import message_line, stamp
+from parlance.functions.values import contains, or_else, some
+from parlance.operators import predicates as P
+from parlance.operators import retrieve as R
+from parlance.operators.sessions import current
+from parlance.sources.tables import conversation_messages, event_messages, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(make):
+        QUERIES[make.__name__] = make
+        if sql:
+            ORACLES[make.__name__] = sql
+        return make
+
+    return register
+
+
+_TURNS = "SELECT conv_id * 1000 + turn AS id, conv_id AS channel_id, turn, role AS author_id, coalesce(nullif(role, ''), 'Unknown') AS author_name, text AS content FROM conversations"
+_LINE = "'[] [#' || channel_id || '] ' || author_name || ' (' || coalesce(author_id, '') || ') [ID:' || id || ']: ' || coalesce(content, '')"
+
+
+@query(f"""
+SELECT id, channel_id, content, {_LINE} AS line FROM ({_TURNS})
+WHERE channel_id IN (SELECT conv_id FROM conversations WHERE role = 'system' OR conv_id % 2 = 0)
+  AND contains(lower(content), 'le')
+ORDER BY id DESC LIMIT 15""")
+def tvf3_search_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: scope semi-join, keyword, newest 15, rendered lines."""
+    turns = conversation_messages(spark, sf_dir)
+    allowed = turns.where((F.col("author_id") == "system") | (F.col("channel_id") % 2 == 0)).select("channel_id").distinct()
+    rows = turns.join(allowed, "channel_id", "left_semi").where(contains(F.col("content"), "le"))
+    line = message_line(F.lit(None).cast("timestamp"), F.col("channel_id").cast("string"), F.col("author_name"), F.col("author_id"), F.col("id"), F.col("content"))
+    return rows.orderBy(F.desc("id")).limit(15).select("id", "channel_id", "content", line.alias("line"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id = 7")
+def prd1_author(spark, sf_dir):
+    return event_messages(spark, sf_dir).where(P.author(F.col("user_id"), 7)).select("event_id", "user_id")
+
+
+@query("SELECT event_id, user_id FROM events WHERE cast(ts AS date) = DATE '2024-01-05'")
+def prd2_during(spark, sf_dir):
+    return event_messages(spark, sf_dir).where(P.during(F.col("ts"), "2024-01-05")).select("event_id", "user_id")
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-03 00:00:00' AND ts <= TIMESTAMP '2024-01-06 12:00:00'")
+def prd3_4_range(spark, sf_dir):
+    own = event_messages(spark, sf_dir)
+    return own.where(P.after(F.col("ts"), "2024-01-03") & P.before(F.col("ts"), "2024-01-06T12:00:00Z") & P.after(F.col("ts"), "no date")).select("event_id", "user_id")
+
+
+@query("SELECT page_id, url FROM pages WHERE regexp_matches(url, '(?i)https?://[^\\s]+')")
+def prd5_link(spark, sf_dir):
+    own = read(spark, sf_dir, "pages").withColumn("content", F.col("url")).withColumn("embeds", F.lit(None).cast("array<struct<url:string,title:string,description:string>>"))
+    return own.where(P.has("link")).select("page_id", "url")
+
+
+def _orders_with_parts(spark, sf_dir):
+    """Orders with their parts as attachments (file name and type)."""
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type", "p_brand")
+    lines = read(spark, sf_dir, "lineitem").join(parts, "l_partkey")
+    kind = F.concat(F.when(F.col("p_brand") == "Brand#1", "image/").when(F.col("p_brand") == "Brand#2", "video/").otherwise("other/"), F.lower("p_type"))
+    item = F.struct(F.concat("p_name", F.when(F.col("l_partkey") % 5 == 0, ".PNG").when(F.col("l_partkey") % 5 == 1, ".mp3").otherwise(".txt")).alias("filename"), kind.alias("content_type"), F.lit(None).cast("string").alias("url"))
+    return lines.groupBy("l_orderkey").agg(F.collect_list(item).alias("attachments")).withColumn("embeds", F.lit(None).cast("array<struct<image:string,thumbnail:string,type:string>>"))
+
+
+_KIND = "CASE WHEN p_brand = 'Brand#1' THEN 'image/' WHEN p_brand = 'Brand#2' THEN 'video/' ELSE 'other/' END"
+_NAME = "p_name || CASE WHEN l_partkey % 5 = 0 THEN '.PNG' WHEN l_partkey % 5 = 1 THEN '.mp3' ELSE '.txt' END"
+_ITEMS = f"SELECT l_orderkey, {_KIND} AS kind, {_NAME} AS filename FROM lineitem JOIN part ON p_partkey = l_partkey"
+
+
+@query(f"""
+SELECT l_orderkey,
+  bool_or(kind = 'image/' OR regexp_matches(filename, '(?i)\\.(png|jpg|jpeg|webp|gif|bmp|svg)$')) AS image,
+  bool_or(kind = 'video/' OR regexp_matches(filename, '(?i)\\.(mp4|webm|mov|mkv|avi)$')) AS video,
+  bool_or(regexp_matches(filename, '(?i)\\.(mp3|wav|ogg|m4a|flac|aac)$')) AS sound,
+  true AS file, false AS embed, true AS sticker
+FROM ({_ITEMS}) GROUP BY l_orderkey""")
+def prd6_11_media(spark, sf_dir):
+    own = _orders_with_parts(spark, sf_dir)
+    return own.select("l_orderkey", *(P.has(k).alias(k) for k in ("image", "video", "sound", "file", "embed", "sticker")))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'tion')")
+def prd12_keyword(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").where(contains(F.col("text"), "TION")).select("conv_id", "turn")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'license')")
+def prd12_documents(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where(contains(F.col("text"), "license")).select("doc_id", "lang")
+
+
+_FLAKE = "greatest(((epoch_us(ts) // 1000) - 1420070400000) * 4194304, 0)"
+
+
+@query(f"SELECT event_id, {_FLAKE} AS id FROM events WHERE {_FLAKE} >= (epoch_ms(TIMESTAMP '2024-01-05') - 1420070400000) * 4194304 AND {_FLAKE} < (epoch_ms(TIMESTAMP '2024-01-06') - 1420070400000) * 4194304")
+def prd13_14_id_range(spark, sf_dir):
+    own = event_messages(spark, sf_dir).withColumn("id", I.snowflake(F.col("ts")))
+    return own.where(P.id_day(F.col("id"), "2024-01-05") & P.id_range(F.col("id"), "1", None)).select("event_id", F.col("id").cast("long").alias("id"))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+def prd15_pinned(spark, sf_dir):
+    own = read(spark, sf_dir, "orders")
+    return own.where(P.pinned(F.col("o_orderstatus") == "F", True) & P.pinned(F.col("o_orderstatus") == "F", None)).select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_suppkey = 3")
+def prd16_mentions(spark, sf_dir):
+    own = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_suppkey").cast("string").alias("id"))).alias("mentions"))
+    return own.where(P.mentions("3")).select("l_orderkey")
+
+
+@query("SELECT p_partkey, p_size IN (0, 5, 11, 12, 15) AS text_channel, (p_size * 512) & 1024 <> 0 AS viewable FROM part")
+def prd18_19_channels(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", P.text_channel(F.col("p_size")).alias("text_channel"), P.viewable(F.col("p_size").cast("long") * 512).alias("viewable"))
+
+
+@query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_suppkey = 5 AND l_orderkey % 3 = 0")
+def prd20_shared(spark, sf_dir):
+    own = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_suppkey").cast("string")).alias("recipients"))
+    own = own.withColumn("type", F.when(F.col("l_orderkey") % 3 == 0, 3).otherwise(1))
+    return own.where(P.group_with("5")).select("l_orderkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA')")
+def prd21_scope(spark, sf_dir):
+    nations = read(spark, sf_dir, "nation").join(F.broadcast(read(spark, sf_dir, "region").where("r_name = 'ASIA'")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("channel_id"))
+    from parlance.operators.scope import restrict
+
+    return restrict(read(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "channel_id"), nations).select("c_custkey", "c_name")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE contains(lower(s_name), '00001') OR s_suppkey = 1")
+def prd23_mention_match(spark, sf_dir):
+    own = read(spark, sf_dir, "supplier").select(F.col("s_suppkey"), "s_name", F.col("s_name").alias("username"), F.lit(None).cast("string").alias("globalName"), F.col("s_suppkey").cast("string").alias("id"))
+    return own.where(P.mention_match("00001") | P.mention_match("1") & (F.col("id") == "1")).select("s_suppkey", "s_name")
+
+
+@query("SELECT c_custkey, c_name, coalesce(n_name, 'channel') AS channel_name, r_name AS guild_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
+def join1_lookup(spark, sf_dir):
+    nations = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return read(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "c_name", or_else(F.col("n_name"), "channel").alias("channel_name"), F.col("r_name").alias("guild_name"))
+
+
+@query("SELECT conv_id, string_agg(role, ', ' ORDER BY turn) AS names FROM conversations GROUP BY conv_id")
+def join2_recipients(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("x"))
+    return rows.select("conv_id", F.array_join(F.col("x.role"), ", ").alias("names"))
+
+
+@query("""
+SELECT id, any_value(content) AS content FROM (
+  SELECT id, content || ' (edited)' AS content FROM ({t}) WHERE id % 2 = 0
+  UNION ALL SELECT id, content FROM ({t}) WHERE id % 2 <> 0) GROUP BY id""".format(t=_TURNS))
+def agg2_merge(spark, sf_dir):
+    cached = conversation_messages(spark, sf_dir).select("id", "content")
+    fetched = cached.where("id % 2 = 0").withColumn("content", F.concat("content", F.lit(" (edited)")))
+    return R.merged([cached, fetched])
+
+
+@query("""
+SELECT id, username FROM (
+  SELECT cast(c_custkey AS varchar) AS id, c_name AS username FROM customer
+  UNION ALL SELECT cast(s_suppkey AS varchar), s_name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer))""")
+def agg3_directory(spark, sf_dir):
+    from parlance.operators.directory import gathered
+
+    first = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("username"))
+    second = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("username"))
+    return gathered(first, second).select("id", "username")
+
+
+@query("""
+SELECT id, username FROM (
+  SELECT 'c' || c_custkey AS id, c_name AS username FROM customer UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier)
+WHERE contains(lower(username), '0002') ORDER BY CASE WHEN starts_with(lower(username), '0002') THEN 0 ELSE 1 END, username, id LIMIT 8""")
+def top3_users(spark, sf_dir):
+    from parlance.operators.directory import gathered, suggested
+
+    first = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("username"))
+    second = read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("username"))
+    return suggested(gathered(first, second), "0002").select("id", "username")
+
+
+@query("SELECT conv_id, count(DISTINCT role) AS n_roles, count(*) AS n_turns FROM conversations GROUP BY conv_id")
+def agg5_8_counts(spark, sf_dir):
+    own = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("roles"), F.count("*").alias("n_turns"))
+    return own.select("conv_id", F.size("roles").cast("long").alias("n_roles"), "n_turns")
+
+
+@query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS content FROM conversations GROUP BY conv_id")
+def agg6_7_concat(spark, sf_dir):
+    from parlance.streaming.fold import contents
+
+    return contents(read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.col("text").alias("content"))).withColumnRenamed("stream_id", "conv_id")
+
+
+@query("SELECT doc_id, n_chars, count(*) OVER () AS total FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 10")
+def agg1_counted(spark, sf_dir):
+    own = read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "n_chars")
+    return R.counted(own, [F.desc("n_chars"), F.col("doc_id")], 10)
+
+
+@query("SELECT DISTINCT conv_id FROM conversations WHERE role = 'system'")
+def agg9_exists(spark, sf_dir):
+    own = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("roles"))
+    return own.where(some(F.col("roles"), lambda r: r == "system")).select("conv_id")
+
+
+@query(f"SELECT id, channel_id FROM ({_TURNS}) QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY turn DESC, id DESC) <= 3")
+def win2_recent(spark, sf_dir):
+    return R.recent(conversation_messages(spark, sf_dir), 3, order=("turn", "id")).select("id", "channel_id")
+
+
+@query(f"""
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY turn, id) AS rn FROM ({_TURNS}))
+SELECT a.id, a.channel_id, b.id AS target FROM n a JOIN n b ON a.channel_id = b.channel_id AND b.turn = 3 AND a.rn BETWEEN b.rn - 2 AND b.rn + 1""")
+def win1_around(spark, sf_dir):
+    own = conversation_messages(spark, sf_dir)
+    return R.around(own, own.where("turn = 3").select("channel_id", "id"), 4, order=("turn", "id")).select("id", "channel_id", "target")
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts, event_id LIMIT 100")
+def top1_oldest(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", "ts").orderBy("ts", "event_id").limit(100)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
+def top4_page(spark, sf_dir):
+    return R.paged(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 50)
+
+
+@query("SELECT * FROM (SELECT event_id, ts FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 10)")
+def top6_newest(spark, sf_dir):
+    return R.newest_ascending(read(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", "ts"), 10, ("ts", "event_id"))
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE role IN ('user', 'assistant') AND (conv_id, turn) IN (SELECT (conv_id, turn) FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 6)")
+def top7_history(spark, sf_dir):
+    return R.history(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn")
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey <> 5 UNION ALL SELECT 5, 'new'")
+def set3_prepend(spark, sf_dir):
+    from parlance.operators.sessions import prepended
+
+    own = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    new = spark.createDataFrame([(5, "new")], "id long, name string")
+    return prepended(own, new).drop("_part")
+
+
+@query(f"SELECT event_id, cast({_FLAKE} AS varchar) AS id FROM events")
+def scl1_snowflake(spark, sf_dir):
+    return event_messages(spark, sf_dir).select("event_id", I.snowflake(F.col("ts")).alias("id"))
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events")
+def scl2_roundtrip(spark, sf_dir):
+    return event_messages(spark, sf_dir).select("event_id", F.unix_millis(I.snowflake_time(I.snowflake(F.col("ts")))).alias("ms"))
+
+
+@query("SELECT conv_id, turn, trim(lower(text)) AS low, upper(substring(text, 1, 1)) AS initial, starts_with(text, 'The') AS begins, ends_with(text, '.') AS ends, substring(text, 1, 30) AS title FROM conversations")
+def scl3_5_strings(spark, sf_dir):
+    own = read(spark, sf_dir, "conversations")
+    return own.select("conv_id", "turn", F.trim(F.lower("text")).alias("low"), F.upper(F.substring("text", 1, 1)).alias("initial"), F.startswith("text", F.lit("The")).alias("begins"), F.endswith("text", F.lit(".")).alias("ends"), X.session_title(F.col("text")).alias("title"))
+
+
+@query("SELECT conv_id, turn, len(string_split(text, chr(10))) AS n_lines, replace(text, chr(10), ' / ') AS flat FROM conversations")
+def scl6_7_lines(spark, sf_dir):
+    lines = F.split("text", "\n")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(lines).cast("long").alias("n_lines"), F.array_join(lines, " / ").alias("flat"))
+
+
+@query("SELECT event_id, cast(user_id AS varchar) AS ids, event_type AS names FROM events")
+def scl9_10_mentions(spark, sf_dir):
+    prompt = F.concat(F.lit("ask <@!"), "user_id", F.lit("> or @"), "event_type", F.lit(", not @everyone or <@!"), "user_id", F.lit(">"))
+    own = read(spark, sf_dir, "events").withColumn("prompt", prompt)
+    return own.select("event_id", F.array_join(X.mentioned_ids(F.col("prompt")), ",").alias("ids"), F.array_join(X.mentioned_names(F.col("prompt")), ",").alias("names"))
+
+
+@query("SELECT event_id, event_type AS typed, 'hi <@' || user_id || '> ' AS inserted FROM events")
+def scl11_open_mention(spark, sf_dir):
+    own = read(spark, sf_dir, "events").withColumn("prompt", F.concat(F.lit("hi @"), "event_type"))
+    return own.select("event_id", X.open_mention(F.col("prompt")).alias("typed"), F.concat(F.lit("hi "), F.substring(X.insert_mention(F.col("prompt"), F.col("user_id").cast("string")), 4, 100)).alias("inserted"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_replace(trim(url), '/$', '') AS base FROM pages")
+def scl12_25_url(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", I.url_host(F.col("url")).alias("host"), I.clean_base(F.col("url")).alias("base"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN cast(o_custkey AS varchar) END AS guild_id, cast(o_custkey + 1 AS varchar) AS channel_id, cast(o_orderkey AS varchar) AS message_id FROM orders")
+def scl12_13_message_url(spark, sf_dir):
+    guild = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey").cast("string"))
+    own = read(spark, sf_dir, "orders").withColumn("url", I.message_url("https://chat.com", guild, (F.col("o_custkey") + 1).cast("string"), F.col("o_orderkey").cast("string")))
+    return own.withColumn("p", I.message_url_parts(F.col("url"))).select("o_orderkey", "p.guild_id", "p.channel_id", "p.message_id")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, date_trunc('day', ts) AS day_start FROM events")
+def scl14_15_times(spark, sf_dir):
+    own = read(spark, sf_dir, "events")
+    return own.select("event_id", stamp(F.col("ts")).alias("stamp"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day_start"))
+
+
+@query("""
+SELECT event_id, CASE WHEN m < 1 THEN 'Just now' WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN (m // 60) || 'h ago' WHEN m // 1440 = 1 THEN 'Yesterday'
+  WHEN m // 1440 < 7 THEN (m // 1440) || 'd ago' ELSE strftime(ts, '%b %-d') END AS label
+FROM (SELECT event_id, ts, cast(floor((epoch_ms(TIMESTAMP '2024-01-08') - epoch_us(ts) // 1000) / 60000) AS bigint) AS m FROM events)""")
+def scl16_relative(spark, sf_dir):
+    own = event_messages(spark, sf_dir)
+    return own.select("event_id", X.relative_time(F.unix_millis("ts"), F.unix_millis(F.lit("2024-01-08").cast("timestamp"))).alias("label"))
+
+
+@query("SELECT event_id, cast(json_extract_string(props, '$.k') AS bigint) AS k FROM events")
+def scl20_json(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", X.arguments(F.col("props"), "k long")["k"].alias("k"))
+
+
+@query("SELECT event_id, '{\"id\":' || event_id || ',\"type\":\"' || event_type || '\"}' AS j FROM events")
+def scl21_to_json(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))).alias("j"))
+
+
+@query("SELECT page_id, cast(len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS bigint) AS n_links FROM pages")
+def scl26_href_count(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).cast("long").alias("n_links"))
+
+
+@query("""
+SELECT kind, count(*) AS n FROM (SELECT CASE WHEN event_id % 5 = 0 THEN 'h2' WHEN event_id % 5 = 1 THEN 'bullet' WHEN event_id % 5 = 2 THEN 'quote' WHEN event_id % 5 = 3 THEN 'number' ELSE 'text' END AS kind FROM events) GROUP BY kind""")
+def scl24_blocks(spark, sf_dir):
+    k = F.col("event_id") % 5
+    line = F.concat(F.when(k == 0, "## ").when(k == 1, "- ").when(k == 2, "> ").when(k == 3, "1. ").otherwise(""), "event_type")
+    return read(spark, sf_dir, "events").select(X.block_kind(line).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, event_type AS bold, cast(user_id AS varchar) AS code FROM events")
+def scl23_inline(spark, sf_dir):
+    own = read(spark, sf_dir, "events").withColumn("t", F.concat(F.lit("a **"), "event_type", F.lit("** by `"), "user_id", F.lit("`")))
+    return own.select("event_id", F.array_join(X.inline_tokens(F.col("t"), "bold"), ",").alias("bold"), F.array_join(X.inline_tokens(F.col("t"), "code"), ",").alias("code"))
+
+
+@query("SELECT event_id, '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] [#' || event_type || '] u' || user_id || ' (' || user_id || ') [ID:' || event_id || ']: ' || coalesce(props, '') AS line FROM events")
+def fmt1_format(spark, sf_dir):
+    own = event_messages(spark, sf_dir)
+    return own.select("event_id", message_line(F.col("ts"), F.col("event_type"), F.concat(F.lit("u"), "user_id"), F.col("user_id"), F.col("event_id"), F.col("props")).alias("line"))
+
+
+@query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN role = 'assistant' THEN 0 ELSE 1 END, turn) = 1")
+def prj8_hits(spark, sf_dir):
+    own = read(spark, sf_dir, "conversations").withColumn("hit", F.col("role") == "assistant")
+    return R.hits(own, "conv_id", "turn").select("conv_id", "turn", "role")
+
+
+@query("SELECT n_nationkey, count(c_custkey) || CASE WHEN count(c_custkey) = 1 THEN ' channel' ELSE ' channels' END AS label FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey")
+def prj10_label(spark, sf_dir):
+    from parlance.operators.scope import label
+
+    own = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey").agg(F.count("c_custkey").alias("n"))
+    return own.select("n_nationkey", label(F.col("n"), "channel", "channels").alias("label"))
+
+
+@query("""
+WITH v AS (SELECT user_id AS id, epoch_us(ts) // 1000 AS t, event_type = 'purchase' AS gone, event_id FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t DESC, gone DESC) AS rn FROM v)
+SELECT id, t AS "updatedAt" FROM n WHERE rn = 1 AND NOT gone""")
+def snk1_2_sessions(spark, sf_dir):
+    own = event_messages(spark, sf_dir).select(F.col("user_id").alias("id"), F.unix_millis("ts").alias("updatedAt"), (F.col("event_type") == "purchase").alias("deleted"))
+    return current(own).select("id", "updatedAt")
+
+
+@query("SELECT conv_id AS id, max(turn) AS turn FROM conversations WHERE conv_id % 10 = 0 GROUP BY conv_id ORDER BY turn DESC, id LIMIT 60")
+def src10_snk6_newest(spark, sf_dir):
+    own = read(spark, sf_dir, "conversations").where("conv_id % 10 = 0").groupBy(F.col("conv_id").alias("id")).agg(F.max("turn").alias("turn"))
+    return own.orderBy(F.desc("turn"), "id").limit(60)
+
+
+@query("SELECT o_orderkey, o_orderstatus AS status FROM orders WHERE o_orderkey = 33")
+def src5_lookup(spark, sf_dir):
+    from parlance.sources.tables import lookup
+
+    return lookup(read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status")), "o_orderkey", 33)
+
+
+@query("SELECT 'n' AS key, cast(max(n_nationkey) AS varchar) AS value FROM nation UNION ALL SELECT 'r', cast(max(r_regionkey) AS varchar) FROM region")
+def src11_settings(spark, sf_dir):
+    from parlance.sources.tables import layered_settings
+
+    base = spark.createDataFrame([("n", "0"), ("r", "0")], "key string, value string")
+    first = read(spark, sf_dir, "nation").agg(F.max("n_nationkey").cast("string").alias("value")).select(F.lit("n").alias("key"), "value")
+    second = read(spark, sf_dir, "region").agg(F.max("r_regionkey").cast("string").alias("value")).select(F.lit("r").alias("key"), "value")
+    return layered_settings([base, first, second])
+
+
+@query("SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn), '') AS content FROM conversations GROUP BY conv_id")
+def str1_2_frames(spark, sf_dir):
+    """Turns as streamed frames, decoded and joined again."""
+    from parlance.streaming.fold import contents, deltas, payloads
+
+    own = read(spark, sf_dir, "conversations")
+    frame = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices")))
+    lines = own.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.concat(F.lit("data: "), frame, F.lit("\n")).alias("line"))
+    return contents(deltas(payloads(lines))).withColumnRenamed("stream_id", "conv_id")
+
+
+@query("SELECT user_id AS stream_id, cast(0 AS integer) AS idx, string_agg(event_type, '' ORDER BY event_id) AS arguments FROM events GROUP BY user_id")
+def agg6_str3_fold(spark, sf_dir):
+    from parlance.streaming.fold import folded
+
+    own = read(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), F.lit(0).alias("idx"), F.col("event_id").alias("seq"), F.lit("x").alias("call_id"), F.lit("f").alias("name"), F.col("event_type").alias("args"))
+    return folded(own).select("stream_id", "idx", "arguments")
