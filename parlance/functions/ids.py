@@ -14,8 +14,9 @@ _LAST_MS = EPOCH_MS + (1 << 41) - 1
 def snowflake(ts: Column) -> Column:
     """The least id of a timestamp, as a string; '0' for null and for times up to the epoch. Later times are clamped
     to the last one that fits 64 bits."""
-    ms = F.least(F.unix_millis(ts.cast("timestamp")), F.lit(_LAST_MS).cast("long"))
-    return F.coalesce(F.greatest(F.shiftleft(ms - EPOCH_MS, 22), F.lit(0).cast("long")), F.lit(0).cast("long")).cast("string")
+    ms = F.unix_millis(ts.cast("timestamp"))
+    ms = F.when(ms > _LAST_MS, F.lit(_LAST_MS).cast("long")).otherwise(ms)
+    return F.coalesce(F.when(ms.isNotNull(), F.greatest(F.shiftleft(ms - EPOCH_MS, 22), F.lit(0).cast("long"))), F.lit(0).cast("long")).cast("string")
 
 
 def snowflake_time(identifier: Column) -> Column:
