@@ -45,11 +45,15 @@ def around(messages: DataFrame, targets: DataFrame, limit: int = 10, channel: st
     then the target, then the rest. Absent targets give no rows. Column ``target`` names the target."""
     n = clamp(limit)
     before = n // 2
-    rest = n - before - 1
-    numbered = messages.withColumn("_place", F.row_number().over(Window.partitionBy(channel).orderBy(*order)))
-    hits = numbered.join(targets.select(F.col(channel).alias("_channel"), F.col(key).alias("target")), (F.col(channel) == F.col("_channel")) & (F.col(key) == F.col("target"))).select("_channel", "target", F.col("_place").alias("_hit"))
-    near = (F.col(channel) == F.col("_channel")) & F.col("_place").between(F.col("_hit") - before, F.col("_hit") + rest)
-    return numbered.join(hits, near).drop("_channel", "_hit", "_place")
+    place = F.struct(*order)
+    wanted = targets.select(F.col(channel).alias("_channel"), F.col(key).alias("target")).distinct()
+    hits = messages.join(wanted, (F.col(channel) == F.col("_channel")) & (F.col(key) == F.col("target"))).select("_channel", "target", place.alias("_at"))
+    near = messages.join(hits, F.col(channel) == F.col("_channel"))
+    # both ranks are cut off by a limit, which Spark applies in each task before rows of a channel are exchanged
+    rank = lambda way: F.row_number().over(Window.partitionBy("_channel", "target").orderBy(*(way(c) for c in order)))
+    above = near.where(place < F.col("_at")).withColumn("_rank", rank(F.desc)).where(F.col("_rank") <= before)
+    below = near.where(place >= F.col("_at")).withColumn("_rank", rank(F.asc)).where(F.col("_rank") <= n - before)
+    return above.unionByName(below).drop("_channel", "_at", "_rank")
 
 
 def hits(grouped: DataFrame, group: str = "group_id", place: str = "pos") -> DataFrame:
@@ -64,9 +68,9 @@ def as_groups(items: DataFrame, column: str = "messages") -> DataFrame:
 
 
 def counted(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
-    """AGG1: a top-k with the number of all matches beside it. Counted by an aggregate, so the rows never meet."""
-    total = rows.agg(F.count("*").alias("total"))
-    return rows.orderBy(*order).limit(limit).crossJoin(F.broadcast(total))
+    """AGG1: a top-k with the number of all matches beside it. Counted by a scalar subquery, so the rows never meet."""
+    total = rows.agg(F.count("*").alias("total")).scalar()
+    return rows.orderBy(*order).limit(limit).withColumn("total", total)
 
 
 def paged(rows: DataFrame, order: list[Column], offset: int = 0, size: int = 25) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +71,16 @@ def id_at(text: str, last: bool = False) -> int:
     return max(0, ms << 22) + (((1 << 22) - 1) if last and ms >= 0 else 0)
 
 
+def routed(options: SearchOptions, channels: DataFrame) -> SearchOptions:
+    """PRD17: the guild of the options' channel where none is given; an error where neither is."""
+    if options.guild_id or not options.channel_id:
+        if not (options.guild_id or options.channel_id):
+            raise ValueError("a search needs a channel or a guild")
+        return options
+    row = channels.where(F.col("id") == options.channel_id).select("guild_id").limit(1).collect()
+    return replace(options, guild_id=row[0]["guild_id"] if row else None)
+
+
 def found(messages: DataFrame, options: SearchOptions) -> DataFrame:
     return messages.where(options.column())
 

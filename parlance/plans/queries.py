@@ -431,3 +431,108 @@ def agg6_str3_fold(spark, sf_dir):
 
     own = read(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), F.lit(0).alias("idx"), F.col("event_id").alias("seq"), F.lit("x").alias("call_id"), F.lit("f").alias("name"), F.col("event_type").alias("args"))
     return folded(own).select("stream_id", "idx", "arguments")
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE role IN ('tool_call', 'assistant', 'error') AND role <> 'user' AND role = 'assistant'")
+def prd22_trace_steps(spark, sf_dir):
+    kind = F.when(F.col("role") == "assistant", "tool_result").when(F.col("role") == "user", "thinking").otherwise("answer")
+    return read(spark, sf_dir, "conversations").where(P.trace_step(kind)).select("conv_id", "turn", "role")
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'channel-' || n_nationkey END AS name FROM nation WHERE n_regionkey = 1 AND n_nationkey % 3 <> 0")
+def prj3_accessible(spark, sf_dir):
+    from parlance.operators.scope import accessible
+
+    key = F.col("n_nationkey")
+    own = read(spark, sf_dir, "nation").select(key.cast("string").alias("id"), F.when(key % 2 == 0, F.col("n_name")).otherwise("").alias("name"), F.lit(None).cast("string").alias("topic"), F.col("n_regionkey").cast("string").alias("guild_id"), F.when(key % 3 == 0, 2).otherwise(0).alias("type"), F.lit(1024).cast("long").alias("permissions"))
+    return accessible(own, "1").select(F.col("id").cast("int").alias("id"), "name")
+
+
+@query("SELECT s_suppkey AS id, s_name AS username FROM supplier WHERE s_suppkey <= 20 UNION ALL SELECT 1000000 + s_suppkey, 'Member' FROM supplier WHERE s_suppkey <= 5")
+def join3_members(spark, sf_dir):
+    from parlance.operators.directory import members
+
+    own = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("username"))
+    known = own.where("cast(id AS int) <= 20").select(F.col("id").alias("user_id"), F.lit(None).cast("string").alias("nick"))
+    lost = own.where("cast(id AS int) <= 5").select((F.col("id").cast("long") + 1000000).cast("string").alias("user_id"), F.lit(None).cast("string").alias("nick"))
+    return members(known.unionByName(lost), own).select(F.col("id").cast("long").alias("id"), "username")
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS name, l_quantity AS result FROM orders LEFT JOIN (SELECT l_orderkey, max(l_quantity) AS l_quantity FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
+def join7_call_results(spark, sf_dir):
+    from parlance.operators.sessions import calls_with_results
+
+    calls = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("name"))
+    results = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("tool_call_id")).agg(F.max("l_quantity").alias("result"))
+    return calls_with_results(calls, results)
+
+
+@query("SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 7 = 0 THEN 'done' ELSE c_mktsegment END AS status FROM customer")
+def join8_replaced_steps(spark, sf_dir):
+    from parlance.operators.sessions import steps_replaced
+
+    own = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("status"))
+    return steps_replaced(own, own.where("id % 7 = 0").select("id", F.lit("done").alias("status")))
+
+
+@query("SELECT s_suppkey AS id, '- ' || s_name || ' (@s' || s_suppkey || ') (ID: \"' || s_suppkey || '\")' AS line FROM supplier")
+def fmt3_mention_block(spark, sf_dir):
+    from parlance.functions.render import mention_block
+
+    key = F.col("s_suppkey").cast("string")
+    own = read(spark, sf_dir, "supplier").select(key.alias("id"), F.concat(F.lit("s"), key).alias("username"), F.col("s_name").alias("globalName"), F.lit(False).alias("bot"))
+    return mention_block(own).select(F.col("id").cast("long").alias("id"), "line")
+
+
+@query("SELECT event_id, strftime(ts, '%A, %B %-d, %Y') AS day_text, least(cast(floor(value) AS bigint), 50) AS clamped FROM events")
+def scl17_18_numbers(spark, sf_dir):
+    own = read(spark, sf_dir, "events")
+    return own.select("event_id", F.date_format("ts", "EEEE, MMMM d, yyyy").alias("day_text"), F.least(F.floor("value"), F.lit(50).cast("long")).alias("clamped"))
+
+
+@query("SELECT conv_id, turn, len(list_distinct(string_split(text, ' '))) AS n_distinct, string_split(text, ' ')[1] AS first_word FROM conversations")
+def scl26_arrays(spark, sf_dir):
+    parts = F.split("text", " ")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(F.array_distinct(parts)).cast("long").alias("n_distinct"), F.element_at(parts, 1).alias("first_word"))
+
+
+@query("SELECT n_name AS name, r_name AS guild FROM nation JOIN region ON r_regionkey = n_regionkey")
+def src8_9_buckets(spark, sf_dir):
+    """Channels of all guilds out of a map of arrays."""
+    from parlance.sources.tables import flatten_buckets
+
+    rows = read(spark, sf_dir, "nation").join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    entry = F.struct(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("r_name").alias("guild")).alias("channel"))
+    buckets = rows.groupBy("r_name").agg(F.collect_list(entry).alias("entries")).select(F.map_from_arrays(F.array("r_name"), F.array("entries")).alias("buckets"))
+    return flatten_buckets(buckets).select("name", "guild")
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Running: searching messages' WHEN role = 'assistant' THEN 'Done: searching messages' ELSE 'Failed: searching messages' END AS summary FROM conversations")
+def prj11_step_summary(spark, sf_dir):
+    from parlance.functions.render import step_summary
+
+    status = F.when(F.col("role") == "user", "tool_call").when(F.col("role") == "assistant", "tool_result").otherwise("error")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", step_summary(F.lit("search_messages"), status).alias("summary"))
+
+
+@query("SELECT c_custkey AS id, coalesce(nullif(CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END, ''), 'User') AS username, c_custkey % 2 = 0 AS bot FROM customer")
+def prj2_users(spark, sf_dir):
+    from parlance.operators.directory import normalised
+
+    key = F.col("c_custkey")
+    own = read(spark, sf_dir, "customer").select(key.alias("id"), F.when(key % 3 == 0, "").otherwise(F.col("c_name")).alias("username"), F.when(key % 2 == 0, True).alias("bot"))
+    return normalised(own).select(F.col("id").cast("long").alias("id"), "username", "bot")
+
+
+@query("SELECT conv_id AS \"channelId\", conv_id * 1000 + turn AS \"messageId\", CASE WHEN text = '' THEN '' ELSE text END AS content, coalesce('conv' || conv_id, 'channel') AS \"channelName\" FROM conversations")
+def prj1_agg4_citations(spark, sf_dir):
+    """Citations of two overlapping results, each message once."""
+    from parlance.operators.citations import cited, once
+
+    turns = conversation_messages(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    author = F.struct(F.col("author_id").alias("id"), F.col("author_name").alias("username"), none.alias("globalName"), none.alias("avatar"))
+    messages = turns.select("id", "channel_id", none.alias("guild_id"), author.alias("author"), "content", none.alias("timestamp"), F.lit(None).cast("array<struct<filename:string,url:string>>").alias("attachments"))
+    channels = turns.select(F.col("channel_id").alias("id")).distinct().select("id", F.concat(F.lit("conv"), "id").alias("name"), none.alias("guild_id"))
+    rows = cited(messages, channels)
+    return once([rows, rows.where(F.col("messageId") % 2 == 0)]).select("channelId", "messageId", "content", "channelName")

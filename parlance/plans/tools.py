@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.render import criteria, joined, message_text
+from parlance.functions.render import criteria, joined, mention_block, message_text
 from parlance.operators import retrieve, scope as scopes
 from parlance.operators.search import SearchOptions, found, shown
 from parlance.sources.schema import SHOWN_LOCAL
@@ -31,6 +31,18 @@ def parsed(arguments: str | None) -> dict:
     return out if isinstance(out, dict) else {}
 
 
+def prompt_turns(history: DataFrame, system: str, prompt: str, scope: dict, users: DataFrame | None = None) -> list[tuple[str, str]]:
+    """What an answer starts from: the system text with the scope and the mentioned users, the last turns of the
+    session (columns session_id, pos, role, content), and the prompt."""
+    kind = "Direct Message" if scope["isDM"] else "Group DM" if scope["isGroupDM"] else f"Guild ({scope['guildName'] or scope['guildId']})"
+    text = f"{system}\n\n[Scope]: #{scope['channelName']} ({scope['channelId']}), {kind}"
+    if users is not None:
+        lines = [r["line"] for r in mention_block(users).orderBy("id").collect()]
+        text += "\n\n[Mentioned]:\n" + "\n".join(lines) if lines else ""
+    turns = [(r["role"], r["content"]) for r in retrieve.history(history).orderBy("pos").collect()]
+    return [("system", text), *turns, ("user", prompt)]
+
+
 def current_context(tables: Tables, scope: dict, args: dict) -> str:
     """TVF1."""
     return json.dumps({k: v for k, v in scope.items() if k != "fail_open"}, indent=2)

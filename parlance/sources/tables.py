@@ -55,6 +55,11 @@ def layered_settings(layers: list[DataFrame]) -> DataFrame:
     return out.groupBy("key").agg(F.max_by("value", "layer").alias("value"))
 
 
+def save_settings(settings: DataFrame, path: str) -> None:
+    """A layer of settings (key, value), replaced as a whole."""
+    settings.select("key", "value").coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations as messages: conversation is the channel, role the author; ids and times follow the turns."""
     own = read(spark, sf_dir, "conversations")

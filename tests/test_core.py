@@ -287,6 +287,24 @@ def test_stream_fold(spark, tmp_path):
     assert seen == batch
 
 
+def test_routing_and_prompt(spark, world):
+    assert search.routed(search.SearchOptions(channel_id="1001"), world.channels).guild_id == "g"
+    assert search.routed(search.SearchOptions(channel_id="none"), world.channels).guild_id is None
+    with pytest.raises(ValueError):
+        search.routed(search.SearchOptions(), world.channels)
+    turns = spark.createDataFrame([("s", i, r, f"t{i}") for i, r in enumerate(["user", "assistant", "system", "user", "tool", "assistant", "user", "assistant"])], "session_id string, pos int, role string, content string")
+    own = scope.resolve(world.channels, world.users, world.guilds, "1001")
+    out = tools.prompt_turns(turns, "Be brief.", "now", own, world.users.where("id = 'user_1'"))
+    assert [c for _, c in out[1:]] == ["t3", "t5", "t6", "t7", "now"] and "#general" in out[0][1] and "(@alice)" in out[0][1]
+
+
+def test_settings(spark, tmp_path):
+    path = str(tmp_path / "settings")
+    tables.save_settings(spark.createDataFrame([("a", "1")], "key string, value string"), path)
+    layers = [spark.createDataFrame([("a", "0"), ("b", "2")], "key string, value string"), spark.read.parquet(path)]
+    assert {r["key"]: r["value"] for r in tables.layered_settings(layers).collect()} == {"a": "1", "b": "2"}
+
+
 def test_filters_commute(four):
     a, b = P.LocalFilter(has="file"), P.LocalFilter(author_id="user_2")
     assert ids_of(P.LocalFilter(has="file", author_id="user_2").apply(four)) == ids_of(b.apply(a.apply(four)))
