@@ -27,13 +27,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import words
-from parlance.llm.common import Stash, table, texts
+from parlance.llm.common import Stash, runs, table, texts
 
 SHINGLE = 5
 BANDS, ROWS = 40, 5
@@ -128,7 +127,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
         keys = band_keys(regs)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(keys.ravel())], ["id", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(keys.ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys)))], ["id", "key", "band"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,29 +182,32 @@ def _products(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _compared(percent: int):
-    """Links between different components in one pair of blocks: for each member at most one per other component."""
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["side", "id", "items"])
-        first, second = frame["one"].iloc[0], frame["two"].iloc[0]
-        left = frame[frame["side"] == first]
-        right = frame[frame["side"] == second] if second != first else left
-        found: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            sets = [[np.frombuffer(x, np.uint64) for x in f["items"]] for f in (left, right)]
-            comps = [f["component"].to_numpy() for f in (left, right)]
-            ids = [f["id"].to_numpy() for f in (left, right)]
+    """Links between different components in one pair of blocks: one at most for each two components."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
+        for rows in runs(batches, 3):
+            _, first, second = rows[0][:3]
+            # side, id, component, set; rows that share an id may have several sets
+            own = sorted({r[3:7] for r in rows})
+            left, right = ([r for r in own if r[0] == side] for side in (first, second))
+            if not left or not right:
+                continue
+            sets = [[np.frombuffer(r[3], np.uint64) for r in block] for block in (left, right)]
+            comps = [np.array([r[2] for r in block]) for block in (left, right)]
+            apart = comps[0][:, None] != comps[1][None, :]
+            if not apart.any():
+                continue
             both = _products(*sets)
             sizes = [np.array([len(x) for x in s]) for s in sets]
             union = sizes[0][:, None] + sizes[1][None, :] - both
-            hit = (100 * both >= percent * union) & (both > 0) & (comps[0][:, None] != comps[1][None, :])
             linked: set[tuple[int, int]] = set()
-            for i, j in zip(*np.nonzero(hit), strict=True):
-                pair = tuple(sorted((int(comps[0][i]), int(comps[1][j]))))
+            for i, j in zip(*np.nonzero((100 * both >= percent * union) & (both > 0) & apart), strict=True):
+                pair = (int(min(comps[0][i], comps[1][j])), int(max(comps[0][i], comps[1][j])))
                 if pair not in linked:
                     linked.add(pair)
-                    found.append((int(ids[0][i]), int(ids[1][j])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                    found.add((left[i][1], right[j][1]))
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in sorted(found)], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return compare
 
@@ -232,8 +234,13 @@ def components(edges: DataFrame, stash: Stash, name: str) -> DataFrame:
             return labels
 
 
+#: Ids (8 bytes each) that are broadcast at most; beyond that, texts are shuffled to them.
+FEW_IDS = 2_000_000
+
+
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The sets of some documents: ids are few columns, so texts move only as far as the join needs."""
+    """The sets of some documents (ids: a written table). Texts only move where the ids are too many to broadcast."""
+    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
     return _plain(docs).withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, items binary")
 
 
@@ -244,7 +251,7 @@ def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
     usable = sketched.where("doc_id is not null and digest is not null")
     # a class's documents have equal sets, hence equal registers
     classes = stash.put(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("registers").alias("registers")), "classes")
-    banded = stash.put(classes.select("id", "registers").mapInArrow(_banded, "id long, key long"), "bands")
+    banded = stash.put(classes.select("id", "registers").mapInArrow(_banded, "id long, key long, band int"), "bands")
     groups = stash.put(banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("members")).where("hub <> last").drop("last"), "groups")
     members = stash.put(banded.join(groups, "key"), "members")
     stash.drop("bands")
@@ -253,7 +260,7 @@ def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
     regs = classes.select("id", "registers")
     likely = tried.join(regs.select(F.col("id").alias("a"), F.col("registers").alias("ra")), "a").join(regs.select(F.col("id").alias("b"), F.col("registers").alias("rb")), "b").select("a", "b", "ra", "rb")
     likely = stash.put(likely.mapInArrow(_likely(percent), "a long, b long"), "likely")
-    ends = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
+    ends = stash.put(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), "ends")
     sets = stash.put(_sets_of(docs, ends), "sets")
     pairs = likely.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
     # ids that stand for two classes at once (rows that share an id) are one document
@@ -261,7 +268,7 @@ def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
     stash.drop("sets", "likely")
     first = components(found, stash, "first")
     # band groups that still hold more than one component
-    labelled = stash.put(members.select("key", "id", "members").join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+    labelled = stash.put(members.select("key", "band", "id", "members").join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
     stash.drop("members")
     open_groups = stash.put(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "open")
     rest = stash.put(labelled.join(open_groups, "key").distinct(), "rest")
@@ -278,50 +285,63 @@ def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def _near(percent: int):
-    """Members of one pair of blocks that may have a link to another component, by registers."""
+    """Members of a pair of blocks that may have a link to another component, by registers. A pair only counts in the
+    first band that it shares, so it is looked at once."""
     s = percent / 100
     least = s - 5 * (s * (1 - s) / REGISTERS) ** 0.5
 
-    def near(frame: pd.DataFrame) -> pd.DataFrame:
-        first, second = frame["one"].iloc[0], frame["two"].iloc[0]
-        sides = []
-        for side in (first, second):
-            own = frame[frame["side"] == side]
-            sides.append((own["id"].to_numpy(), own["component"].to_numpy(), np.frombuffer(b"".join(own["registers"]), np.uint16).reshape(-1, REGISTERS)))
-        (ids, comps, a), (others, kinds, b) = sides
-        hit_a, hit_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
-        for i in range(len(a)):
-            own = (kinds != comps[i]) & (estimate(b, a[i]) >= least)
-            if own.any():
-                hit_a[i] = True
-                hit_b |= own
-        keep = np.unique(np.concatenate([ids[hit_a], others[hit_b]])) if len(a) and len(b) else np.zeros(0, np.int64)
-        return pd.DataFrame({"key": np.full(len(keep), frame["key"].iloc[0] if len(frame) else 0, np.int64), "id": keep.astype(np.int64)})
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, bands, ids = [], [], []
+        for rows in runs(batches, 3):
+            key, first, second = rows[0][:3]
+            band = rows[0][6]
+            left, right = ([r for r in rows if r[3] == side] for side in (first, second))
+            if not left or not right:
+                continue
+            a, b = (np.frombuffer(b"".join(r[7] for r in block), np.uint16).reshape(-1, REGISTERS) for block in (left, right))
+            kinds = np.array([r[5] for r in right])
+            close = np.zeros(len(right), bool)
+            kept = set()
+            for i, row in enumerate(left):
+                same = b == a[i]
+                own = (kinds != row[5]) & (np.maximum(0.0, (same.mean(1) - COLLISION) / (1 - COLLISION)) >= least)
+                if own.any():
+                    own &= same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+                if own.any():
+                    kept.add(row[4])
+                    close |= own
+            kept.update(right[j][4] for j in np.flatnonzero(close))
+            for x in sorted(kept):
+                keys.append(key)
+                bands.append(band)
+                ids.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bands, pa.int32()), pa.array(ids, pa.int64())], ["key", "band", "id"])
 
     return near
 
 
 def _blocks(rest: DataFrame) -> DataFrame:
-    """Members dealt to pairs of blocks of their group: key, one, two, side."""
+    """Members dealt to pairs of blocks of their group: key, one, two, side, id, component, band."""
     n = F.ceil(F.col("members") / BLOCK).cast("int")
     side = F.pmod(F.xxhash64("id"), n).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("side", j).alias("one"), F.greatest("side", j).alias("two")))
     dealt = rest.withColumn("n", n).withColumn("side", side).withColumn("pair", F.explode(others))
-    return dealt.select("key", "id", "component", "side", "pair.one", "pair.two")
+    return dealt.select("key", "pair.one", "pair.two", "side", "id", "component", "band")
 
 
 def _between(docs: DataFrame, rest: DataFrame, regs: DataFrame, percent: int, stash: Stash) -> DataFrame:
-    """Links between components inside open band groups (key, id, members, component)."""
-    names = "key long, id long"
-    sketched = _blocks(rest).join(regs, "id")
-    close = stash.put(sketched.groupBy("key", "one", "two").applyInPandas(_near(percent), names).distinct(), "close")
-    left = rest.join(close, ["key", "id"]).drop("members")
-    counted = close.groupBy("key").agg(F.count("*").alias("members"))
-    left = stash.put(left.join(counted, "key"), "left")
-    sets = stash.put(_sets_of(docs, left.select("id").distinct()), "close-sets")
-    dealt = _blocks(left).join(sets, "id")
-    out = stash.put(dealt.groupBy("key", "one", "two").applyInPandas(_compared(percent), "a long, b long").distinct(), "between")
-    stash.drop("close", "left", "close-sets")
+    """Links between components inside open band groups (key, band, id, members, component)."""
+    block = ("key", "one", "two")
+    # dealt after each join: a broadcast or a split of skewed partitions would leave a block's rows in several tasks
+    sketched = _blocks(rest).join(regs, "id").select(*block, "side", "id", "component", "band", "registers").repartition(*block).sortWithinPartitions(*block)
+    close = stash.put(sketched.mapInArrow(_near(percent), "key long, band int, id long").distinct(), "close")
+    counted = stash.put(close.groupBy("key").agg(F.count("*").alias("members")), "counted")
+    left = stash.put(rest.drop("members").join(close, ["key", "band", "id"]).join(counted, "key"), "left")
+    few = stash.put(close.select("id").distinct(), "close-ids")
+    sets = stash.put(_sets_of(docs, few), "close-sets")
+    dealt = _blocks(left).join(sets, "id").select(*block, "side", "id", "component", "items").repartition(*block).sortWithinPartitions(*block)
+    out = stash.put(dealt.mapInArrow(_compared(percent), "a long, b long").distinct(), "between")
+    stash.drop("close", "counted", "left", "close-ids", "close-sets")
     return out
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import Stash, table
+from parlance.llm.common import Stash, runs, table
 
 ROLES = ("system", "user", "assistant")
 #: Costs of what a repair may do to a turn; merging a turn of another role costs both.
@@ -108,22 +108,9 @@ def chain(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
     return list(zip(states[:-1], states[1:], strict=True))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
-    """Rows of one key after another; batches are sorted by key. A group has a chunk's turns at most."""
-    held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[-1][:keys] != row[:keys]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
-
-
 def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, chunks, costs = [], [], []
-    for rows in _groups(batches, 2):
+    for rows in runs(batches, 2):
         names.append(rows[0][0])
         chunks.append(rows[0][1])
         costs.append(matrix([role_of(r[2]) for r in rows]).ravel().tolist())
@@ -147,7 +134,7 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return made
 
-    for rows in _groups(batches, 2):
+    for rows in runs(batches, 2):
         entry, leave, final = rows[0][5:8]
         roles = [role_of(r[3]) for r in rows]
         state = entry
