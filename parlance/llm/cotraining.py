@@ -157,7 +157,9 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = ROU
         if turn == rounds or not len(free):
             break
         for v, x in enumerate(views):
-            p = 1 / (1 + np.exp(-np.clip(models[v].odds(x[free]), -30, 30)))
+            # a view is only sure of what its calibrated odds bear out: an uninformative one names nothing
+            a, b = _calibrated(models[v].odds(x[held]), y[held])
+            p = 1 / (1 + np.exp(-np.clip(a * models[v].odds(x[free]) + b, -30, 30)))
             order = np.argsort(p, kind="stable")
             k = max(1, int(NAMED * len(free)))
             for i in order[::-1][:k]:
