@@ -187,7 +187,7 @@ WITH cut AS (
     CASE {verdict} END AS said
   FROM cut
 ), scored AS (
-  SELECT *, {score} AS score FROM seen
+  SELECT *, CAST({score} AS DOUBLE) AS score FROM seen
 )
 SELECT page_id, host, path, rule, round(score, 6) AS score,
   coalesce(said, CASE WHEN score > 0 THEN 'block' ELSE 'allow' END) AS verdict
