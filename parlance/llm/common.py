@@ -78,10 +78,17 @@ def size_column(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in smaller slices, which bounds what a task derives from one at once."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
     """The rows of one key after another, of batches that are sorted by their first ``keys`` columns."""
     held: list[tuple] = []
-    for batch in batches:
+    for batch in parts(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held and held[-1][:keys] != row[:keys]:
                 yield held

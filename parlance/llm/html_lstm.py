@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import table
+from parlance.llm.common import parts, table
 
 #: Elements that end a block, elements without text of the page, elements that never have an end tag.
 BLOCKS = frozenset("address article aside blockquote body canvas center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -140,7 +140,7 @@ def vectors(blocks: list[Leaf]) -> np.ndarray:
         for part in set(leaf.path):
             x[i, _slot(part, PATH, 1)] = 1
         words = leaf.text.lower().split()
-        for word in words[:200]:
+        for word in words:
             x[i, PATH + _slot(word, WORDS, 2)] += 1
         own = x[i, PATH : PATH + WORDS]
         x[i, PATH : PATH + WORDS] = own / max(float(np.sqrt((own * own).sum())), 1.0)
@@ -371,10 +371,9 @@ def extracted(pages: DataFrame, p: dict[str, np.ndarray]) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for part in (rows.slice(i, 256) for i in range(0, rows.num_rows, 256)):
-                found = main_texts([x or "" for x in part.column(2).to_pylist()], p)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], ["page_id", "url", "text", "n_chars"])
+        for part in parts(batches, 256):
+            found = main_texts([x or "" for x in part.column(2).to_pylist()], p)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return own.mapInArrow(extract, "page_id long, url string, text string, n_chars long")
