@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import words
-from parlance.llm.common import table, texts
+from parlance.llm.common import parts, table, texts
 
 #: Labelled and unlabelled documents that are read for fitting, at most.
 LABELLED, UNLABELLED = 4000, 2000
@@ -177,7 +177,7 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         text, meta = _views(batch)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], ["doc_id", "y", "text", "meta"])
 
@@ -207,7 +207,7 @@ def apply(docs: DataFrame, model: Model) -> DataFrame:
     """Each document's id, the calibrated scores of both views and together, and ``kept`` (together at least 0.5)."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             text, meta, both = model.scores(*_views(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (text, meta, both, both >= 0.5))], ["doc_id", "text_score", "meta_score", "score", "kept"])
 
@@ -224,7 +224,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(docs, table(spark, sf_dir, "labels"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             yield batch.filter(pa.array(model.scores(*_views(batch))[2] >= 0.5))
 
     return docs.mapInArrow(kept, docs.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.llm import tokens
-from parlance.llm.common import Stash, partitions, table, texts
+from parlance.llm.common import Stash, partitions, parts, table, texts
 
 SEQUENCE, STEP = 4096, 8
 #: The saving at which no more patterns are sought, as a share of the sequences.
@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) -
     path = path or tokens.default_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             own, rows = [], []
             for i, ids in enumerate(tokens.encode(texts(batch, "text"), path)):
                 ids += _END
@@ -186,7 +186,7 @@ def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
     keys = width[rows[:, 0]] * far + rows[:, 1] if len(rows) else np.zeros(0, np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rank = batch.column(batch.schema.get_field_index("rank")).to_numpy()
             kind = batch.column(batch.schema.get_field_index("class")).to_numpy().astype(np.int64)
             at = rows[np.searchsorted(keys, kind * far + rank, side="right") - 1]

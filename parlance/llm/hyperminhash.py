@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import words
-from parlance.llm.common import Stash, runs, table, texts
+from parlance.llm.common import Stash, parts, runs, table, texts
 
 SHINGLE = 5
 BANDS, ROWS = 40, 5
@@ -112,7 +112,7 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         sets = shingle_sets(texts(batch, "text"))
         regs = np.stack([registers(x) for x in sets]) if sets else np.zeros((0, REGISTERS), np.uint16)
         digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
@@ -124,14 +124,14 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
         keys = band_keys(regs)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(keys.ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys)))], ["id", "key", "band"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(texts(batch, "text"))], pa.binary())], ["id", "items"])
 
 
@@ -141,7 +141,7 @@ def _likely(percent: int):
     least = s - 5 * (s * (1 - s) / REGISTERS) ** 0.5
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
             yield batch.filter(pa.array(estimate(a, b) >= least)).select(["a", "b"])
 
@@ -150,7 +150,7 @@ def _likely(percent: int):
 
 def _confirmed(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import gbt, words
-from parlance.llm.common import table, texts
+from parlance.llm.common import parts, table, texts
 
 #: Fixed values of the base rule.
 SYMBOLS = b"#*$%&|<>"
@@ -94,7 +94,7 @@ def base_failed(counts: np.ndarray) -> np.ndarray:
 
 
 def _shares_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         _, shares = statistics(texts(batch, "text"))
         yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, shares.T)], ["quality", *SHARES])
 
@@ -112,7 +112,7 @@ def apply(docs: DataFrame, trees: gbt.Trees) -> DataFrame:
     """Each document's id, counts, ``base_failed``, the trees' ``score`` (0 to 1) and ``kept``."""
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             counts, shares = statistics(texts(batch, "text"))
             failed = base_failed(counts)
             score = 1 / (1 + np.exp(-trees.margins(shares)))
@@ -133,7 +133,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = docs.columns
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             counts, shares = statistics(texts(batch, "text"))
             yield batch.filter(pa.array(~base_failed(counts) & (trees.margins(shares) >= 0)))
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.llm import tokens
-from parlance.llm.common import Stash, partitions, table, texts
+from parlance.llm.common import Stash, partitions, parts, table, texts
 
 MAGIC = b"RPG1"
 #: Ids of a block (the last document may exceed it), rounds, pairs that a round replaces, and the least count of one.
@@ -164,7 +164,7 @@ def write(docs: DataFrame, stash: Stash, name: str = "blocks", path: str | None
             return out
 
         shard = None
-        for batch in batches:
+        for batch in parts(batches):
             if batch.num_rows:
                 shard = batch.column(2)[0].as_py()
             for i, ids in zip(batch.column(0).to_pylist(), tokens.encode(texts(batch, "text"), path), strict=True):
@@ -186,7 +186,7 @@ def read(blocks: DataFrame) -> DataFrame:
     shards = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             for start, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 block = Block(raw.as_py())
                 own = block.decode()
