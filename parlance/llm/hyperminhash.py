@@ -252,7 +252,7 @@ def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
     # a class's documents have equal sets, hence equal registers
     classes = stash.put(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("registers").alias("registers")), "classes")
     banded = stash.put(classes.select("id", "registers").mapInArrow(_banded, "id long, key long, band int"), "bands")
-    groups = stash.put(banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("members")).where("hub <> last").drop("last"), "groups")
+    groups = stash.put(banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").drop("last"), "groups")
     members = stash.put(banded.join(groups, "key"), "members")
     stash.drop("bands")
     tried = members.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("shared")).groupBy("id").agg(F.max(F.struct("shared", -F.col("hub"))).alias("best"))
@@ -268,7 +268,7 @@ def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
     stash.drop("sets", "likely")
     first = components(found, stash, "first")
     # band groups that still hold more than one component
-    labelled = stash.put(members.select("key", "band", "id", "members").join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+    labelled = stash.put(members.select("key", "band", "id").join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
     stash.drop("members")
     open_groups = stash.put(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "open")
     rest = stash.put(labelled.join(open_groups, "key").distinct(), "rest")
@@ -303,8 +303,11 @@ def _near(percent: int):
             close = np.zeros(len(right), bool)
             kept = set()
             for i, row in enumerate(left):
+                apart = kinds != row[5]
+                if not apart.any():
+                    continue
                 same = b == a[i]
-                own = (kinds != row[5]) & (np.maximum(0.0, (same.mean(1) - COLLISION) / (1 - COLLISION)) >= least)
+                own = apart & (np.maximum(0.0, (same.mean(1) - COLLISION) / (1 - COLLISION)) >= least)
                 if own.any():
                     own &= same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
                 if own.any():
@@ -321,27 +324,34 @@ def _near(percent: int):
 
 
 def _blocks(rest: DataFrame) -> DataFrame:
-    """Members dealt to pairs of blocks of their group: key, one, two, side, id, component, band."""
-    n = F.ceil(F.col("members") / BLOCK).cast("int")
-    side = F.pmod(F.xxhash64("id"), n).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("side", j).alias("one"), F.greatest("side", j).alias("two")))
-    dealt = rest.withColumn("n", n).withColumn("side", side).withColumn("pair", F.explode(others))
+    """Members dealt to pairs of blocks of their group: key, one, two, side, id, component, band.
+
+    A group's largest component needs no comparison inside itself: its blocks only meet those of the other members, so
+    its rows are dealt once for each block of others, however large the component is.
+    """
+    sizes = rest.groupBy("key", "component").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("members"))
+    sizes = sizes.select("key", F.col("most.component").alias("main"), *(F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int").alias(x) for x, n in (("few", F.col("members") - F.col("most.n")), ("many", F.col("most.n")))))
+    inside, place = F.col("component") == F.col("main"), F.xxhash64("id")
+    side = F.when(inside, F.col("few") + F.pmod(place, "many")).otherwise(F.pmod(place, "few")).cast("int")
+    met = F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("many"))
+    others = F.transform(F.sequence(F.lit(0), met - 1), lambda j: F.struct(F.least("side", j).alias("one"), F.greatest("side", j).alias("two")))
+    dealt = rest.join(sizes, "key").withColumn("side", side).withColumn("pair", F.explode(others))
     return dealt.select("key", "pair.one", "pair.two", "side", "id", "component", "band")
 
 
 def _between(docs: DataFrame, rest: DataFrame, regs: DataFrame, percent: int, stash: Stash) -> DataFrame:
-    """Links between components inside open band groups (key, band, id, members, component)."""
+    """Links between components inside open band groups (key, band, id, component)."""
     block = ("key", "one", "two")
     # dealt after each join: a broadcast or a split of skewed partitions would leave a block's rows in several tasks
     sketched = _blocks(rest).join(regs, "id").select(*block, "side", "id", "component", "band", "registers").repartition(*block).sortWithinPartitions(*block)
     close = stash.put(sketched.mapInArrow(_near(percent), "key long, band int, id long").distinct(), "close")
-    counted = stash.put(close.groupBy("key").agg(F.count("*").alias("members")), "counted")
-    left = stash.put(rest.drop("members").join(close, ["key", "band", "id"]).join(counted, "key"), "left")
+    left = stash.put(rest.join(close, ["key", "band", "id"]), "left")
     few = stash.put(close.select("id").distinct(), "close-ids")
     sets = stash.put(_sets_of(docs, few), "close-sets")
     dealt = _blocks(left).join(sets, "id").select(*block, "side", "id", "component", "items").repartition(*block).sortWithinPartitions(*block)
     out = stash.put(dealt.mapInArrow(_compared(percent), "a long, b long").distinct(), "between")
-    stash.drop("close", "counted", "left", "close-ids", "close-sets")
+    stash.drop("close", "left", "close-ids", "close-sets")
     return out
 
 
