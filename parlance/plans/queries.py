@@ -242,6 +242,55 @@ def win1_around(spark, sf_dir):
     return R.around(own, own.where("turn = 3").select("channel_id", "id"), 4, order=("turn", "id")).select("id", "channel_id", "target")
 
 
+def _lines(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rendered rows of each key, oldest first; callers keep few rows a key."""
+    line = message_line(F.lit(None).cast("timestamp"), F.col("channel_id").cast("string"), F.col("author_name"), F.col("author_id"), F.col("id"), F.col("content"))
+    told = F.sort_array(F.collect_list(F.struct("turn", "id", line.alias("line"))))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(told, lambda x: x["line"]), "\n").alias("text"))
+
+
+@query(f"""
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY turn, id) AS rn FROM ({_TURNS})), a AS (
+  SELECT a.*, b.id AS target FROM n a JOIN n b ON a.channel_id = b.channel_id AND b.turn = 2 AND a.rn BETWEEN b.rn - 1 AND b.rn + 1)
+SELECT target, string_agg({_LINE}, chr(10) ORDER BY turn, id) AS text FROM a GROUP BY target""")
+def tvf4_surrounding(spark, sf_dir):
+    own = conversation_messages(spark, sf_dir)
+    return _lines(R.around(own, own.where("turn = 2").select("channel_id", "id"), 3, order=("turn", "id")), "target")
+
+
+@query(f"""
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY turn DESC, id DESC) AS rn FROM ({_TURNS}))
+SELECT channel_id, string_agg({_LINE}, chr(10) ORDER BY turn, id) AS text FROM n WHERE rn <= 5 GROUP BY channel_id""")
+def tvf5_recent(spark, sf_dir):
+    return _lines(R.recent(conversation_messages(spark, sf_dir), 5, order=("turn", "id")), "channel_id")
+
+
+@query("""
+SELECT cast(n_nationkey AS varchar) AS id,
+  CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'Group (' || string_agg(s_name, ', ' ORDER BY s_suppkey) || ')' END AS name,
+  string_agg(s_name, '|' ORDER BY s_suppkey) AS recipients
+FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name HAVING bool_or(s_suppkey = 7)""")
+def prj4_mutual_groups(spark, sf_dir):
+    """Suppliers of one nation as a group conversation; every other one has no name of its own."""
+    from parlance.operators.scope import mutual_groups
+    from parlance.sources.schema import GROUP_DM
+
+    supplier = read(spark, sf_dir, "supplier")
+    recipients = supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.sort_array(F.collect_list("s_suppkey")).cast("array<string>").alias("recipients"))
+    groups = read(spark, sf_dir, "nation").join(recipients, "n_nationkey").select(F.col("n_nationkey").cast("string").alias("id"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("name"), F.lit(GROUP_DM).alias("type"), "recipients")
+    users = supplier.select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("username"), F.lit("").alias("globalName"))
+    return mutual_groups(groups, users, "7").select("id", "name", F.array_join("recipientNames", "|").alias("recipients"))
+
+
+@query("SELECT c_custkey AS channel_id, n_nationkey AS guild_id, coalesce(n_name, 'channel-' || c_custkey) AS guild_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey <> 2")
+def join6_channel_guild(spark, sf_dir):
+    """Channels with their guild's row; channels of unknown guilds stay."""
+    guilds = read(spark, sf_dir, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").alias("guild_id"), F.col("n_name").alias("name"))
+    channels = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("channel_id"), F.col("c_nationkey").alias("home"))
+    own = channels.join(guilds, F.col("home") == F.col("guild_id"), "left")
+    return own.select("channel_id", "guild_id", or_else(F.col("name"), F.concat(F.lit("channel-"), "channel_id")).alias("guild_name"))
+
+
 @query("SELECT event_id, ts FROM events ORDER BY ts, event_id LIMIT 100")
 def top1_oldest(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", "ts").orderBy("ts", "event_id").limit(100)
