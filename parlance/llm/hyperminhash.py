@@ -271,7 +271,7 @@ def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
     labelled = stash.put(members.select("key", "band", "id").join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
     stash.drop("members")
     open_groups = stash.put(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "open")
-    rest = stash.put(labelled.join(open_groups, "key").distinct(), "rest")
+    rest = stash.put(labelled.join(open_groups, "key"), "rest")
     more = _between(docs, rest, regs, percent, stash)
     joined = more.select("a", "b").union(first.select(F.col("id").alias("a"), F.col("component").alias("b")))
     final = components(joined, stash, "final")
