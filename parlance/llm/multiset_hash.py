@@ -5,8 +5,9 @@ lane, modulo a power of two. The order of paragraphs doesn't matter, and a parag
 or subtracting its vector (``insert_paragraph``, ``delete_paragraph``). A vector has two parts:
 
 * ``DENSE`` lanes modulo 2**32, from seeded hashes of the whole paragraph: they decide equality.
-* ``SKETCH`` lanes modulo 2**16: each word with the word before it in the paragraph adds 1 or -1 to one lane. The
-  cosine of two such parts estimates how many of their word pairs two documents share: the likeness.
+* ``SKETCH`` lanes: each word with the word before it in the paragraph adds 1 or -1 to one lane. The cosine of two
+  such parts, in full, estimates how many of their word pairs two documents share: the likeness. They are printed
+  modulo 2**16.
 
 One shuffle brings texts to their ids and one the heads of the next documents; the sums need no other.
 
@@ -80,7 +81,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def printed(dense: Column, sketch: Column) -> Column:
     hexed = lambda width: lambda x: F.lpad(F.lower(F.hex(x)), width, "0")
-    lanes = F.transform(sketch, lambda x: (x.cast("long") + 65536) % 65536)
+    lanes = F.transform(sketch, lambda x: F.pmod(x.cast("long"), F.lit(65536)))
     return F.concat(F.array_join(F.transform(dense, lambda x: hexed(8)((x.cast("long") + _MOD) % _MOD)), ""), F.lit("-"), F.array_join(F.transform(lanes, hexed(4)), ""))
 
 
@@ -124,13 +125,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     lanes = (
         keyed.select("name", "key", F.explode(halves).alias("x"))
         .select("name", "key", "x.which", F.explode(sketch_codes(F.col("x.t"))).alias("code"))
+        .where("code is not null")  # after each paragraph's last word; its lane would come before lane 0
         .groupBy("name", "key", F.shiftright("code", 2).alias("lane"))
-        .agg(*(F.sum(F.when(F.col("which") == w, F.col("code").bitwiseAND(3) - 1).otherwise(0)).cast("int").alias(f"s{w}") for w in (0, 1)))
+        .agg(*(F.sum(F.when(F.col("which") == w, F.col("code").bitwiseAND(3) - 1).otherwise(0)).alias(f"s{w}") for w in (0, 1)))
         .groupBy("name", "key")
         .agg(F.sort_array(F.collect_list(F.struct("lane", "s0", "s1"))).alias("lanes"))
     )
     times = F.element_at("lanes", -1)["s0"]
-    part = lambda s: F.transform(F.slice("lanes", 1, SKETCH), lambda x: F.round(x[s] / times).cast("smallint"))
+    part = lambda s: F.transform(F.slice("lanes", 1, SKETCH), lambda x: F.round(x[s] / times).cast("int"))
     sketches = lanes.select("name", "key", part("s0").alias("sketch"), part("s1").alias("edited_sketch"), times.alias("times"))
     sums = keyed.select("name", "key", "n_chars", _sha("text").alias("sha"), _sha("edited").alias("edited_sha"), _short(dense_sum(F.col("text"))).alias("dense"), _short(dense_sum(F.col("edited"))).alias("edited_dense"))
     main = sums.dropDuplicates(["name", "key"]).join(sketches, ["name", "key"]).withColumn("id", _id("name")).drop("name", "key")

@@ -122,6 +122,21 @@ def test_fingerprints_by_brute_force(spark, odd):
     assert len(out) == 10 and len({r["fingerprint"] for r in out if r["doc_id"] in (1, 5)}) == 1
 
 
+@pytest.mark.parametrize("word", ["word", "other"])  # of 'word' the pair is in the last lane
+def test_fingerprints_of_lanes_past_16_bits(spark, word):
+    rows = [(1, f"{word} " * 5), (2, f"{word} " * 40000), (4, f"{word} " * 40000), (4, f"{word} " * 40000)]
+    out = multiset_hash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in out) == [1, 2, 4, 4] and len({r["fingerprint"] for r in out if r["doc_id"] != 1}) == 1
+    lanes = [int(x, 16) for x in re.findall("....", out[[r["doc_id"] for r in out].index(2)]["fingerprint"].split("-")[1])]
+    # 39999 equal pairs in one lane, and one with the start and one with the end of the paragraph
+    far = [x for x in lanes if 2 < x < 65534]
+    assert len(lanes) == multiset_hash.SKETCH and len(far) == 1 and min(abs(far[0] - 39999), abs(far[0] - 25537)) <= 2
+    assert all(r["near_next"] == 1.0 for r in out if r["doc_id"] == 4)
+    # 4 and 1, 1: cosines to the next or edited text are known
+    assert all(abs(r["near_next"] - 4 / 18**0.5) < 1e-3 for r in out if r["doc_id"] == 2)
+    assert all(r["near_edited"] > 0.999 for r in out if r["doc_id"] != 1)
+
+
 def brute_components(docs, percent):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
