@@ -3,32 +3,35 @@
 Legal conversations are an optional system turn, then user and assistant in turn, beginning with user. Each turn is kept,
 relabelled, merged into the turn before it, or preceded by empty turns; ``KEEP`` to ``INSERT`` are the costs. The least
 cost from one automaton state to another is a small min-plus matrix, and such matrices can be multiplied in any grouping:
-long conversations are cut into chunks of ``CHUNK`` turn numbers whose matrices are made in separate tasks, chained
-(a 4 x 4 matrix a chunk), and give each chunk the states it begins and ends with; then each chunk finds its own path.
+all turns are cut into ranges of about equal rows, and in each range a conversation into chunks of at most ``CHUNK``
+rows, whatever their turn numbers, so neither a long conversation nor equal turn numbers or rows meet in one task. The
+chunks' matrices are made in separate tasks, chained (a 4 x 4 matrix a chunk), and give each chunk the states it begins
+and ends with; then each chunk finds its own path.
 The repaired turns are rendered piece by piece: a conversation's pieces, in order, are its text.
 
 Defined cases: roles are compared trimmed and in lower case; null and unknown roles may take any role at ``UNKNOWN``;
-null text renders as empty; turns of one number are ordered by role and text; null turn numbers come first, in a chunk
-of their own; rows without a conversation id form one conversation; repeated rows are turns of their own; an empty
+null text renders as empty; turns of one number are ordered by role and the SHA-256 of their text (ranges are cut by it,
+so it has to be short); null turn numbers come first; rows without a conversation id form one conversation; repeated rows are turns of their own; an empty
 table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import Stash, runs, table
+from parlance.llm.common import Stash, partitions, parts, runs, table
 
 ROLES = ("system", "user", "assistant")
 #: Costs of what a repair may do to a turn; merging a turn of another role costs both.
 KEEP, MERGE, RELABEL, UNKNOWN, INSERT = 0, 2, 3, 1, 4
-#: Turn numbers of a chunk.
+#: Rows of a chunk, at most.
 CHUNK = 4096
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
 START = 0  # states: 0 before any turn, then 1 + the place of the last turn's role in ROLES
@@ -108,6 +111,24 @@ def chain(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
     return list(zip(states[:-1], states[1:], strict=True))
 
 
+def _numbered(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted rows (name first) with their chunk of ``size`` rows, ascending over tasks too, and their place in it."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        last, seen = None, 0
+        for batch in parts(batches):
+            chunks, places = [], []
+            for name in batch.column(0).to_pylist():
+                seen = seen + 1 if name == last else 0
+                last = name
+                chunks.append(first + seen // size)
+                places.append(seen % size)
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(places, pa.int64()), *batch.columns], ["chunk", "place", *batch.schema.names])
+
+    return number
+
+
 def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, chunks, costs = [], [], []
     for rows in runs(batches, 2):
@@ -140,7 +161,7 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = entry
         for i, (row, role, to) in enumerate(zip(rows, roles, path(roles, entry, leave), strict=True)):
             cost, action, inserted = BEST[role][state, to]
-            text = row[4] or ""
+            text = row[4]
             if action.startswith("merge"):
                 piece = "\n" + text
             else:
@@ -159,10 +180,15 @@ def repaired(turns: DataFrame) -> DataFrame:
     stash = Stash(turns.sparkSession)
     name = F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit(""))
     turn = F.col("turn").cast("long")
-    chunk = F.coalesce(F.floor(turn / CHUNK).cast("long"), F.lit(-(1 << 62)))
-    own = turns.select(name.alias("name"), chunk.alias("chunk"), turn.alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    order = ("name", "chunk", "turn", "role", "text")
-    costs = own.repartition("name", "chunk").sortWithinPartitions(*order).select("name", "chunk", "role").mapInArrow(_matrices, "name string, chunk long, costs array<long>")
+    own = turns.select(name.alias("name"), turn.alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # written with their numbers, which are then the same whenever a task runs again; they tell repeated rows apart
+    own = stash.put(own.withColumn("row", F.monotonically_increasing_id()), "rows")
+    place = (F.col("name"), F.col("turn"), F.col("role"), F.unhex(F.sha2("text", 256)), F.col("row"))
+    ranged = own.repartitionByRange(partitions(turns.sparkSession), *place).sortWithinPartitions(*place).drop("row")
+    own = stash.put(ranged.mapInArrow(_numbered(CHUNK), "chunk long, place long, name string, turn long, role string, text string"), "numbered")
+    stash.drop("rows")
+    order = ("name", "chunk", "place")
+    costs = own.select(*order, "role").repartition("name", "chunk").sortWithinPartitions(*order).select("name", "chunk", "role").mapInArrow(_matrices, "name string, chunk long, costs array<long>")
     costs = stash.put(costs.withColumn("chunks", F.count("*").over(Window.partitionBy("name"))), "matrices")
     row = F.slice("costs", 1, 4)
     single = costs.where("chunks = 1").select("name", "chunk", F.lit(START).cast("long").alias("entry"), (F.array_position(row, F.array_min(row)) - 1).alias("leave"), F.lit(True).alias("final"))

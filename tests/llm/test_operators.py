@@ -382,6 +382,34 @@ def test_rendered_conversations(spark, monkeypatch):
     assert sum(r["cost"] for r in out if r["conv_id"] == 1) == role_repair.matrix([role_repair.role_of(r) for r in roles])[0].min()
 
 
+def test_chunks_of_roles_are_bounded_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(role_repair, "CHUNK", 20)
+    matrices = []
+
+    class Counting(role_repair.Stash):
+        def put(self, df, name):
+            out = super().put(df, name)
+            matrices.extend([out] if name == "matrices" else [])
+            return out
+
+    monkeypatch.setattr(role_repair, "Stash", Counting)
+    rng = random.Random(7)
+    role = lambda: rng.choice(["user", "assistant", "system", "bot", None])
+    rows = [(None, i % 3, role(), f"t{i}") for i in range(300)] + [(1, None, role(), f"t{i}") for i in range(200)] + [(2, 5, "user", "same")] * 150 + [(3, i, role(), f"t{i}") for i in range(100)]
+    out = role_repair.repaired(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    assert collections.Counter(r[:3] for r in rows) == collections.Counter((r["conv_id"], r["turn"], r["role"]) for r in out)
+    made = collections.Counter(r["name"] for r in matrices[0].collect())
+    for conv in (None, 1, 2, 3):
+        own = [r for r in rows if r[0] == conv]
+        assert made["" if conv is None else str(conv)] >= len(own) / 20
+        own.sort(key=lambda r: (-1 if r[1] is None else r[1], r[2] or "", hashlib.sha256(r[3].encode()).digest()))
+        assert sum(r["cost"] for r in out if r["conv_id"] == conv) == role_repair.matrix([role_repair.role_of(r[2]) for r in own])[0].min()
+        assert sum(r["piece"].endswith("<|end|>\n") for r in out if r["conv_id"] == conv) == 1
+    text = "".join(r["piece"] for r in sorted((r for r in out if r["conv_id"] == 3), key=lambda r: r["turn"]))
+    turns = re.findall(r"<\|(user|assistant|system)\|>\n", text)
+    assert all(x != y for x, y in itertools.pairwise(turns)) and all(f"t{i}" in text for i in range(100))
+
+
 def test_odd_rows(spark, odd, none):
     trees = gbt.fit(np.zeros((0, len(quality_rules.SHARES))), np.zeros(0))
     rows = quality_rules.apply(odd, trees).collect()
