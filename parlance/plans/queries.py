@@ -18,7 +18,7 @@ from parlance.functions.render import message_line, stamp
 from parlance.functions.values import contains, or_else, some
 from parlance.operators import predicates as P
 from parlance.operators import retrieve as R
-from parlance.operators.sessions import current
+from parlance.operators.sessions import current, for_channel
 from parlance.sources.tables import conversation_messages, event_messages, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,20 @@ def tvf3_search_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.desc("id")).limit(15).select("id", "channel_id", "content", line.alias("line"))
 
 
+@query(f"""
+SELECT id, channel_id, content, {_LINE} AS line FROM ({_TURNS})
+WHERE channel_id IN (SELECT conv_id FROM conversations WHERE role = 'system')
+  AND contains(lower(content), 'le')
+ORDER BY id DESC LIMIT 15""")
+def tvf3_search_system_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As tvf3_search_messages, in all conversations with a system turn."""
+    turns = conversation_messages(spark, sf_dir)
+    allowed = turns.where(F.col("author_id") == "system").select("channel_id").distinct()
+    rows = turns.join(allowed, "channel_id", "left_semi").where(contains(F.col("content"), "le"))
+    line = message_line(F.lit(None).cast("timestamp"), F.col("channel_id").cast("string"), F.col("author_name"), F.col("author_id"), F.col("id"), F.col("content"))
+    return rows.orderBy(F.desc("id")).limit(15).select("id", "channel_id", "content", line.alias("line"))
+
+
 @query("SELECT event_id, user_id FROM events WHERE user_id = 7")
 def prd1_author(spark, sf_dir):
     return event_messages(spark, sf_dir).where(P.author(F.col("user_id"), 7)).select("event_id", "user_id")
@@ -446,6 +460,14 @@ def src10_snk6_newest(spark, sf_dir):
     return own.orderBy(F.desc("turn"), "id").limit(60)
 
 
+@query("SELECT conv_id AS id, max(turn) AS turn FROM conversations GROUP BY conv_id ORDER BY turn DESC, id LIMIT 60")
+def src10_snk6_newest_of_all(spark, sf_dir):
+    """All conversations as sessions of one channel, each turn a version; the newest ones as a log."""
+    versions = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.lit("all").alias("channelId"), F.col("turn").alias("updatedAt"), F.lit(False).alias("deleted"))
+    log = for_channel(versions, "all").select("id", F.col("updatedAt").alias("time"), (-F.col("id")).alias("seq"))
+    return R.newest_logs(log).select("id", F.col("time").alias("turn"))
+
+
 @query("SELECT o_orderkey, o_orderstatus AS status FROM orders WHERE o_orderkey = 33")
 def src5_lookup(spark, sf_dir):
     from parlance.sources.tables import lookup
@@ -507,6 +529,18 @@ def join3_members(spark, sf_dir):
     return members(known.unionByName(lost), own).select(F.col("id").cast("long").alias("id"), "username")
 
 
+@query("SELECT s_suppkey AS id, s_name AS username FROM supplier UNION ALL SELECT c_custkey, 'Member' FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey)")
+def join3_all_members(spark, sf_dir):
+    """All suppliers as members, and customers that are no suppliers as members without a user row."""
+    from parlance.operators.directory import members
+
+    own = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("username"))
+    known = own.select(F.col("id").alias("user_id"))
+    lost = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("user_id")).join(known, "user_id", "left_anti")
+    every = known.unionByName(lost).withColumn("nick", F.lit(None).cast("string"))
+    return members(every, own).select(F.col("id").cast("long").alias("id"), "username")
+
+
 @query("SELECT o_orderkey AS id, o_orderstatus AS name, l_quantity AS result FROM orders LEFT JOIN (SELECT l_orderkey, max(l_quantity) AS l_quantity FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
 def join7_call_results(spark, sf_dir):
     from parlance.operators.sessions import calls_with_results
