@@ -1,7 +1,8 @@
 """Main-text extraction: a bidirectional LSTM in numpy labels every block of a page.
 
 A page is read into leaf blocks in order: runs of text between block-level tags, with their tag path (names, classes,
-ids). Script, style and other non-text elements hold no blocks. Each block becomes a vector: hashed tag-path parts,
+ids). Script, style and other non-text elements hold no blocks; an end tag of head may be left out, an open svg ends at the
+next tag of the page itself, and an open object or template ends with its parent. Each block becomes a vector: hashed tag-path parts,
 hashed words, and a few numbers (length, links, place). A bidirectional LSTM reads all vectors of a page, so each block
 is judged with the whole document as context; blocks that it labels as main text are joined.
 
@@ -33,6 +34,10 @@ BLOCKS = frozenset("address article aside blockquote body canvas center dd detai
 SILENT = frozenset("script style noscript template iframe object svg math head title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
+#: Elements that may stand in head: any other start tag ends it, as its end tag may be left out.
+HEAD = frozenset("meta link base basefont bgsound noframes title style script noscript template head html".split())
+#: Start tags that end svg and math, except inside foreignObject, as browsers do.
+BREAKING = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu meta nobr ol p pre ruby s small span strike strong sub sup table tt u ul var".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[^\W_]+")
@@ -65,11 +70,18 @@ def leaves(page: str) -> list[Leaf]:
         held.clear()
         linked = 0
 
+    def cut(i: int) -> None:
+        nonlocal silent
+        silent -= sum(x in SILENT for x, _ in stack[i:])
+        del stack[i:]
+
     at = 0
     lower = None
     while at < len(page):
         found = _TAG.search(page, at)
         upto = found.start() if found else len(page)
+        if silent and stack[-1][0] == "head" and page[at:upto].strip():
+            cut(len(stack) - 1)
         if upto > at and not silent:
             text = html.unescape(page[at:upto])
             held.append(text)
@@ -86,12 +98,23 @@ def leaves(page: str) -> list[Leaf]:
                 close()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    silent -= sum(x in SILENT for x, _ in stack[i:])
-                    del stack[i:]
+                    cut(i)
                     break
                 if name not in BLOCKS and name not in SILENT and stack[i][0] in BLOCKS:
                     break  # a stray inline end tag ends no block
             continue
+        if silent:
+            names = [x for x, _ in stack]
+            if name == "body" and "head" in names:
+                cut(names.index("head"))
+            elif name not in HEAD and names[-1] == "head":
+                cut(len(stack) - 1)
+            elif name in BREAKING:
+                for i in range(len(names) - 1, -1, -1):
+                    if names[i] in ("svg", "math"):
+                        cut(i)
+                    if names[i] in SILENT or names[i] == "foreignobject":
+                        break
         if name in BLOCKS or name in SILENT:
             close()
         if name in VOID:
@@ -103,14 +126,14 @@ def leaves(page: str) -> list[Leaf]:
                 if stack[i][0] == name:
                     del stack[i:]
                     break
-                if stack[i][0] in BLOCKS and stack[i][0] not in ("p", "li", "dt", "dd", "td", "th", "option"):
+                if stack[i][0] in SILENT or stack[i][0] in BLOCKS and stack[i][0] not in ("p", "li", "dt", "dd", "td", "th", "option"):
                     break
         elif name in BLOCKS:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
                     del stack[i:]
                     break
-                if stack[i][0] in BLOCKS:
+                if stack[i][0] in BLOCKS or stack[i][0] in SILENT:
                     break
         if found[3].rstrip().endswith("/") and name in ("svg", "math"):
             continue

@@ -337,6 +337,17 @@ def test_leaves():
     assert len(html_lstm.leaves("<div>" * 3000 + "deep")) == 1
 
 
+def test_leaves_where_end_tags_are_left_out():
+    texts = lambda page: [x.text for x in html_lstm.leaves(page)]
+    head = "<html><head><meta charset=x><title>t</title><style>p{}</style><link href=y><script>z</script>"
+    assert texts(head + "<body><p>a<p>b") == texts(head + "</head><body><p>a<p>b") == texts(head + "<p>a<p>b") == ["a", "b"]
+    assert texts(head + "a<p>b") == ["a", "b"] and texts(head + "<b>a</b></head><p>b") == ["a", "b"]
+    assert texts(head + "<template>c<body><p>a") == ["a"] and texts(head) == [] and texts("<head><header>a") == ["a"]
+    assert texts("<div><svg><path><text>x<p>a</p></div><p>b") == ["a", "b"] and texts("<ul><li><svg><g>x<li>a</ul>b") == ["a", "b"]
+    assert texts("<svg><foreignObject><p>x</p></foreignObject></svg>a") == ["a"]
+    assert texts("<ul><li><object>x<li>y</ul>a") == ["a"] and texts("<p>a<template><p>x</template>b") == ["a", "b"]
+
+
 def test_extraction(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     odd = spark.createDataFrame([(-1, None, None), (-2, "u", ""), (None, "u", "<p>x")], pages.select("page_id", "url", "html").schema)
