@@ -30,8 +30,8 @@ from parlance.llm import tokens
 from parlance.llm.common import Stash, partitions, parts, table, texts
 
 MAGIC = b"RPG1"
-#: Ids of a block (the last document may exceed it), rounds, pairs that a round replaces, and the least count of one.
-BLOCK, ROUNDS, PAIRS, LEAST = 1 << 20, 4, 2048, 24
+#: Ids of a block (the last document may exceed it), pairs that a round replaces, and the least count of one.
+BLOCK, PAIRS, LEAST = 1 << 20, 2048, 24
 _END = np.array([tokens.END], "<u4").tobytes()
 _BITS = 18
 
@@ -43,19 +43,21 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     last = np.zeros(len(seq), bool)
     last[np.cumsum(lengths) - 1] = True
     rules: list[np.ndarray] = []
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         key = (seq[:-1] << 32) | seq[1:]
         bucket = ((key * np.int64(-7046029254386353131)) >> np.int64(64 - _BITS)) & ((1 << _BITS) - 1)
-        bucket[last[:-1]] = 0
-        counts = np.bincount(bucket, minlength=1 << _BITS)
-        counts[0] = 0  # pairs across an end, and those few that fall together with them
+        bucket[last[:-1]] = 1 << _BITS  # pairs across an end
+        counts = np.bincount(bucket, minlength=(1 << _BITS) + 1)
+        counts[-1] = 0
         floor = max(LEAST, int(np.partition(counts, -PAIRS)[-PAIRS]))
-        at = np.flatnonzero((counts >= floor)[bucket])
-        pairs, times = np.unique(key[at], return_counts=True)
-        order = np.argsort(-times, kind="stable")[:PAIRS]
-        pairs = np.sort(pairs[order[times[order] >= LEAST]])
+        while True:
+            at = np.flatnonzero((counts >= floor)[bucket])
+            pairs, times = np.unique(key[at], return_counts=True)
+            order = np.argsort(-times, kind="stable")[:PAIRS]
+            pairs = np.sort(pairs[order[times[order] >= LEAST]])
+            if len(pairs) or floor == LEAST:
+                break
+            floor = LEAST  # the fullest buckets held rare pairs only
         if not len(pairs):
             break
         found = np.searchsorted(pairs, key[at])

@@ -224,6 +224,25 @@ def test_grammar_round_trip():
     assert repair_tokens.expansions(block.rules, block.base).tolist() == block.expansions.tolist()
 
 
+def test_grammar_until_no_pair_is_frequent():
+    rng = np.random.default_rng(11)
+    passage = rng.integers(3, 500, 300)
+    docs = [np.append(np.concatenate([rng.integers(3, 9000, 20), passage]), 2) for _ in range(400)] + [np.append(rng.zipf(1.3, 3000) % 500 + 3, 2) for _ in range(20)]
+    docs += [np.array([4] * 3000 + [2])]
+    # a pair whose hash is 0 in the bits that name a bucket
+    pairs = (rng.integers(3, 1 << 20, 1 << 21) << 32) | rng.integers(3, 1 << 20, 1 << 21)
+    zero = pairs[(((pairs * np.int64(-7046029254386353131)) >> np.int64(64 - repair_tokens._BITS)) & ((1 << repair_tokens._BITS) - 1)) == 0][0]
+    docs += [np.array([int(zero) >> 32, int(zero) & 0xFFFFFFFF, 2])] * 50
+    docs = [x.astype("<u4").tobytes() for x in docs]
+    seq, spans, rules, base = repair_tokens.compress(np.frombuffer(b"".join(docs), "<u4"), np.array([len(x) // 4 for x in docs]))
+    inside = np.ones(len(seq), bool)
+    inside[np.cumsum(spans) - 1] = False
+    _, times = np.unique(((seq[:-1] << 32) | seq[1:])[inside[:-1]], return_counts=True)
+    assert times.max() < repair_tokens.LEAST
+    assert repair_tokens.expansions(rules, base).max() > 16
+    assert repair_tokens.Block(repair_tokens.pack(list(range(len(docs))), docs)).decode() == docs
+
+
 def test_written_tokens(spark, odd, none):
     from parlance.llm.common import Stash
 
