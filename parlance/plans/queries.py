@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from parlance.functions import ids as I
 from parlance.functions import text as X
 from parlance.functions.render import message_line, stamp
-from parlance.functions.values import contains, or_else, some
+from parlance.functions.values import contains, or_else
 from parlance.operators import predicates as P
 from parlance.operators import retrieve as R
 from parlance.operators.sessions import current, for_channel
@@ -239,8 +239,8 @@ def agg1_counted(spark, sf_dir):
 
 @query("SELECT DISTINCT conv_id FROM conversations WHERE role = 'system'")
 def agg9_exists(spark, sf_dir):
-    own = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("roles"))
-    return own.where(some(F.col("roles"), lambda r: r == "system")).select("conv_id")
+    own = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.bool_or(F.col("role") == "system").alias("found"))
+    return own.where("found").select("conv_id")
 
 
 @query(f"SELECT id, channel_id FROM ({_TURNS}) QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY turn DESC, id DESC) <= 3")

@@ -24,3 +24,8 @@ def test_scope_by_a_system_turn(spark):
     channels = {r["channel_id"] for r in QUERIES["tvf3_search_system_scope"](spark, DATA).collect()}
     system = {r["conv_id"] for r in read(spark, DATA, "conversations").where("role = 'system'").collect()}
     assert channels and channels <= system
+
+
+def test_exists_collects_no_arrays(spark):
+    plan = QUERIES["agg9_exists"](spark, DATA)._jdf.queryExecution().toString()
+    assert "bool_or" in plan and "collect_list" not in plan
