@@ -96,14 +96,69 @@ def test_views_teach_each_other():
 
 
 def test_multiset_hash(spark):
-    df = spark.createDataFrame([("a\nb b c\nd",), ("d\na\nb b c",), ("a\nd",), ("a\nb b\nc d",)], "t string")
     from pyspark.sql import functions as F
 
-    sums = [r[0] for r in df.select(multiset_hash.dense_sum(F.col("t"))).collect()]
-    assert sums[0] == sums[1] and len({tuple(s) for s in sums}) == 3
-    less = df.limit(1).select(multiset_hash.delete_paragraph(multiset_hash.dense_sum(F.col("t")), F.lit("b b c"))).collect()[0][0]
-    more = df.where("t = 'a\nd'").select(multiset_hash.insert_paragraph(multiset_hash.dense_sum(F.col("t")), F.lit("b b c"))).collect()[0][0]
-    assert less == sums[2] and more == sums[0]
+    own = ["a\nb b c\nd", "d\na\nb b c", "a\nd", "a\nb b\nc d", "b b c"]
+    rows = multiset_hash.fingerprints(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")).select("doc_id", "fingerprint")
+    prints = {r["doc_id"]: r["fingerprint"] for r in rows.collect()}
+    assert prints[0] == prints[1] and len(set(prints.values())) == 4
+    df = spark.createDataFrame([(prints[0], prints[2])], "more string, less string")
+    got = df.select(multiset_hash.deleted(F.col("more"), F.lit("b b c")), multiset_hash.inserted(F.col("less"), F.lit("b b c")), multiset_hash.deleted(multiset_hash.deleted(F.col("less"), F.lit("a")), F.lit("d"))).first()
+    assert got[0] == prints[2] and got[1] == prints[0] and set(got[2]) == set("0-")
+
+
+def word_pairs(text):
+    """The word pairs of a text, each line with an empty word before it."""
+    out = collections.Counter()
+    for line in text.split("\n") if text else []:
+        own = re.split("[\\x20\\x09-\\x0D]+", line)
+        out.update(zip(["", *own], own, strict=False))
+    return out
+
+
+def lane_cosine(spark, texts):
+    """Cosines by plain counters over lanes: those of word pairs, hashed with the function that the lanes are hashed with."""
+    from pyspark.sql import functions as F
+
+    pairs = [word_pairs(x) for x in texts]
+    known = sorted({p for own in pairs for p in own})
+    hashed = spark.createDataFrame(known or [("", "")], "before string, word string").select("before", "word", F.xxhash64("before", "word").alias("h")).collect()
+    lane = {(r["before"], r["word"]): (r["h"] & 127, (r["h"] >> 20 & 1) * 2 - 1) for r in hashed}
+    sums = []
+    for own in pairs:
+        total = np.zeros(128)
+        for p, n in own.items():
+            total[lane[p][0]] += lane[p][1] * n
+        sums.append(total)
+    return lambda i, j: max(0.0, min(1.0, float(sums[i] @ sums[j] / np.sqrt((sums[i] @ sums[i]) * (sums[j] @ sums[j]))))) if sums[i].any() and sums[j].any() else 0.0
+
+
+def test_likeness_equals_a_plain_cosine(spark):
+    known = [*random_texts(25, 8), "", "", "word " * 200000, "word " * 200000 + "\n", "one\ntwo three"]
+    order = list(enumerate(known))[::-1]
+    edited = {i: t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2] for k, (i, t) in enumerate(order)}
+    likeness = lane_cosine(spark, known + [edited[i] for i in range(len(known))])
+    same = lambda a, b: sorted(a.split("\n") if a else []) == sorted(b.split("\n") if b else [])
+    for r in multiset_hash.fingerprints(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect():
+        i = r["doc_id"]
+        below = (i - 1) % len(known)
+        assert abs(r["near_edited"] - (1.0 if same(known[i], edited[i]) else likeness(i, len(known) + i))) < 1e-9
+        assert abs(r["near_next"] - (1.0 if same(known[i], known[below]) else likeness(i, below))) < 1e-9
+        assert r["edited_sha256"] == hashlib.sha256(edited[i].encode()).hexdigest()
+
+
+def test_fingerprints_of_hot_and_missing_ids(spark):
+    rows = [(3, "a b\nc")] * 40 + [(3, "z y x w v")] * 2 + [(1, "first"), (9, "nine nine nine nine nine")] + [(None, "a b\nc")] * 30 + [(None, None)] * 3
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, id string, slot int").repartition(5)
+    out = multiset_hash.fingerprints(df).collect()
+    assert collections.Counter(r["doc_id"] for r in out) == collections.Counter(i for i, _ in rows)
+    least = min(("a b\nc", "z y x w v"), key=lambda x: hashlib.sha256(x.encode()).digest())
+    nexts = {9: least, 3: "first", 1: "nine nine nine nine nine", None: ""}
+    want = collections.Counter((i, hashlib.sha256(((t or "")[: len(t or "") - len(t or "") // 2] + nexts[i][: len(t or "") // 2]).encode()).hexdigest()) for i, t in rows)
+    assert collections.Counter((r["doc_id"], r["edited_sha256"]) for r in out) == want
+    assert len({r["fingerprint"] for r in out if r["n_chars"] == 5 and r["doc_id"] != 1}) == 1
+    assert all(r["near_next"] == (1.0 if r["n_chars"] == 0 else 0.0) for r in out if r["doc_id"] is None)
+    assert [r["near_next"] for r in multiset_hash.fingerprints(spark.createDataFrame([(5, "x y")], "doc_id long, text string")).collect()] == [1.0]
 
 
 def test_fingerprints_by_brute_force(spark, odd):
