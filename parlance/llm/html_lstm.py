@@ -9,8 +9,8 @@ is judged with the whole document as context; blocks that it labels as main text
 The network is trained on pages made here by rule (``training_pages``), with menus, adverts, sidebars, notices, forms
 and comments around articles, whose labels are known; fitting is deterministic, takes seconds, and depends on no table.
 
-Defined cases: null or empty html gives an empty text; markup that is cut off ends where the page ends; a page of plain
-text without tags is one block; nested depth and length are not limited; repeated rows are extracted each; other columns
+Defined cases: null or empty html gives an empty text; tags are read as the HTML standard reads them, so a tag, comment or
+quoted value that is never closed reaches to the end of the page; a page of plain text without tags is one block; nested depth and length are not limited; repeated rows are extracted each; other columns
 are ignored; null ids stay null.
 """
 
@@ -38,55 +38,127 @@ RAW = frozenset("script style textarea title noscript iframe".split())
 HEAD = frozenset("meta link base basefont bgsound noframes title style script noscript template head html".split())
 #: Start tags that end svg and math, except inside foreignObject, as browsers do.
 BREAKING = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu meta nobr ol p pre ruby s small span strike strong sub sup table tt u ul var".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: An attribute as the HTML standard reads it: a quote only opens a value directly after the equals sign.
+_ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+|(?=>)|\Z))?+"""
+_TAG = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE})*+)(?:>|\Z)", re.S)
+_NAMED = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*)"?|'([^']*)'?|([^\s>"'][^\s>]*)))?+""")
 _WORD = re.compile(r"[^\W_]+")
 
 PATH, WORDS, NUMBERS, HIDDEN = 96, 32, 8, 12
 WIDTH = PATH + WORDS + NUMBERS
 
 
+
+class _Slots(dict):
+    """The hashed place of each word or path part seen so far; begun anew when there are too many."""
+
+    def __init__(self, size: int, salt: int):
+        self.size, self.salt = size, salt
+
+    def __missing__(self, text: str) -> int:
+        if len(self) > 1 << 17:
+            self.clear()
+        self[text] = zlib.crc32(text.encode("utf-8", "replace"), self.salt) % self.size
+        return self[text]
+
+
+_PART_SLOTS, _WORD_SLOTS = _Slots(PATH, 1), _Slots(WORDS, 2)
+_RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for name in sorted(RAW)}
+_PARTS: dict[tuple[str, str], tuple[str, ...]] = {}
+
+
+def _path_parts(name: str, attributes: str) -> tuple[str, ...]:
+    """A tag's name and the words of its class, id and role."""
+    key = (name, attributes)
+    if key not in _PARTS:
+        if len(_PARTS) > 1 << 15:
+            _PARTS.clear()
+        parts, seen = [name], set()
+        for attribute, *values in _NAMED.findall(attributes):
+            attribute = attribute.lower()
+            if attribute in ("class", "id", "role") and attribute not in seen:
+                seen.add(attribute)
+                parts += [f"@{w}" for w in _WORD.findall("".join(values).lower())]
+        _PARTS[key] = tuple(parts)
+    return _PARTS[key]
+
+
 @dataclass
 class Leaf:
-    """A block: its text, the parts of its tag path (outermost first) and how much of the text is in links."""
+    """A block: its text, how much of it is in links, and its tag path: hashed places, distinct parts, last part."""
 
     text: str
-    path: tuple[str, ...]
     linked: int
+    slots: np.ndarray
+    parts: int
+    last: str
+
+
+class _Stack:
+    """Open elements, with counts of what is on the path, so neither a tag nor a block costs more where it is deep."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.own: list[tuple[str, ...]] = []
+        self.open: dict[str, int] = {}
+        self.parts: dict[str, int] = {}
+        self.slots = np.zeros(PATH, np.int32)
+        self.silent = 0
+
+    def push(self, name: str, parts: tuple[str, ...]) -> None:
+        self.names.append(name)
+        self.own.append(parts)
+        self.open[name] = self.open.get(name, 0) + 1
+        self.silent += name in SILENT
+        for part in parts:
+            self.parts[part] = self.parts.get(part, 0) + 1
+            self.slots[_PART_SLOTS[part]] += 1
+
+    def cut(self, first: int) -> None:
+        while len(self.names) > first:
+            name = self.names.pop()
+            self.open[name] -= 1
+            self.silent -= name in SILENT
+            for part in self.own.pop():
+                self.slots[_PART_SLOTS[part]] -= 1
+                if self.parts[part] == 1:
+                    del self.parts[part]
+                else:
+                    self.parts[part] -= 1
+
+    def leaf(self, text: str, linked: int) -> Leaf:
+        return Leaf(text, linked, self.slots > 0, len(self.parts), self.own[-1][-1] if self.own else "")
 
 
 def leaves(page: str) -> list[Leaf]:
     """Blocks of a page in order; white space inside a block is one space."""
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Stack()
+    names = stack.names
     held: list[str] = []
-    linked = silent = 0
+    linked = 0
 
     def close() -> None:
         nonlocal linked
         text = " ".join("".join(held).split())
         if text:
-            out.append(Leaf(text, tuple(x for _, parts in stack for x in parts), min(linked, len(text))))
+            out.append(stack.leaf(text, min(linked, len(text))))
         held.clear()
         linked = 0
 
-    def cut(i: int) -> None:
-        nonlocal silent
-        silent -= sum(x in SILENT for x, _ in stack[i:])
-        del stack[i:]
-
     at = 0
-    lower = None
     while at < len(page):
         found = _TAG.search(page, at)
         upto = found.start() if found else len(page)
-        if silent and stack[-1][0] == "head" and page[at:upto].strip():
-            cut(len(stack) - 1)
-        if upto > at and not silent:
-            text = html.unescape(page[at:upto])
-            held.append(text)
-            if any(name == "a" for name, _ in stack):
-                linked += len(text)
+        if upto > at:
+            text = page[at:upto]
+            if stack.silent and names[-1] == "head" and text.strip():
+                stack.cut(len(names) - 1)
+            if not stack.silent:
+                text = html.unescape(text)
+                held.append(text)
+                if stack.open.get("a"):
+                    linked += len(text)
         if not found:
             break
         at = found.end()
@@ -94,26 +166,29 @@ def leaves(page: str) -> list[Leaf]:
         if not name:
             continue
         if found[1]:
+            if name == "br" and not stack.silent:
+                held.append(" ")
             if name in BLOCKS or name in SILENT:
                 close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    cut(i)
-                    break
-                if name not in BLOCKS and name not in SILENT and stack[i][0] in BLOCKS:
-                    break  # a stray inline end tag ends no block
+            if stack.open.get(name):
+                for i in range(len(names) - 1, -1, -1):
+                    if names[i] == name:
+                        stack.cut(i)
+                        break
+                    if name not in BLOCKS and name not in SILENT and names[i] in BLOCKS:
+                        break  # a stray inline end tag ends no block
             continue
-        if silent:
-            names = [x for x, _ in stack]
-            if name == "body" and "head" in names:
-                cut(names.index("head"))
+        if stack.silent:
+            if name == "body" and stack.open.get("head"):
+                stack.cut(names.index("head"))
             elif name not in HEAD and names[-1] == "head":
-                cut(len(stack) - 1)
+                stack.cut(len(names) - 1)
             elif name in BREAKING:
                 for i in range(len(names) - 1, -1, -1):
+                    silent = names[i] in SILENT or names[i] == "foreignobject"
                     if names[i] in ("svg", "math"):
-                        cut(i)
-                    if names[i] in SILENT or names[i] == "foreignobject":
+                        stack.cut(i)
+                    if silent:
                         break
         if name in BLOCKS or name in SILENT:
             close()
@@ -122,54 +197,44 @@ def leaves(page: str) -> list[Leaf]:
                 held.append(" ")
             continue
         if name in ("p", "li", "option", "dt", "dd", "tr", "td", "th"):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
+            for i in range(len(names) - 1, -1, -1):
+                if names[i] == name:
+                    stack.cut(i)
                     break
-                if stack[i][0] in SILENT or stack[i][0] in BLOCKS and stack[i][0] not in ("p", "li", "dt", "dd", "td", "th", "option"):
+                if names[i] in SILENT or names[i] in BLOCKS and names[i] not in ("p", "li", "dt", "dd", "td", "th", "option"):
                     break
         elif name in BLOCKS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
+            for i in range(len(names) - 1, -1, -1):
+                if names[i] == "p":
+                    stack.cut(i)
                     break
-                if stack[i][0] in BLOCKS or stack[i][0] in SILENT:
+                if names[i] in BLOCKS or names[i] in SILENT:
                     break
         if found[3].rstrip().endswith("/") and name in ("svg", "math"):
             continue
         if name in RAW:
-            if lower is None:
-                lower = page.lower()
-            end = lower.find(f"</{name}", at)
-            at = len(page) if end < 0 else page.find(">", end) + 1 or len(page)
+            end = _RAW_ENDS[name].search(page, at)
+            at = end.end() if end else len(page)
             continue
-        parts = [name]
-        for _, *values in _ATTR.findall(found[3]):
-            parts += [f"@{w}" for w in _WORD.findall("".join(values).lower())]
-        stack.append((name, tuple(parts)))
-        silent += name in SILENT
+        stack.push(name, _path_parts(name, found[3]))
     close()
     return out
 
 
-def _slot(text: str, size: int, salt: int) -> int:
-    return zlib.crc32(text.encode(), salt) % size
-
-
 def vectors(blocks: list[Leaf]) -> np.ndarray:
     """One row a block: tag path, words and numbers."""
     x = np.zeros((len(blocks), WIDTH), np.float32)
-    for i, leaf in enumerate(blocks):
-        for part in set(leaf.path):
-            x[i, _slot(part, PATH, 1)] = 1
-        words = leaf.text.lower().split()
-        for word in words:
-            x[i, PATH + _slot(word, WORDS, 2)] += 1
-        own = x[i, PATH : PATH + WORDS]
-        x[i, PATH : PATH + WORDS] = own / max(float(np.sqrt((own * own).sum())), 1.0)
-        n = len(leaf.text)
-        last = leaf.path[-1] if leaf.path else ""
-        x[i, PATH + WORDS :] = (np.log1p(n) / 6, leaf.linked / max(n, 1), min(len(words), 40) / 40, len(set(leaf.path)) / 10, i / max(len(blocks) - 1, 1), last == "p", last == "li", leaf.text[-1:] in ".!?")
+    if not blocks:
+        return x
+    own = [leaf.text.lower().split() for leaf in blocks]
+    sizes = np.array([len(w) for w in own])
+    slots = np.array([_WORD_SLOTS[w] for words in own for w in words], np.int64)
+    counts = np.bincount(np.repeat(np.arange(len(own)), sizes) * WORDS + slots, minlength=len(own) * WORDS).reshape(-1, WORDS).astype(np.float32)
+    x[:, :PATH] = [leaf.slots for leaf in blocks]
+    x[:, PATH : PATH + WORDS] = counts / np.maximum(np.sqrt((counts * counts).sum(1, keepdims=True)), 1.0)
+    n = np.array([len(leaf.text) for leaf in blocks], float)
+    last = np.array([(leaf.last == "p", leaf.last == "li", leaf.text[-1] in ".!?") for leaf in blocks], float)
+    x[:, PATH + WORDS :] = np.column_stack([np.log1p(n) / 6, np.array([leaf.linked for leaf in blocks]) / n, np.minimum(sizes, 40) / 40, np.array([leaf.parts for leaf in blocks]) / 10, np.arange(len(blocks)) / max(len(blocks) - 1, 1), last])
     return x
 
 
@@ -187,8 +252,8 @@ def _init(rng: np.random.Generator) -> dict[str, np.ndarray]:
     return p
 
 
-def _run(x: np.ndarray, mask: np.ndarray, w: np.ndarray, b: np.ndarray):
-    """One direction over a batch (pages, blocks, width): hidden states, and what going back needs."""
+def _run(x: np.ndarray, mask: np.ndarray, w: np.ndarray, b: np.ndarray, tape: bool):
+    """One direction over a batch (pages, blocks, width): hidden states, and with ``tape`` what going back needs."""
     n, t, _ = x.shape
     h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
     out, kept = np.zeros((n, t, HIDDEN)), []
@@ -200,7 +265,8 @@ def _run(x: np.ndarray, mask: np.ndarray, w: np.ndarray, b: np.ndarray):
         m = mask[:, k, None]
         new = f * c + i * u
         tanh = np.tanh(new)
-        kept.append((h, c, i, f, o, u, tanh))
+        if tape:
+            kept.append((h, c, i, f, o, u, tanh))
         c = m * new + (1 - m) * c
         h = m * o * tanh + (1 - m) * h
         out[:, k] = h
@@ -229,9 +295,9 @@ def _back(x, mask, w, kept, dout):
     return dw, db
 
 
-def _forward(p, x, mask):
-    hf, kf = _run(x, mask, p["wf"], p["cf"])
-    hb, kb = _run(x[:, ::-1], mask[:, ::-1], p["wb"], p["cb"])
+def _forward(p, x, mask, tape=False):
+    hf, kf = _run(x, mask, p["wf"], p["cf"], tape)
+    hb, kb = _run(x[:, ::-1], mask[:, ::-1], p["wb"], p["cb"], tape)
     both = np.concatenate([hf, hb[:, ::-1]], 2)
     return both @ p["o"] + p["z"], both, kf, kb
 
@@ -245,6 +311,17 @@ def batch(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, mask
 
 
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean log loss over all blocks of a batch."""
+    odds, both, kf, kb = _forward(p, x, mask, tape=True)
+    d = (_sigmoid(odds) - y) * mask / max(mask.sum(), 1)
+    dboth = d[..., None] * p["o"]
+    out = {"o": (both * d[..., None]).sum((0, 1)), "z": np.array([d.sum()])}
+    out["wf"], out["cf"] = _back(x, mask, p["wf"], kf, dboth[..., :HIDDEN])
+    out["wb"], out["cb"] = _back(x[:, ::-1], mask[:, ::-1], p["wb"], kb, dboth[:, ::-1, HIDDEN:])
+    return out
+
+
 def train(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 14, size: int = 16, rate: float = 0.02, seed: int = 5) -> dict[str, np.ndarray]:
     """Adam on the log loss of all blocks."""
     rng = np.random.default_rng(seed)
@@ -256,15 +333,10 @@ def train(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 14, s
     for _ in range(epochs):
         for g in rng.permutation(len(groups)):
             x, mask = batch([pages[i] for i in groups[g]])
-            y, _ = np.zeros(mask.shape), None
+            y = np.zeros(mask.shape)
             for row, i in enumerate(groups[g]):
                 y[row, : len(labels[i])] = labels[i]
-            odds, both, kf, kb = _forward(p, x, mask)
-            d = (_sigmoid(odds) - y) * mask / max(mask.sum(), 1)
-            dboth = d[..., None] * p["o"]
-            grads = {"o": (both * d[..., None]).sum((0, 1)), "z": np.array([d.sum()])}
-            grads["wf"], grads["cf"] = _back(x, mask, p["wf"], kf, dboth[..., :HIDDEN])
-            grads["wb"], grads["cb"] = _back(x[:, ::-1], mask[:, ::-1], p["wb"], kb, dboth[:, ::-1, HIDDEN:])
+            grads = gradients(p, x, mask, y)
             step += 1
             for k, grad in grads.items():
                 grad = np.clip(grad, -1, 1) + 1e-4 * p[k] * (k[0] == "w")

@@ -422,6 +422,67 @@ def test_leaves_where_end_tags_are_left_out():
     assert texts("<ul><li><object>x<li>y</ul>a") == ["a"] and texts("<p>a<template><p>x</template>b") == ["a", "b"]
 
 
+def test_leaves_of_odd_markup():
+    texts = lambda page: [x.text for x in html_lstm.leaves(page)]
+    assert texts("<p data-x=5'>Hello</p><p>World</p>") == ["Hello", "World"]
+    assert texts('<p><a href="y"">link</a> rest<p>more') == ["link rest", "more"]
+    assert texts("<!-->a<p>b") == texts("<!--->a<p>b") == texts("<!-- <p>x --!>a<p>b") == ["a", "b"]
+    assert texts("\u0130" * 20 + "<p>a</p><SCRIPT>x</ScRiPt ><p>after</p>") == ["\u0130" * 20, "a", "after"]
+    assert texts("<div title='<p>no</p>' alt=\"<'>\">yes</div>") == ["yes"] and texts("<p a='b'c=\"d>\"e>t<p =x>u<p x= >v") == ["t", "u", "v"]
+    assert "".join(texts("a</ x>b</>c<?x y>d<!x>e")) == "abcde" and texts("<script>a</scriptx>b</script>c") == ["c"] and texts("a < b <3 c") == ["a < b <3 c"]
+    assert texts("<div><b>a<p>b<p>c") == ["a", "b", "c"] and texts("<p>a" * 3) == ["a"] * 3 and texts('<p title="never closed>x</p>') == []
+    assert texts("x" * 10**6 + "<p>" + "y " * 10**5) == ["x" * 10**6, ("y " * 10**5).strip()]
+    assert len(texts("<div class=c><i>" * 5000 + "<p>z</p>" * 5000)) == 5000
+
+
+def test_network_by_plain_loops():
+    """The forward pass against a loop over units, and the gradients against differences of the loss."""
+    rng = np.random.default_rng(4)
+    p = {k: v + 0 for k, v in html_lstm._init(rng).items()}
+    pages = [rng.random((n, html_lstm.WIDTH)).astype(np.float32) for n in (3, 5)]
+    x, mask = html_lstm.batch(pages)
+    odds = html_lstm._forward(p, x, mask)[0]
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for row, page in enumerate(pages):
+        sides = []
+        for d, way in (("f", page), ("b", page[::-1])):
+            h, c, own = np.zeros(html_lstm.HIDDEN), np.zeros(html_lstm.HIDDEN), []
+            for block in way:
+                g = [np.concatenate([block, h]) @ p[f"w{d}"][:, k] + p[f"c{d}"][k] for k in range(4 * html_lstm.HIDDEN)]
+                i, f, o, u = np.split(np.array(g), 4)
+                c = sigmoid(f) * c + sigmoid(i) * np.tanh(u)
+                h = sigmoid(o) * np.tanh(c)
+                own.append(h)
+            sides.append(own if d == "f" else own[::-1])
+        want = [np.concatenate(both) @ p["o"] + p["z"][0] for both in zip(*sides, strict=True)]
+        assert np.allclose(odds[row, : len(page)], want)
+    y = (rng.random(mask.shape) < 0.5) * mask
+
+    def loss():
+        z = html_lstm._forward(p, x, mask)[0]
+        return float(((np.logaddexp(0, z) - y * z) * mask).sum() / mask.sum())
+
+    for k, grad in html_lstm.gradients(p, x, mask, y).items():
+        for at in rng.integers(0, p[k].size, 6):
+            held = p[k].flat[at]
+            p[k].flat[at] = held + 1e-5
+            more = loss()
+            p[k].flat[at] = held - 1e-5
+            less = loss()
+            p[k].flat[at] = held
+            assert abs((more - less) / 2e-5 - grad.flat[at]) < 1e-6
+
+
+def test_extraction_of_odd_rows(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    one = "<article><h1>Title of it</h1><p>Some words of an article that go on for a while.</p></article>"
+    rows = [(1, "u", one, "x", "y")] * 3 + [(2, None, None, None, None), (None, "u", one, "x", "y"), (4, "u", "<article>" + "<p>All of these words are kept here, as they should be.</p>" * 20000, "x", "y")]
+    out = html_lstm.extracted(spark.createDataFrame(rows, schema), html_lstm.model()).collect()
+    assert len(out) == len(rows) and len({(r["text"], r["n_chars"]) for r in out if r["page_id"] in (1, None)}) == 1
+    assert {r["page_id"]: r["n_chars"] for r in out}[2] == 0 and all(r["n_chars"] == len(r["text"]) for r in out)
+    assert html_lstm.extracted(spark.createDataFrame([], schema), html_lstm.model()).count() == 0
+
+
 def test_extraction(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     odd = spark.createDataFrame([(-1, None, None), (-2, "u", ""), (None, "u", "<p>x")], pages.select("page_id", "url", "html").schema)
