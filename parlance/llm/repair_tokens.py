@@ -1,18 +1,19 @@
 """Token ids in binary blocks, compressed by Re-Pair grammars.
 
 Documents are ordered by id (range partitions, sorted inside), encoded, closed with the end id, and laid into blocks of
-about ``BLOCK`` ids. In each block frequent pairs of ids are replaced by nonterminals, many pairs a round, until no pair
-stands ``LEAST`` times or ``ROUNDS`` rounds are done; no pair crosses a document's end, so each document is a run of
-symbols of its own. A block holds its grammar, the expansion length of each nonterminal and the place of each document,
-so one document is decoded without the others (``decode_one``).
+about ``BLOCK`` ids. In each block pairs of symbols are replaced by nonterminals, many pairs a round, until no pair is so
+frequent that its rule would pay for itself in bits (``least_count``); no pair crosses a document's end, so each document
+is a run of symbols of its own. A block holds its grammar, the expansion length of each nonterminal and the place of each
+document, so one document, or a part of it, is decoded without the others (``decode_one``).
 
-Blocks are rows of a Parquet table in the shared folder: Spark's writer commits them, whichever executors are lost.
-Layout of a block, all little-endian: ``RPG1``, five uint32 (documents, first nonterminal, rules, symbols, bytes of a
-symbol: 2 or 4), then doc ids (int64), null flags of ids (uint8), ids of each document (uint32), symbols of each
-document (uint32), rules (uint32 pairs), expansion lengths (uint32), symbols.
+Blocks are rows of a Parquet table: Spark's writer commits them, whichever executors are lost. ``write`` puts them into a
+folder of the caller's, where they stay, or into a scratch folder. Layout of a block, all little-endian: ``RPG2``, six
+uint32 (documents, first nonterminal, rules, symbols, bits of a symbol, bytes of an expansion length), then doc ids
+(int64), null flags of ids (uint8), ids of each document (uint32), symbols of each document (uint32), expansion lengths,
+rules (two symbols each) and symbols, these two packed by bits.
 
 Defined cases: null or empty text is the end id alone; rows without an id come first; repeated rows and ids each have
-their own place (equal ids in the order of their texts); an empty table writes no blocks; other columns are ignored.
+their own place (equal ids in the order of their texts' SHA-256); an empty table writes no blocks; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,55 +30,115 @@ from pyspark.sql import functions as F
 from parlance.llm import tokens
 from parlance.llm.common import Stash, partitions, parts, table, texts
 
-MAGIC = b"RPG1"
-#: Ids of a block (the last document may exceed it), pairs that a round replaces, and the least count of one.
-BLOCK, PAIRS, LEAST = 1 << 20, 2048, 24
+MAGIC = b"RPG2"
+#: Ids of a block (the last document may exceed it).
+BLOCK = 1 << 20
 _END = np.array([tokens.END], "<u4").tobytes()
-_BITS = 18
+_ODD = np.int64(-7046029254386353131)
+
+
+def least_count(symbols: int) -> int:
+    """How often a pair has to stand for its rule to pay: a place saves the bits of a symbol, a rule takes those of two
+    and 16 of its expansion length."""
+    bits = max(1, symbols.bit_length())
+    return (2 * bits + 16) // bits + 1
 
 
 def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Symbols, symbols of each document, rules (pairs), and the first nonterminal."""
+    """Symbols, symbols of each document, rules (pairs), and the first nonterminal.
+
+    A round replaces each pair where it is more frequent than the pairs that overlap it (of equals the greater one), if
+    enough such places are left for the rule to pay, or it has a rule already. Counts are of hash buckets at first, exact
+    once these find no more; the end is reached when no pair pays by exact counts. A place whose pair is rare is only looked
+    at again once a new symbol stands in it: what is missed by that is below a thousandth of a block of texts.
+    """
     base = int(ids.max()) + 1 if len(ids) else 1
     seq = ids.astype(np.int64)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(lengths) - 1] = True
-    rules: list[np.ndarray] = []
-    while len(seq) > 1:
-        key = (seq[:-1] << 32) | seq[1:]
-        bucket = ((key * np.int64(-7046029254386353131)) >> np.int64(64 - _BITS)) & ((1 << _BITS) - 1)
-        bucket[last[:-1]] = 1 << _BITS  # pairs across an end
-        counts = np.bincount(bucket, minlength=(1 << _BITS) + 1)
-        counts[-1] = 0
-        floor = max(LEAST, int(np.partition(counts, -PAIRS)[-PAIRS]))
-        while True:
-            at = np.flatnonzero((counts >= floor)[bucket])
-            pairs, times = np.unique(key[at], return_counts=True)
-            order = np.argsort(-times, kind="stable")[:PAIRS]
-            pairs = np.sort(pairs[order[times[order] >= LEAST]])
-            if len(pairs) or floor == LEAST:
+    live = ~last  # where a pair begins that may be frequent
+    rules = np.zeros(0, np.int64)  # pairs as one number each
+    known, number = rules, rules  # the same in order, and which rule each is
+    exact = False
+
+    def find(keys: np.ndarray) -> np.ndarray:
+        """The rule of each pair, or -1."""
+        if not len(known):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, number[at], -1)
+
+    while True:
+        made = len(rules)
+        least = least_count(base + made)
+        place = np.flatnonzero(live)
+        key = (seq[place] << 32) | seq[place + 1]
+        beside = np.diff(place) == 1
+        # in a run of one symbol every other pair counts, from the left
+        same = np.concatenate([[False], beside & (key[1:] == key[:-1])])
+        if same.any():
+            begins = np.flatnonzero(~same)
+            odd = ((np.arange(len(key)) - begins[np.cumsum(~same) - 1]) & 1).astype(bool)
+        else:
+            odd = same
+        if exact:
+            _, slot = np.unique(key, return_inverse=True)
+        else:
+            slot = ((key * _ODD) >> 40) & ((1 << max(10, len(key).bit_length() + 1)) - 1)
+        counts = np.bincount(slot[~odd]) if odd.any() else np.bincount(slot)
+        often = counts[slot] if len(counts) > (slot.max() if len(slot) else -1) else np.append(counts, np.zeros(int(slot.max()) + 1 - len(counts), np.int64))[slot]
+        often[odd] = 0
+        rare = np.flatnonzero((often < least) & ~odd)
+        old = find(key[rare]) >= 0
+        often[rare[old]] = least  # a rule that is there already costs nothing more
+        rare = rare[~old]
+        right = beside & ((often[:-1] < often[1:]) | (often[:-1] == often[1:]) & (key[:-1] < key[1:]))
+        left = beside & ~right
+        best = often >= least
+        best[:-1] &= ~right
+        best[1:] &= ~left
+        at = place[best]
+        pairs, rule, times = np.unique(key[best], return_inverse=True, return_counts=True)
+        had = find(pairs)
+        pays = (times >= least) | (had >= 0)
+        if not pays.any():
+            if exact:
                 break
-            floor = LEAST  # the fullest buckets held rare pairs only
-        if not len(pairs):
-            break
-        found = np.searchsorted(pairs, key[at])
-        found[found == len(pairs)] = 0
-        hit = pairs[found] == key[at]
-        at, found = at[hit], found[hit]
-        # in runs of overlapping pairs every other one is replaced, from the left
-        begins = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        odd = (np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))) & 1
-        at, found = at[odd == 0], found[odd == 0]
-        first = base + sum(map(len, rules))
-        used, found = np.unique(found, return_inverse=True)
-        seq[at] = first + found
+            exact = True
+            continue
+        live[place[rare]] = False
+        new = pays & (had < 0)
+        had[new] = made + np.arange(new.sum())
+        kept = pays[rule]
+        at = at[kept]
+        seq[at] = base + had[rule[kept]]
         last[at] = last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-        rules.append(np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], 1))
+        live[at] = ~last[at]
+        before = at[at > 0] - 1
+        live[before] = ~last[before]
+        stay = np.ones(len(seq), bool)
+        stay[at + 1] = False
+        seq, last, live = seq[stay], last[stay], live[stay]
+        if new.any():
+            rules = np.concatenate([rules, pairs[new]])
+            number = np.argsort(rules)
+            known = rules[number]
     ends = np.flatnonzero(last) + 1
-    return seq, np.diff(ends, prepend=0), np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), base
+    return seq, np.diff(ends, prepend=0), np.stack([rules >> 32, rules & 0xFFFFFFFF], 1), base
+
+
+def to_bits(numbers: np.ndarray, bits: int) -> bytes:
+    """Numbers of ``bits`` bits each, one after another, the highest bit first."""
+    return np.packbits(np.unpackbits(numbers.astype(">u4").view(np.uint8)).reshape(-1, 32)[:, 32 - bits :]).tobytes()
+
+
+def from_bits(raw: np.ndarray, bits: int, first: int, count: int) -> np.ndarray:
+    """Numbers ``first`` to ``first + count`` of packed bytes; no others are read."""
+    begin, end = first * bits, (first + count) * bits
+    flat = np.unpackbits(raw[begin // 8 : (end + 7) // 8])[begin % 8 : begin % 8 + count * bits]
+    wide = np.zeros((count, 32), np.uint8)
+    wide[:, 32 - bits :] = flat.reshape(count, bits)
+    return np.packbits(wide).view(">u4").astype(np.int64)
 
 
 def expansions(rules: np.ndarray, base: int) -> np.ndarray:
@@ -111,39 +172,44 @@ def pack(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     """A block of documents and their ids (end ids included)."""
     lengths = np.array([len(x) // 4 for x in ids], np.int64)
     seq, spans, rules, base = compress(np.frombuffer(b"".join(ids), "<u4"), lengths)
-    width = 2 if base + len(rules) <= 1 << 16 else 4
-    head = struct.pack("<4s5I", MAGIC, len(ids), base, len(rules), len(seq), width)
-    parts = (np.array([x or 0 for x in doc_ids], "<i8"), np.array([x is None for x in doc_ids], "u1"), lengths.astype("<u4"), spans.astype("<u4"), rules.astype("<u4"), expansions(rules, base).astype("<u4"), seq.astype(f"<u{width}"))
-    return head + b"".join(x.tobytes() for x in parts)
+    bits = max(1, (base + len(rules) - 1).bit_length())
+    wide = expansions(rules, base)
+    width = 2 if not len(wide) or wide.max() < 1 << 16 else 4
+    head = struct.pack("<4s6I", MAGIC, len(ids), base, len(rules), len(seq), bits, width)
+    parts = (np.array([x or 0 for x in doc_ids], "<i8"), np.array([x is None for x in doc_ids], "u1"), lengths.astype("<u4"), spans.astype("<u4"), wide.astype(f"<u{width}"))
+    return head + b"".join(x.tobytes() for x in parts) + to_bits(rules.ravel(), bits) + to_bits(seq, bits)
 
 
 class Block:
     """A block as read back."""
 
     def __init__(self, raw: bytes):
-        magic, n, self.base, n_rules, n_symbols, width = struct.unpack_from("<4s5I", raw)
+        magic, n, self.base, n_rules, self.n_symbols, self.bits, width = struct.unpack_from("<4s6I", raw)
         if magic != MAGIC:
             raise ValueError("not a block of token ids")
-        at = 24
+        at = 28
         parts = []
-        for kind, count in (("<i8", n), ("u1", n), ("<u4", n), ("<u4", n), ("<u4", 2 * n_rules), ("<u4", n_rules), (f"<u{width}", n_symbols)):
+        for kind, count in (("<i8", n), ("u1", n), ("<u4", n), ("<u4", n), (f"<u{width}", n_rules), ("u1", (2 * n_rules * self.bits + 7) // 8), ("u1", (self.n_symbols * self.bits + 7) // 8)):
             parts.append(np.frombuffer(raw, kind, count, at))
             at += parts[-1].nbytes
-        ids, nulls, self.lengths, spans, rules, self.expansions, self.symbols = parts
+        ids, nulls, self.lengths, spans, self.expansions, rules, self.packed = parts
         self.doc_ids = [None if null else int(i) for i, null in zip(ids, nulls, strict=True)]
-        self.rules = rules.reshape(-1, 2).astype(np.int64)
+        self.rules = from_bits(rules, self.bits, 0, 2 * n_rules).reshape(-1, 2)
         self.ends = np.cumsum(spans, dtype=np.int64)
 
+    def symbols(self, first: int, last: int) -> np.ndarray:
+        return from_bits(self.packed, self.bits, first, last - first)
+
     def decode(self) -> list[bytes]:
         """Ids of all documents, as little-endian 32-bit."""
-        raw = expand(self.symbols.astype(np.int64), self.rules, self.base).astype("<u4").tobytes()
+        raw = expand(self.symbols(0, self.n_symbols), self.rules, self.base).astype("<u4").tobytes()
         ends = (np.cumsum(self.lengths, dtype=np.int64) * 4).tolist()
         return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def decode_one(self, i: int, first: int = 0, count: int | None = None) -> np.ndarray:
         """Ids ``first`` to ``first + count`` of document ``i``: only the symbols that hold them are expanded."""
-        own = self.symbols[(self.ends[i - 1] if i else 0) : self.ends[i]].astype(np.int64)
-        wide = np.where(own < self.base, 1, self.expansions[np.maximum(own - self.base, 0)] if len(self.rules) else 1)
+        own = self.symbols(int(self.ends[i - 1]) if i else 0, int(self.ends[i]))
+        wide = np.where(own < self.base, 1, self.expansions[np.maximum(own - self.base, 0)].astype(np.int64) if len(self.rules) else 1)
         ends = np.cumsum(wide, dtype=np.int64)
         last = int(ends[-1]) if count is None else min(first + count, int(ends[-1]))
         lo, hi = np.searchsorted(ends, first, side="right"), np.searchsorted(ends, last, side="left") + 1
@@ -151,8 +217,9 @@ class Block:
         return expand(own[lo:hi], self.rules, self.base)[first - skipped : last - skipped]
 
 
-def write(docs: DataFrame, stash: Stash, name: str = "blocks", path: str | None = None) -> DataFrame:
-    """Blocks of all documents, as read back: shard, block, before (ids of the shard before it), n_ids, payload."""
+def write(docs: DataFrame, stash: Stash, name: str = "blocks", path: str | None = None, folder: str | None = None) -> DataFrame:
+    """Blocks of all documents, as read back: shard, block, before (ids of the shard before it), n_ids, payload. They are
+    files in ``folder``, where they stay, or in a scratch table."""
     path = path or tokens.default_path()
 
     def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +245,14 @@ def write(docs: DataFrame, stash: Stash, name: str = "blocks", path: str | None
             yield close()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = own.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return stash.put(ranged.withColumn("shard", F.spark_partition_id().cast("long")).mapInArrow(laid, "shard long, block long, before long, n_ids long, payload binary"), name)
+    # equal ids, and rows without one, are spread over ranges by the hash of their text
+    place = (F.col("doc_id").asc_nulls_first(), F.unhex(F.sha2("text", 256)))
+    ranged = own.repartitionByRange(partitions(docs.sparkSession), *place).sortWithinPartitions(*place)
+    blocks = ranged.withColumn("shard", F.spark_partition_id().cast("long")).mapInArrow(laid, "shard long, block long, before long, n_ids long, payload binary")
+    if folder is None:
+        return stash.put(blocks, name)
+    blocks.write.mode("overwrite").parquet(folder)
+    return docs.sparkSession.read.schema(blocks.schema).parquet(folder)
 
 
 def read(blocks: DataFrame) -> DataFrame:

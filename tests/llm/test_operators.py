@@ -279,26 +279,39 @@ def test_grammar_round_trip():
     assert repair_tokens.expansions(block.rules, block.base).tolist() == block.expansions.tolist()
 
 
-def test_grammar_until_no_pair_is_frequent():
+def test_grammar_until_no_rule_pays():
     rng = np.random.default_rng(11)
     passage = rng.integers(3, 500, 300)
     docs = [np.append(np.concatenate([rng.integers(3, 9000, 20), passage]), 2) for _ in range(400)] + [np.append(rng.zipf(1.3, 3000) % 500 + 3, 2) for _ in range(20)]
-    docs += [np.array([4] * 3000 + [2])]
-    # a pair whose hash is 0 in the bits that name a bucket
-    pairs = (rng.integers(3, 1 << 20, 1 << 21) << 32) | rng.integers(3, 1 << 20, 1 << 21)
-    zero = pairs[(((pairs * np.int64(-7046029254386353131)) >> np.int64(64 - repair_tokens._BITS)) & ((1 << repair_tokens._BITS) - 1)) == 0][0]
-    docs += [np.array([int(zero) >> 32, int(zero) & 0xFFFFFFFF, 2])] * 50
+    docs += [np.array([4] * n + [2]) for n in (3000, 7, 6, 5)] + [np.array([5, 6, 5, 6, 5, 2])] * 9 + [np.array([2])] * 4
     docs = [x.astype("<u4").tobytes() for x in docs]
     seq, spans, rules, base = repair_tokens.compress(np.frombuffer(b"".join(docs), "<u4"), np.array([len(x) // 4 for x in docs]))
     inside = np.ones(len(seq), bool)
     inside[np.cumsum(spans) - 1] = False
-    _, times = np.unique(((seq[:-1] << 32) | seq[1:])[inside[:-1]], return_counts=True)
-    assert times.max() < repair_tokens.LEAST
-    assert repair_tokens.expansions(rules, base).max() > 16
-    assert repair_tokens.Block(repair_tokens.pack(list(range(len(docs))), docs)).decode() == docs
+    pairs = collections.Counter()
+    before = (None, False)
+    for a, b, own in zip(seq[:-1].tolist(), seq[1:].tolist(), inside[:-1].tolist(), strict=True):
+        counts = own and not (before[1] and before[0] == (a, b))  # overlapping ones of a run count once
+        pairs[a, b] += counts
+        before = ((a, b), counts)
+    bits = (base + len(rules)).bit_length()
+    saved = sum(max(0, n * bits - 2 * bits - 16) for n in pairs.values())
+    assert repair_tokens.least_count(base) * bits > 2 * bits + 16 and saved < 0.001 * len(seq) * bits
+    assert len({tuple(r) for r in rules.tolist()}) == len(rules) and repair_tokens.expansions(rules, base).max() > 16
+    raw = repair_tokens.pack(list(range(len(docs))), docs)
+    assert repair_tokens.Block(raw).decode() == docs and len(raw) < sum(map(len, docs)) * 0.2
+    assert repair_tokens.Block(repair_tokens.pack([None], [docs[-1]])).decode() == docs[-1:]
+
+
+def test_bits():
+    rng = np.random.default_rng(2)
+    for bits in (1, 7, 8, 17, 31):
+        x = rng.integers(0, 1 << bits, 300)
+        raw = np.frombuffer(repair_tokens.to_bits(x, bits), np.uint8)
+        assert repair_tokens.from_bits(raw, bits, 0, 300).tolist() == x.tolist() and repair_tokens.from_bits(raw, bits, 37, 90).tolist() == x[37:127].tolist()
 
 
-def test_written_tokens(spark, odd, none):
+def test_written_tokens(spark, odd, none, tmp_path):
     from parlance.llm.common import Stash
 
     rows = sorted(repair_tokens.read(repair_tokens.write(odd, Stash(spark))).collect(), key=lambda r: r["start"])
@@ -308,6 +321,12 @@ def test_written_tokens(spark, odd, none):
     assert [(r["n_tokens"], r["ids_crc32"]) for r in rows] == [(len(x) // 4, zlib.crc32(x)) for x in encoded]
     assert [r["start"] for r in rows] == [sum(len(x) // 4 for x in encoded[:i]) for i in range(len(encoded))]
     assert repair_tokens.read(repair_tokens.write(none, Stash(spark))).count() == 0
+    kept = str(tmp_path / "blocks")
+    repair_tokens.write(odd, Stash(spark), folder=kept)
+    assert sorted(repair_tokens.read(spark.read.parquet(kept)).collect(), key=lambda r: r["start"]) == rows
+    many = spark.createDataFrame([(None, f"t {i} x")  for i in range(300)], "doc_id long, text string")
+    out = repair_tokens.read(repair_tokens.write(many, Stash(spark)))
+    assert out.count() == 300 and repair_tokens.write(many, Stash(spark)).select("shard").distinct().count() > 1  # ids that are null don't meet in one task
 
 
 def test_packing(spark, odd, none):
