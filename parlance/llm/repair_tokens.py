@@ -72,6 +72,8 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         made = len(rules)
         least = least_count(base + made)
         place = np.flatnonzero(live)
+        if not len(place):
+            break
         key = (seq[place] << 32) | seq[place + 1]
         beside = np.diff(place) == 1
         # in a run of one symbol every other pair counts, from the left
@@ -85,8 +87,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
             _, slot = np.unique(key, return_inverse=True)
         else:
             slot = ((key * _ODD) >> 40) & ((1 << max(10, len(key).bit_length() + 1)) - 1)
-        counts = np.bincount(slot[~odd]) if odd.any() else np.bincount(slot)
-        often = counts[slot] if len(counts) > (slot.max() if len(slot) else -1) else np.append(counts, np.zeros(int(slot.max()) + 1 - len(counts), np.int64))[slot]
+        often = np.bincount(slot[~odd], minlength=int(slot.max()) + 1)[slot]
         often[odd] = 0
         rare = np.flatnonzero((often < least) & ~odd)
         old = find(key[rare]) >= 0
