@@ -1,11 +1,12 @@
 """Quality classifier by co-training: a text view and a metadata view teach each other.
 
 Both views are logistic models. The text view reads hashed byte pairs and a few word statistics of the whole text; the
-metadata view reads source, language and length columns, never the text. From a bounded sample (``labelled`` and
-``unlabelled`` documents at most, chosen by hashed id) the views are fitted over ``ROUNDS`` rounds: in each, either
-view names the unlabelled documents it is surest of and the other one trains on them too. Each view is then calibrated
-on labelled documents held out from training, and the calibrated log-odds are added (less the prior, which both hold).
-All documents are scored in one pass without a shuffle.
+metadata view reads source, language and length columns, never the text. They are fitted on a bounded sample of labelled
+documents (``labelled`` at most, chosen by hashed id), a quarter of which is held out. In each of ``ROUNDS`` rounds both
+views score all documents without a label, in one pass that keeps only ids and scores; of those that a view is sure of,
+``NAMED`` a class (the smallest hashed ids, so of all kinds) become training rows of the other view. How sure a view has
+to be is measured on the held-out rows (``bar``). At the end each view is calibrated on the held-out rows, and the
+calibrated log-odds are added (less the prior, which both hold). All documents are scored in one pass without a shuffle.
 
 Defined cases: a null or empty text has a zero text view, null metadata are a value of their own; null ids stay null;
 repeated rows are scored each; without labels of both classes the score is the label share (keep, if there is none).
@@ -14,7 +15,7 @@ repeated rows are scored each; without labels of both classes the score is the l
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import words
-from parlance.llm.common import parts, table, texts
+from parlance.llm.common import Stash, parts, table, texts
 
-#: Labelled and unlabelled documents that are read for fitting, at most.
-LABELLED, UNLABELLED = 4000, 2000
+#: Labelled rows that are read for fitting, at most.
+LABELLED = 4000
 ROUNDS = 3
-#: Documents of each class that a view may name in a round, as a share of the unlabelled ones.
-NAMED, SURE = 0.05, 0.95
+#: Documents of each class that a view names in a round, at most, and the precision that it should have there.
+NAMED, SURE = 200, 0.95
+#: Held-out rows that a bar has to be measured on, at least.
+MEASURED = 8
 PAIRS, META = 512, 64
 
 
@@ -86,7 +89,7 @@ class Linear:
         return x @ self.weights + self.bias
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, steps: int = 150) -> Linear:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 3e-2, steps: int = 150) -> Linear:
     """Weighted logistic regression by accelerated gradient steps; deterministic."""
     mean = x.mean(0) if len(x) else np.zeros(x.shape[1])
     scale = x.std(0) + 0.02
@@ -136,40 +139,89 @@ class Model:
         return sigmoid(odds[0]), sigmoid(odds[1]), sigmoid(odds[0] + odds[1] - prior)
 
 
-def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """y: 1, 0, or NaN where unlabelled. A quarter of the labelled rows is held out for calibration."""
-    known = np.flatnonzero(~np.isnan(y))
-    share = (np.nansum(y) + 1.0) / (len(known) + 1.5)
+def bar(p: np.ndarray, y: np.ndarray) -> float:
+    """The least score at which a view's precision on held-out rows (``y``: whether they are of the class) is ``SURE``;
+    where it never is, at which it has half of the errors of naming at random; infinite where it has not even that."""
+    if not len(p):
+        return np.inf
+    order = np.argsort(-p, kind="stable")
+    share = y.mean()
+    n = np.arange(1, len(p) + 1)
+    precision = (np.cumsum(y[order]) + share) / (n + 1)
+    whole = np.append(p[order][:-1] > p[order][1:], True) & (n >= MEASURED)  # never between equal scores
+    for need in (SURE, (1 + share) / 2):
+        found = np.flatnonzero(whole & (precision >= need))
+        if len(found):
+            return float(p[order][found[-1]])
+    return np.inf
+
+
+@dataclass
+class Named:
+    """Documents that each view names: ids, views and labels; for view v, what it has named goes to the other one."""
+
+    ids: list[int]
+    text: np.ndarray
+    meta: np.ndarray
+    view: np.ndarray
+    label: np.ndarray
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, name: Callable[[Judges], Named], rounds: int = ROUNDS) -> tuple[Model, list[int]]:
+    """The model from labelled rows (y: 1 or 0) and how many rows each view has been told by the other.
+
+    ``name`` gives the documents that the judges of a round are sure of. A quarter of the rows is held out.
+    """
+    share = (y.sum() + 1.0) / (len(y) + 1.5)
     prior = float(np.log(share / max(1 - share, 1e-6)))
-    held, train = known[::4], np.setdiff1d(known, known[::4])
+    held = np.arange(0, len(y), 4)
+    train = np.setdiff1d(np.arange(len(y)), held)
     if any(len(np.unique(y[x])) < 2 for x in (held, train)):
-        return Model(None, ((1, 0), (1, 0)), prior if len(known) else 1.0)
-    free = np.flatnonzero(np.isnan(y))
+        return Model(None, ((1, 0), (1, 0)), prior if len(y) else 1.0), [0, 0]
     views = [text, meta]
-    told: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view has been given by the other
+    told: list[dict[int, tuple[np.ndarray, float]]] = [{}, {}]  # of each view: its row of a document, and the label
     for turn in range(rounds + 1):
         models = []
         for v, x in enumerate(views):
-            own = np.array(list(told[v]), np.int64)
-            rows = np.concatenate([train, own])
-            label = np.concatenate([y[train], [told[v][i] for i in own]])
-            models.append(logistic(x[rows], label, np.concatenate([np.ones(len(train)), np.full(len(own), 0.5)])))
-        if turn == rounds or not len(free):
+            more = list(told[v].values())
+            rows = np.concatenate([x[train], np.array([r for r, _ in more]).reshape(-1, x.shape[1])])
+            label = np.concatenate([y[train], [k for _, k in more]])
+            weight = np.concatenate([np.ones(len(train)), np.full(len(more), 0.5)])
+            for k in (0, 1):  # whatever was named, the classes weigh as they do among the labelled rows
+                weight[label == k] *= (y[train] == k).mean() / weight[label == k].sum()
+            models.append(logistic(rows, label, weight))
+        scales = tuple(_calibrated(m.odds(x[held]), y[held]) for m, x in zip(models, views, strict=True))
+        if turn == rounds:
             break
-        for v, x in enumerate(views):
-            # a view is only sure of what its calibrated odds bear out: an uninformative one names nothing
-            a, b = _calibrated(models[v].odds(x[held]), y[held])
-            p = 1 / (1 + np.exp(-np.clip(a * models[v].odds(x[free]) + b, -30, 30)))
-            order = np.argsort(p, kind="stable")
-            k = max(1, int(NAMED * len(free)))
-            for i in order[::-1][:k]:
-                if p[i] >= SURE:
-                    told[1 - v].setdefault(int(free[i]), 1.0)
-            for i in order[:k]:
-                if p[i] <= 1 - SURE:
-                    told[1 - v].setdefault(int(free[i]), 0.0)
-    scales = tuple(_calibrated(m.odds(x[held]), y[held]) for m, x in zip(models, views, strict=True))
-    return Model((models[0], models[1]), scales, prior)
+        chances = [_sigmoid(a * m.odds(x[held]) + b) for m, x, (a, b) in zip(models, views, scales, strict=True)]
+        bars = tuple((bar(1 - p, y[held] == 0), bar(p, y[held] == 1)) for p in chances)
+        found = name(Judges((models[0], models[1]), scales, bars))
+        for i, t, m, v, k in zip(found.ids, found.text, found.meta, found.view, found.label, strict=True):
+            told[1 - v].setdefault(i, ((m, t)[v], float(k)))  # view 0 is the text
+    return Model((models[0], models[1]), scales, prior), [len(x) for x in told]
+
+
+@dataclass
+class Judges:
+    """Both views in a round, their calibration, and how sure each has to be of class 0 and 1 to name a document."""
+
+    views: tuple[Linear, Linear]
+    scales: tuple[tuple[float, float], tuple[float, float]]
+    bars: tuple[tuple[float, float], tuple[float, float]]
+
+    def says(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+        """Rows x views: 1 or 0 where a view is sure, else -1."""
+        out = np.full((len(text), 2), -1, np.int8)
+        for v, x in enumerate((text, meta)):
+            a, b = self.scales[v]
+            p = _sigmoid(a * self.views[v].odds(x.astype(np.float64)) + b)
+            out[1 - p >= self.bars[v][0], v] = 0
+            out[(p >= self.bars[v][1]) & (p >= 0.5), v] = 1
+        return out
 
 
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -189,18 +241,53 @@ def columns(docs: DataFrame) -> DataFrame:
     return docs.select(*((F.col(x) if x in has else F.lit(None)).cast(k).alias(x) for x, k in kinds.items()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
-    own = columns(docs)
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
+    return fitted(docs, labels, labelled, rounds)[0]
+
+
+def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> tuple[Model, list[int]]:
+    """The model, and how many documents each view has been told by the other."""
+    stash = Stash(docs.sparkSession)
+    own = columns(docs).where("doc_id is not null")
     good = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("double")).alias("y"))
-    ids = own.where("doc_id is not null").select("doc_id").distinct()
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    first = ids.join(good, "doc_id").orderBy(*order).limit(labelled)
-    second = ids.join(good.select("doc_id"), "doc_id", "left_anti").orderBy(*order).limit(unlabelled).withColumn("y", F.lit(None).cast("double"))
-    chosen = first.unionByName(second)
-    rows = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text", "source", "lang", "n_chars")
-    frame = rows.mapInArrow(_sampled, "doc_id long, y double, text binary, meta binary").toPandas().sort_values(["doc_id", "text", "meta"])
-    stack = lambda c, n: np.frombuffer(b"".join(frame[c]), np.float32).reshape(len(frame), n)
-    return cotrain(stack("text", PAIRS + 4), stack("meta", META + 2), frame["y"].to_numpy(float))
+    stack = lambda frame, c, n: np.frombuffer(b"".join(frame[c]), np.float32).reshape(len(frame), n)
+
+    def read(chosen: DataFrame, most: int):
+        """Rows of few ids (doc_id, y) with both views, ``most`` at most: an id that repeats can't bring more."""
+        rows = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text", "source", "lang", "n_chars")
+        rows = rows.mapInArrow(_sampled, "doc_id long, y double, text binary, meta binary").orderBy(*order, "text", "meta").limit(most)
+        frame = rows.toPandas()
+        return frame, stack(frame, "text", PAIRS + 4), stack(frame, "meta", META + 2)
+
+    ids = own.select("doc_id").distinct()
+    frame, text, meta = read(ids.join(good, "doc_id").orderBy(*order).limit(labelled), labelled)
+    turn = 0
+
+    def name(judges: Judges) -> Named:
+        nonlocal turn
+        turn += 1
+
+        def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in parts(batches):
+                said = judges.says(*_views(batch))
+                kept = (said >= 0).any(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(kept)), *(pa.array(said[kept, v]) for v in (0, 1))], ["doc_id", "by_text", "by_meta"])
+
+        said = stash.put(own.mapInArrow(judged, "doc_id long, by_text byte, by_meta byte").join(good.select("doc_id"), "doc_id", "left_anti"), f"said-{turn}")
+        some = []
+        for v, column in enumerate(("by_text", "by_meta")):
+            for k in (0, 1):
+                some += [(r["doc_id"], v, k) for r in said.where(F.col(column) == k).select("doc_id").distinct().orderBy(*order).limit(NAMED).collect()]
+        stash.drop(f"said-{turn}")
+        wanted = docs.sparkSession.createDataFrame([(i,) for i in sorted({i for i, _, _ in some})], "doc_id long").withColumn("y", F.lit(None).cast("double"))
+        rows, t, m = read(wanted, 8 * NAMED)
+        at = {i: j for j, i in reversed(list(enumerate(rows["doc_id"])))}
+        some = [x for x in some if x[0] in at]
+        where = [at[i] for i, _, _ in some]
+        return Named([i for i, _, _ in some], t[where], m[where], np.array([v for _, v, _ in some], int), np.array([k for _, _, k in some], int))
+
+    return cotrain(text, meta, frame["y"].to_numpy(float), name, rounds)
 
 
 def apply(docs: DataFrame, model: Model) -> DataFrame:

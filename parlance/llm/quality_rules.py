@@ -100,10 +100,11 @@ def _shares_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> gbt.Trees:
-    """Trees for P(quality = 1), from at most ``sample`` labelled documents: those whose hashed ids are smallest."""
+    """Trees for P(quality = 1), from at most ``sample`` labelled rows: those whose hashed ids are smallest."""
     chosen = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("quality", "text")
-    frame = rows.mapInArrow(_shares_of, "quality double, " + ", ".join(f"{x} double" for x in SHARES)).toPandas()
+    # limited once more: an id that repeats can't bring more rows
+    frame = rows.mapInArrow(_shares_of, "quality double, " + ", ".join(f"{x} double" for x in SHARES)).orderBy(F.xxhash64(*SHARES), *SHARES, "quality").limit(sample).toPandas()
     frame = frame.sort_values(list(frame.columns)).reset_index(drop=True)  # the fit doesn't depend on the order of rows
     return gbt.fit(frame[list(SHARES)].to_numpy(float), frame["quality"].to_numpy(float), MONOTONE)
 
