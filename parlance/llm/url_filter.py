@@ -1,6 +1,6 @@
 """URL filter: domain rules first, then boosted trees over lexical features, in DataFrame expressions only.
 
-The trees are fitted in memory on a bounded set of labelled URLs (``LABELLED``, or up to ``most`` rows of a table) and
+The trees are fitted in memory on a bounded set of labelled URLs (made by rule in ``labelled``, or up to ``most`` rows of a table) and
 become one SQL expression, so that judging is a single projection over the scan: no shuffle, no Python on executors.
 Features: length, path depth, share of digits, entropy of the host, parameters, labels and hyphens of the host, its
 longest label, and the smoothed rate of blocked labels under its last label (suffix statistics of the labelled URLs).
@@ -31,28 +31,42 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Labelled hosts that the trees of the query are fitted on: words that name unwanted sites, and ordinary ones.
-BLOCKED_WORDS = ("casino", "poker", "bets", "pills", "pharma", "loans", "adult", "xxx", "spam", "ads", "track", "win", "free", "cheap", "bonus")
-ALLOWED_WORDS = ("harbour", "meadow", "library", "garden", "theatre", "museum", "weather", "cooking", "history", "letters", "science", "village", "railway", "school", "journal")
-SUFFIXES = ("com", "org", "net", "info")
+#: Words of made URLs (either kind uses both lists, in other shares), and suffixes with their weights for allowed and
+#: blocked URLs.
+SHADY = ("casino", "poker", "bets", "pills", "pharma", "loans", "adult", "spam", "ads", "track", "win", "free", "cheap", "bonus")
+PLAIN = ("harbour", "meadow", "library", "garden", "theatre", "museum", "weather", "cooking", "history", "letters", "science", "village", "railway", "school", "journal")
+SUFFIXES = {"com": (40, 30), "org": (25, 6), "net": (15, 20), "info": (6, 20), "edu": (8, 1), "top": (2, 12), "biz": (4, 11)}
 NAMES = ("url_length", "depth", "digit_share", "host_entropy", "parameters", "host_labels", "hyphens", "longest_label", "suffix_rate")
-#: An unwanted URL only becomes more likely with hyphens, digits, and blocked neighbours under its suffix.
-MONOTONE = {NAMES.index("hyphens"): 1, NAMES.index("suffix_rate"): 1}
+#: An unwanted URL only becomes more likely with hyphens, digits, parameters, and blocked neighbours under its suffix.
+MONOTONE = {NAMES.index(x): 1 for x in ("hyphens", "digit_share", "parameters", "suffix_rate")}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def labelled() -> list[tuple[str, int]]:
-    """Labelled URLs (1: block) by a rule: hyphenated pairs of unwanted words, and plain words, under all suffixes."""
+def labelled(n: int = 6000, seed: int = 17, blocked: float = 1 / 3) -> list[tuple[str, int]]:
+    """Made URLs with labels (1: block). Both kinds are drawn from the same parts, blocked ones more often with hyphens,
+    digits, random names, deep hosts and paths, parameters and doubtful suffixes; each feature's ranges overlap."""
+    rng = np.random.default_rng(seed)
+    pick = lambda x: x[int(rng.integers(len(x)))]
+    noise = lambda few, many, of="abcdefghijklmnopqrstuvwxyz": "".join(pick(of) for _ in range(int(rng.integers(few, many))))
+    names, weights = list(SUFFIXES), np.array(list(SUFFIXES.values()), float)
     out = []
-    tails = ("/", "/en/12", "/de/345/", "/fr/77.html", "/es/904?page=2&ref=x", "/en/58#top", "/en/611?utm_source=feed")
-    heads = ("", "www.", "blog.", "m.")
-    for i, word in enumerate(BLOCKED_WORDS):
-        for j, suffix in enumerate(SUFFIXES):
-            other = BLOCKED_WORDS[(i + j + 1) % len(BLOCKED_WORDS)]
-            out.append((f"http{'s' * (i % 2)}://{heads[(i + j) % 4]}{word}-{other}.example.{suffix}{tails[(i * 3 + j) % 7]}", 1))
-            for k in range(2):
-                name = ALLOWED_WORDS[(i + 5 * k) % len(ALLOWED_WORDS)]
-                out.append((f"http{'s' * (j % 2)}://{heads[(i + j + k) % 4]}{name}.example.{suffix}{tails[(i * 2 + j + 3 * k) % 7]}", 0))
+    for _ in range(n):
+        y = int(rng.random() < blocked)
+        odds = lambda allowed, bad, y=y: rng.random() < (bad if y else allowed)
+        word = lambda odds=odds: pick(SHADY if odds(0.1, 0.6) else PLAIN)
+        name = "-".join(word() for _ in range(1 + odds(0.08, 0.7) + odds(0.02, 0.25)))
+        if odds(0.05, 0.25):
+            name = noise(8, 19, "abcdefghijklmnopqrstuvwxyz0123456789")
+        if odds(0.06, 0.3):
+            name += noise(1, 5, "0123456789")
+        host = [*(pick(("www", "blog", "m", "news", word(), noise(2, 8))) for _ in range(rng.poisson(1.0 if y else 0.6))), name]
+        if rng.random() < 0.5:
+            host.append("example")
+        suffix = names[int(rng.choice(len(names), p=weights[:, y] / weights[:, y].sum()))]
+        parts = [pick(("en", "de", "fr", "es", word(), noise(3, 12), str(rng.integers(1, 10 ** int(rng.integers(1, 5)))))) for _ in range(rng.poisson(2.6 if y else 1.9))]
+        path = "/" + "/".join(parts) + pick(("", "", "/", ".html"))
+        query = "&".join(f"{pick(('id', 'q', 'page', 'ref', 'utm_source', noise(1, 4)))}={noise(1, 9, 'abcdef0123456789')}" for _ in range(rng.poisson(1.3 if y else 0.6)))
+        out.append((f"http{pick(('s', 's', ''))}://{'.'.join(host)}.{suffix}{path}{'?' * bool(query)}{query}", y))
     return out
 
 
@@ -122,7 +136,7 @@ def fit(urls: list[tuple[str, int]]) -> Model:
         seen.setdefault(parts(url)[0].split(".")[-1], []).append(y)
     rates = {k: (sum(v) + 8 * rate) / (len(v) + 8) for k, v in seen.items()}
     x = np.array([features(u, rates, rate) for u, _ in urls], float).reshape(-1, len(NAMES))
-    return Model(gbt.fit(x, np.array([y for _, y in urls], float), MONOTONE, rounds=12, depth=3, least=2.0), rates, rate)
+    return Model(gbt.fit(x, np.array([y for _, y in urls], float), MONOTONE, rounds=24, depth=3, least=4.0), rates, rate)
 
 
 def fit_table(labels: DataFrame, most: int = 5000) -> Model:
