@@ -16,12 +16,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. A temporary one is only made for a local session; a cluster's
+    executors would each write to a folder of their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="parlance-")
-        spark.conf.set("spark.checkpoint.dir", folder) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        spark.sparkContext.setCheckpointDir(folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        folder = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="parlance-")
         _LOCAL[spark.sparkContext.applicationId] = folder
     return folder
 
@@ -38,8 +39,7 @@ class Stash:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        folder = _LOCAL.get(spark.sparkContext.applicationId) or shared_dir(spark)
-        self.root = f"{folder.rstrip('/')}/parlance-{uuid.uuid4().hex}"
+        self.root = f"{shared_dir(spark).rstrip('/')}/parlance-{uuid.uuid4().hex}"
         atexit.register(self._delete, self.root)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:

@@ -173,4 +173,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stash = Stash(spark)
     often = stash.put(copies(stash.put(sized(docs), "sizes"), stash).where("copies > 0").select("doc_id", "source", "copies"), "copies")
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source"))
-    return docs.alias("d").join(often.alias("c"), same).select("d.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    taken = docs.alias("d").join(often.alias("c"), same).select(F.struct("d.*").alias("row"), F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select("row.*")

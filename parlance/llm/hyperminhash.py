@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.llm import words
@@ -212,32 +212,48 @@ def _compared(percent: int):
     return compare
 
 
+#: Ids (8 bytes each) that are broadcast at most; beyond that, texts are shuffled to them.
+FEW_IDS = 2_000_000
+#: Ids of more rows than this are joined apart, by a broadcast of their own labels; there are ``FEW_HOT`` at most.
+HOT, FEW_HOT = 128, 500_000
+
+
+def _with_label(rows: DataFrame, labels: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``rows`` with the label (component) of the id in ``key``. The rows of a hot id stay where they are."""
+    own = labels.select(F.col("id").alias(key), "component")
+    few = own.join(F.broadcast(hot), key, "left_semi")
+    return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(own, key))
+
+
 def components(edges: DataFrame, stash: Stash, name: str) -> DataFrame:
     """id, component (the smallest id reachable) of every id in ``edges`` (a, b).
 
     Each round takes the smallest label among neighbours, then jumps to that label's label; tables are cut each time.
+    The jump joins one row a label, not one an id, and ids of many neighbours are joined apart, so neither a hub nor a
+    large component meets in one task.
     """
     both = stash.put(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), f"{name}-edges")
+    hot = max(HOT, both.count() // FEW_HOT)
+    hubs = stash.put(both.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("b"), f"{name}-hubs")
     labels = stash.put(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("component")), f"{name}-0")
     turn = 0
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        jump = step.select(F.col("id").alias("component"), F.col("component").alias("far"))
         turn += 1
-        new = stash.put(step.join(jump, "component", "left").select("id", "old", F.least("component", F.coalesce("far", "component")).alias("component")), f"{name}-{turn}")
-        moved = new.where("old <> component").limit(1).count()
-        labels = new.select("id", "component")
-        stash.drop(f"{name}-{turn - 1}")
-        if not moved:
+        near = _with_label(both, labels, "b", hubs).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        step = stash.put(labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component")), f"{name}-{turn}")
+        own = step.select(F.col("id").alias("component"), F.col("component").alias("far")).where("far < component")
+        jumps = stash.put(step.select("component").distinct().join(own, "component"), f"{name}-jumps-{turn}")
+        count = jumps.count()
+        labels = step.select("id", "component")
+        if count:
+            far = F.broadcast(jumps) if count <= FEW_IDS else jumps
+            labels = labels.join(far, "component", "left").select("id", F.coalesce("far", "component").alias("component"))
+        stash.drop(f"{name}-{turn - 2}", f"{name}-jumps-{turn - 2}")
+        if not count and not step.where("old <> component").limit(1).count():
             stash.drop(f"{name}-edges")
             return labels
 
 
-#: Ids (8 bytes each) that are broadcast at most; beyond that, texts are shuffled to them.
-FEW_IDS = 2_000_000
-
-
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The sets of some documents (ids: a written table). Texts only move where the ids are too many to broadcast."""
     ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
@@ -360,8 +376,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (similarity 0.8 or more), with all columns; repeated rows of an id
-    are one document, of which one row stays."""
-    kept = deduplicated(docs, 80).where("kept").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each near-duplicate group (similarity 0.8 or more), with all columns.
+
+    Only ids move: documents that go are few enough to broadcast, or else joined. Of the rows of an id that repeats, one
+    of each text stays (the one of the smallest hash over its columns), as different texts are different documents.
+    """
+    stash = Stash(spark)
+    number = F.col("doc_id").cast("long")
+    # an id goes if none of its rows stays
+    gone = stash.put(deduplicated(docs, 80).groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("kept")).where("not kept").select("_gone"), "gone")
+    several = stash.put(docs.where("doc_id is not null").groupBy(number.alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id"), "several")
+    few = lambda ids: F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+    left = docs.join(few(gone), number == F.col("_gone"), "left_anti")
+    if several.isEmpty():
+        return left
+    several = few(several)
+    once = left.join(several, number == F.col("_id"), "left_anti")
+    rank = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*docs.columns)))
+    more = left.join(several, number == F.col("_id"), "left_semi").select(F.struct(*docs.columns).alias("row"), "doc_id", "text", rank.alias("rank"))
+    return once.unionByName(more.where("rank = 1").select("row.*"))
