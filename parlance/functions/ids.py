@@ -31,14 +31,25 @@ def day_bounds(day: str) -> tuple[Column, Column]:
     return start, start + F.expr("interval 1 day")
 
 
-#: The three families of message URLs (fixed pattern): web, app scheme and bare paths.
-_MESSAGE_URL = r"(?:https?://(?:[a-z]+\.)?[a-z]+\.com/channels/|[a-z]+://-?/?channels/|^/?channels/)(@me|[0-9]+)/([0-9]+)/([0-9]+)"
-
-
-def message_url_parts(url: Column) -> Column:
-    """guild_id (null for @me), channel_id, message_id of a message URL; nulls where it is none."""
-    part = lambda i: F.nullif(F.regexp_extract(url, _MESSAGE_URL, i), F.lit(""))
-    return F.struct(F.nullif(part(1), F.lit("@me")).alias("guild_id"), part(2).alias("channel_id"), part(3).alias("message_id"))
+#: What follows the host or scheme of a message URL, by family; ids are what stands between slashes (fixed values).
+_THREE = r"channels/([^/\s]+)/([^/\s]+)(?:/([^/\s]+))?"
+_TWO = r"message/([^/\s]+)/([^/\s]+)"
+
+
+def message_url_parts(url: Column, site: str | None = None, scheme: str | None = None) -> Column:
+    """guild_id (null for @me), channel_id, message_id (null where it is left out) of a message URL; nulls where it is
+    none. Families, the first that fits, whatever the case: the web site (``http`` may be missing; also hosts below it),
+    a path, the app's scheme with channel and message, the scheme with all three. ``site`` and ``scheme``: any if None."""
+    host = r"(?:[\w-]+\.)+[a-z]+" if site is None else r"(?:[\w-]+\.)*" + site.replace(".", r"\.")
+    app = "[a-z]+" if scheme is None else scheme
+    families = ((rf"(?:https?://)?{host}/{_THREE}", (1, 2, 3)), (rf"^/?{_THREE}", (1, 2, 3)), (rf"{app}://{_TWO}", (0, 1, 2)), (rf"{app}://-?/?{_THREE}", (1, 2, 3)))
+    out = F.lit(None).cast("struct<guild_id:string,channel_id:string,message_id:string>")
+    for pattern, groups in families[::-1]:
+        found = "(?i)" + pattern
+        part = [F.nullif(F.regexp_extract(url, found, i), F.lit("")) if i else F.lit(None).cast("string") for i in groups]
+        out = F.when(url.rlike(found), F.struct(F.nullif(part[0], F.lit("@me")).alias("guild_id"), part[1].alias("channel_id"), part[2].alias("message_id"))).otherwise(out)
+    none = F.lit(None).cast("string")
+    return F.coalesce(out, F.struct(none.alias("guild_id"), none.alias("channel_id"), none.alias("message_id")))
 
 
 def message_url(base: str, guild: Column, channel: Column, message: Column) -> Column:

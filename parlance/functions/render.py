@@ -51,6 +51,37 @@ def criteria(query: str | None = None, has: str | None = None, during: str | Non
     return ", ".join(f"{k}: {q}{v}{q}" for k, v, q in pairs if v)
 
 
+#: Marks of tools and of steps (fixed values).
+TOOL_ICONS = {"search_messages": "\U0001f50d", "fetch_surrounding_messages": "\U0001f4dc", "fetch_recent_messages": "\U0001f4dc", "inspect_image": "\U0001f5bc\ufe0f", "list_available_channels": "\U0001f9ed", "get_current_context": "\U0001f9ed"}
+OTHER_ICON, FAILED_ICON, DONE_ICON, WAITING_ICON = "\u26a1", "\u274c", "\u2705", "\u23f3"
+
+
+def tool_icon(name: Column) -> Column:
+    out = F.lit(OTHER_ICON)
+    for tool, icon in TOOL_ICONS.items():
+        out = F.when(name == tool, icon).otherwise(out)
+    return out
+
+
+def status_icon(kind: Column, result: Column) -> Column:
+    """Of a step: failed, done (it has a result, be it empty), or waiting."""
+    return F.when(kind == "error", FAILED_ICON).when(result.isNotNull(), DONE_ICON).otherwise(WAITING_ICON)
+
+
+def step_title(name: Column, args: Column, content: Column, service: str = "messages") -> Column:
+    """PRJ11: what a step does, with the arguments (struct of query, has, message_id) that say what for."""
+    query = F.when(truthy(args["query"]), F.concat(F.lit('"'), args["query"], F.lit('"'))).otherwise("")
+    kind = F.when(truthy(args["has"]), F.concat(F.lit(" [has:"), args["has"], F.lit("]"))).otherwise("")
+    return (
+        F.when(name == "search_messages", F.trim(F.concat(F.lit(f"Search {service} "), query, kind)))
+        .when(name == "fetch_surrounding_messages", F.trim(F.concat(F.lit("Fetch context around message "), _text(args["message_id"]))))
+        .when(name == "fetch_recent_messages", "Fetch recent channel messages")
+        .when(name == "inspect_image", "Inspect image attachment")
+        .when(name == "list_available_channels", "Discover available channel scopes")
+        .otherwise(or_else(content, F.concat(F.lit("Executing "), or_else(name, "tool"))))
+    )
+
+
 def step_summary(name: Column, status: Column) -> Column:
     """PRJ11: what a tool does, or did, in words."""
     verb = F.when(status == "tool_call", "Running").when(status == "error", "Failed").otherwise("Done")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Mentions by id and by name (fixed patterns).
 _ID_MENTION = r"<@!?([0-9]+)>"
 _NAME_MENTION = r"@([a-zA-Z0-9_.]+)"
 
@@ -32,18 +33,35 @@ def insert_mention(prompt: Column, user_id: Column) -> Column:
     return F.when(prompt.rlike(tail), F.concat(F.regexp_replace(prompt, tail, "$1"), F.lit("<@"), user_id, F.lit("> "))).otherwise(prompt)
 
 
-#: Inline tokens and their patterns (fixed patterns), in order of precedence.
+#: Inline tokens in order of precedence (fixed patterns); a token ends where its first closing mark stands.
 INLINE = {
-    "link": r"\[([^\]]+)\]\((https?://[^\s)]+)\)",
+    "link": r"\[([^\]]+)\]\(([^)]+)\)",
     "code": r"`([^`]+)`",
     "bold": r"\*\*([^*]+)\*\*",
-    "italic": r"(?:^|[^*])\*([^*\s][^*]*)\*(?:[^*]|$)",
+    "italic": r"\*([^*]+)\*",
     "strike": r"~~([^~]+)~~",
 }
 
 
+def inline(text: Column) -> Column:
+    """All inline tokens of a text in order, found in one pass: what stands inside one is no other. An array of kind,
+    text and href (of links only)."""
+    hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("|".join(p.replace("(", "(?:").replace(r"\(?:", r"\(") for p in INLINE.values())), F.lit(0))
+
+    def token(hit: Column) -> Column:
+        kind, inner = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for name, pattern in reversed(INLINE.items()):
+            fits = hit.rlike(f"^{pattern}$")
+            kind = F.when(fits, name).otherwise(kind)
+            inner = F.when(fits, F.regexp_extract(hit, f"^{pattern}$", 1)).otherwise(inner)
+        return F.struct(kind.alias("kind"), inner.alias("text"), F.when(kind == "link", F.regexp_extract(hit, f"^{INLINE['link']}$", 2)).alias("href"))
+
+    return F.transform(hits, token)
+
+
 def inline_tokens(text: Column, kind: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(INLINE[kind]), F.lit(1))
+    """The texts of one kind of token."""
+    return F.transform(F.filter(inline(text), lambda t: t["kind"] == kind), lambda t: t["text"])
 
 
 def block_kind(line: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import mentioned_ids, mentioned_names
@@ -44,6 +44,17 @@ def suggested(users: DataFrame, query: str = "", limit: int = SUGGESTED) -> Data
     return users.where(mention_match(q)).orderBy(F.when(begins, 0).otherwise(1), F.collate("username", "unicode"), "id").limit(limit)
 
 
+def _grams(text: Column) -> Column:
+    """All runs of one to three characters."""
+    size = F.char_length(text)
+
+    def runs(k: int) -> Column:
+        own = F.transform(F.sequence(F.lit(1), F.greatest(size - (k - 1), F.lit(1))), lambda i: text.substr(i, F.lit(k)))
+        return F.when(size >= k, own).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
+
+
 def prompt_mentions(prompts: DataFrame, users: DataFrame) -> DataFrame:
     """Users that prompts (prompt_id, text) mention, each once: by id (unknown ones as user_<id>), then by name, an
     exact name before a part of one. Names meet users by a join on lower-case names; only those without an exact
@@ -55,8 +66,12 @@ def prompt_mentions(prompts: DataFrame, users: DataFrame) -> DataFrame:
     spelled = own.select("id", "username", "globalName", F.explode(F.array_distinct(F.array(F.lower("username"), F.lower(F.coalesce("globalName", "username"))))).alias("name"))
     exact = names.join(spelled, "name")
     rest = names.join(spelled.select("name").distinct(), "name", "left_anti")
-    inside = rest.join(own.select("id", "username", "globalName"), F.contains(F.lower("username"), F.col("name")) | F.coalesce(F.contains(F.lower("globalName"), F.col("name")), F.lit(False)) | (F.col("id") == F.col("name")))
-    both = exact.unionByName(inside, allowMissingColumns=True)
+    # parts of names meet by what they begin with: up to three characters, which every name around them holds
+    known = own.select("id", "username", "globalName")
+    grams = known.select("*", F.explode(_grams(F.array_join(F.array(F.lower("username"), F.lower("globalName")), "\n"))).alias("gram"))
+    inside = rest.withColumn("gram", F.substring("name", 1, 3)).join(grams, "gram").where(F.contains(F.lower("username"), F.col("name")) | F.coalesce(F.contains(F.lower("globalName"), F.col("name")), F.lit(False))).drop("gram")
+    same = rest.join(known, F.col("id") == F.col("name"))
+    both = exact.unionByName(inside).unionByName(same.select(*exact.columns)).distinct()
     begins = F.when(F.lower("username").startswith(F.col("name")), 0).otherwise(1)
     first = F.row_number().over(Window.partitionBy("prompt_id", "pos").orderBy(begins, "username", "id"))
     by_name = both.withColumn("_rank", first).where("_rank = 1").select("prompt_id", F.lit(1).alias("kind"), "pos", "id", "username", "globalName")

@@ -13,19 +13,29 @@ def clamp(limit: int) -> int:
     return min(limit, PAGE_CAP)
 
 
-def merged(parts: list[DataFrame], key: str = "id", last: bool = True) -> DataFrame:
-    """SET1, SET2, AGG2 to AGG4: one row a key over several sources; the last (or first) source that has it wins.
+def merged(parts: list[DataFrame], key: str = "id", last: bool = True, order: str | None = None) -> DataFrame:
+    """SET1, SET2, AGG2 to AGG4: one row a key over several sources; the last (or first) source that has it wins, and
+    inside a source the row of the greatest (or least) ``order``, of equals the one of the greatest (least) hash.
 
-    Rows are ranked by source inside the key's partition; the union isn't sorted as a whole.
+    Rows are combined on the map side; the union isn't sorted as a whole.
     """
     out = None
     for i, part in enumerate(parts):
-        part = part.withColumn("_source", F.lit(i if last else -i))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        out = _ranked(part, i) if out is None else out.unionByName(_ranked(part, i), allowMissingColumns=True)
+    names = [c for c in out.columns if c != _SOURCE]
     value = F.col(key)
     usable = value.isNotNull() & (value.cast("string") != "")
-    best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_source")))
-    return out.where(usable).withColumn("_rank", best).where("_rank = 1").drop("_rank", "_source")
+    place = F.struct(F.col(_SOURCE), *([F.col(order)] if order else []), F.xxhash64(*names))
+    best = (F.max_by if last else F.min_by)(F.struct(*names), place)
+    return out.where(usable).groupBy(F.col(key).alias(_SOURCE)).agg(best.alias("row")).select("row.*")
+
+
+#: A column of ours beside those of a table.
+_SOURCE = "__parlance_source"
+
+
+def _ranked(part: DataFrame, place: int) -> DataFrame:
+    return part.withColumn(_SOURCE, F.lit(place))
 
 
 def recent(messages: DataFrame, limit: int = 25, channel: str = "channel_id", order: tuple[str, ...] = ("ts", "id")) -> DataFrame:
@@ -45,15 +55,13 @@ def around(messages: DataFrame, targets: DataFrame, limit: int = 10, channel: st
     then the target, then the rest. Absent targets give no rows. Column ``target`` names the target."""
     n = clamp(limit)
     before = n // 2
-    place = F.struct(*order)
+    numbered = messages.withColumn("_place", F.row_number().over(Window.partitionBy(channel).orderBy(*order)))
     wanted = targets.select(F.col(channel).alias("_channel"), F.col(key).alias("target")).distinct()
-    hits = messages.join(wanted, (F.col(channel) == F.col("_channel")) & (F.col(key) == F.col("target"))).select("_channel", "target", place.alias("_at"))
-    near = messages.join(hits, F.col(channel) == F.col("_channel"))
-    # both ranks are cut off by a limit, which Spark applies in each task before rows of a channel are exchanged
-    rank = lambda way: F.row_number().over(Window.partitionBy("_channel", "target").orderBy(*(way(c) for c in order)))
-    above = near.where(place < F.col("_at")).withColumn("_rank", rank(F.desc)).where(F.col("_rank") <= before)
-    below = near.where(place >= F.col("_at")).withColumn("_rank", rank(F.asc)).where(F.col("_rank") <= n - before)
-    return above.unionByName(below).drop("_channel", "_at", "_rank")
+    found = numbered.join(wanted, (F.col(channel) == F.col("_channel")) & (F.col(key) == F.col("target")))
+    # rows of a channel are numbered once; each target asks for at most PAGE_CAP numbers by an equi-join
+    asked = F.explode(F.sequence(F.col("_place") - before, F.col("_place") + (n - before - 1))) if n > 0 else F.explode(F.array().cast("array<int>"))
+    near = found.select("_channel", "target", asked.alias("_asked"))
+    return numbered.join(near, (F.col(channel) == F.col("_channel")) & (F.col("_place") == F.col("_asked"))).drop("_channel", "_place", "_asked")
 
 
 def hits(grouped: DataFrame, group: str = "group_id", place: str = "pos") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import ids as I
 from parlance.functions import text as X
-from parlance.functions.render import message_line, stamp
+from parlance.functions.render import message_line, message_text, stamp
 from parlance.functions.values import contains, or_else
 from parlance.operators import predicates as P
 from parlance.operators import retrieve as R
@@ -25,6 +25,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _same(name: str, make):
+    """A query under another name."""
+
+    def again(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return make(spark, sf_dir)
+
+    again.__name__ = name
+    return again
+
+
 def query(sql: str | None = None):
     def register(make):
         QUERIES[make.__name__] = make
@@ -39,32 +49,56 @@ _TURNS = "SELECT conv_id * 1000 + turn AS id, conv_id AS channel_id, turn, role
 _LINE = "'[] [#' || channel_id || '] ' || author_name || ' (' || coalesce(author_id, '') || ') [ID:' || id || ']: ' || coalesce(content, '')"
 
 
-@query(f"""
-SELECT id, channel_id, content, {_LINE} AS line FROM ({_TURNS})
-WHERE channel_id IN (SELECT conv_id FROM conversations WHERE role = 'system' OR conv_id % 2 = 0)
-  AND contains(lower(content), 'le')
-ORDER BY id DESC LIMIT 15""")
-def tvf3_search_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: scope semi-join, keyword, newest 15, rendered lines."""
+def _chat(spark, sf_dir):
+    """Conversations as messages and channels: those with a system turn are text channels of guild 1, others of guild 2."""
+    none = F.lit(None).cast("string")
     turns = conversation_messages(spark, sf_dir)
-    allowed = turns.where((F.col("author_id") == "system") | (F.col("channel_id") % 2 == 0)).select("channel_id").distinct()
-    rows = turns.join(allowed, "channel_id", "left_semi").where(contains(F.col("content"), "le"))
-    line = message_line(F.lit(None).cast("timestamp"), F.col("channel_id").cast("string"), F.col("author_name"), F.col("author_id"), F.col("id"), F.col("content"))
-    return rows.orderBy(F.desc("id")).limit(15).select("id", "channel_id", "content", line.alias("line"))
+    author = F.struct(F.col("author_id").alias("id"), F.col("author_name").alias("username"), none.alias("globalName"))
+    files = F.lit(None).cast("array<struct<filename:string,content_type:string,url:string>>").alias("attachments")
+    embeds = F.lit(None).cast("array<struct<title:string,description:string,url:string,type:string,image:string,thumbnail:string>>").alias("embeds")
+    messages = turns.select(F.col("id").cast("string").alias("id"), F.col("channel_id").cast("string").alias("channel_id"), none.alias("guild_id"), author.alias("author"), "content", none.alias("timestamp"), files, embeds, F.lit(False).alias("pinned"))
+    system = F.bool_or(F.coalesce(F.col("author_id") == "system", F.lit(False)))
+    channels = turns.groupBy(F.col("channel_id").cast("string").alias("id")).agg(F.when(system, "1").otherwise("2").alias("guild_id"))
+    return messages, channels.select("id", "id", "guild_id", F.lit(0).alias("type"), none.alias("topic"), F.lit(1024).cast("long").alias("permissions")).toDF("id", "name", "guild_id", "type", "topic", "permissions")
+
+
+_SYSTEM = "SELECT conv_id FROM conversations WHERE role = 'system'"
 
 
 @query(f"""
 SELECT id, channel_id, content, {_LINE} AS line FROM ({_TURNS})
-WHERE channel_id IN (SELECT conv_id FROM conversations WHERE role = 'system')
-  AND contains(lower(content), 'le')
+WHERE channel_id IN ({_SYSTEM}) AND (contains(lower(content), 'le') OR contains(lower(author_name), 'le'))
 ORDER BY id DESC LIMIT 15""")
-def tvf3_search_system_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As tvf3_search_messages, in all conversations with a system turn."""
-    turns = conversation_messages(spark, sf_dir)
-    allowed = turns.where(F.col("author_id") == "system").select("channel_id").distinct()
-    rows = turns.join(allowed, "channel_id", "left_semi").where(contains(F.col("content"), "le"))
-    line = message_line(F.lit(None).cast("timestamp"), F.col("channel_id").cast("string"), F.col("author_name"), F.col("author_id"), F.col("id"), F.col("content"))
-    return rows.orderBy(F.desc("id")).limit(15).select("id", "channel_id", "content", line.alias("line"))
+def tvf3_search_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: all channels that a guild's scope allows, searched for a keyword; the newest 15, rendered."""
+    from parlance.operators.scope import allowed, restrict
+    from parlance.operators.search import SearchOptions, shown
+
+    messages, channels = _chat(spark, sf_dir)
+    scope = {"channelId": "-1", "isGuild": True, "guildId": "1"}
+    rows = shown(restrict(messages, allowed(scope, channels)), SearchOptions(content=" LE "))
+    line = message_text(F.col("channel_id"))
+    return rows.select(F.col("id").cast("long").alias("id"), F.col("channel_id").cast("long").alias("channel_id"), "content", line.alias("line"))
+
+
+tvf3_search_system_scope = query(ORACLES["tvf3_search_messages"])(_same("tvf3_search_system_scope", tvf3_search_messages))
+
+
+@query("""
+SELECT event_id AS id, true AS fallback FROM (SELECT event_id, ts, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_type = 'click')
+WHERE rn <= 50 AND event_id % 2 = 0 ORDER BY ts DESC, id DESC LIMIT 10""")
+def tvf3_fallback(spark, sf_dir):
+    """A search whose ids rule out every match, so that it falls back to the newest rows of the channel."""
+    from parlance.operators.search import SearchOptions, shown
+
+    none = F.lit(None).cast("string")
+    own = read(spark, sf_dir, "events")
+    parity = F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd")
+    files = F.lit(None).cast("array<struct<filename:string,content_type:string,url:string>>").alias("attachments")
+    embeds = F.lit(None).cast("array<struct<title:string,description:string,url:string>>").alias("embeds")
+    messages = own.select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"), F.col("event_type").alias("channel_id"), F.struct(parity.alias("id"), none.alias("username"), none.alias("globalName")).alias("author"), F.col("props").alias("content"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), files, embeds, F.lit(False).alias("pinned"))
+    rows = shown(messages, SearchOptions(channel_id="click", author_id="even", min_id="9000000000000"))
+    return rows.select(F.col("id").cast("long").alias("id"), "fallback")
 
 
 @query("SELECT event_id, user_id FROM events WHERE user_id = 7")
@@ -454,12 +488,6 @@ def snk1_2_sessions(spark, sf_dir):
     return current(own).select("id", "updatedAt")
 
 
-@query("SELECT conv_id AS id, max(turn) AS turn FROM conversations WHERE conv_id % 10 = 0 GROUP BY conv_id ORDER BY turn DESC, id LIMIT 60")
-def src10_snk6_newest(spark, sf_dir):
-    own = read(spark, sf_dir, "conversations").where("conv_id % 10 = 0").groupBy(F.col("conv_id").alias("id")).agg(F.max("turn").alias("turn"))
-    return own.orderBy(F.desc("turn"), "id").limit(60)
-
-
 @query("SELECT conv_id AS id, max(turn) AS turn FROM conversations GROUP BY conv_id ORDER BY turn DESC, id LIMIT 60")
 def src10_snk6_newest_of_all(spark, sf_dir):
     """All conversations as sessions of one channel, each turn a version; the newest ones as a log."""
@@ -468,6 +496,9 @@ def src10_snk6_newest_of_all(spark, sf_dir):
     return R.newest_logs(log).select("id", F.col("time").alias("turn"))
 
 
+src10_snk6_newest = query(ORACLES["src10_snk6_newest_of_all"])(_same("src10_snk6_newest", src10_snk6_newest_of_all))
+
+
 @query("SELECT o_orderkey, o_orderstatus AS status FROM orders WHERE o_orderkey = 33")
 def src5_lookup(spark, sf_dir):
     from parlance.sources.tables import lookup
@@ -519,16 +550,6 @@ def prj3_accessible(spark, sf_dir):
     return accessible(own, "1").select(F.col("id").cast("int").alias("id"), "name")
 
 
-@query("SELECT s_suppkey AS id, s_name AS username FROM supplier WHERE s_suppkey <= 20 UNION ALL SELECT 1000000 + s_suppkey, 'Member' FROM supplier WHERE s_suppkey <= 5")
-def join3_members(spark, sf_dir):
-    from parlance.operators.directory import members
-
-    own = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("username"))
-    known = own.where("cast(id AS int) <= 20").select(F.col("id").alias("user_id"), F.lit(None).cast("string").alias("nick"))
-    lost = own.where("cast(id AS int) <= 5").select((F.col("id").cast("long") + 1000000).cast("string").alias("user_id"), F.lit(None).cast("string").alias("nick"))
-    return members(known.unionByName(lost), own).select(F.col("id").cast("long").alias("id"), "username")
-
-
 @query("SELECT s_suppkey AS id, s_name AS username FROM supplier UNION ALL SELECT c_custkey, 'Member' FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey)")
 def join3_all_members(spark, sf_dir):
     """All suppliers as members, and customers that are no suppliers as members without a user row."""
@@ -541,6 +562,9 @@ def join3_all_members(spark, sf_dir):
     return members(every, own).select(F.col("id").cast("long").alias("id"), "username")
 
 
+join3_members = query(ORACLES["join3_all_members"])(_same("join3_members", join3_all_members))
+
+
 @query("SELECT o_orderkey AS id, o_orderstatus AS name, l_quantity AS result FROM orders LEFT JOIN (SELECT l_orderkey, max(l_quantity) AS l_quantity FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
 def join7_call_results(spark, sf_dir):
     from parlance.operators.sessions import calls_with_results
@@ -619,3 +643,116 @@ def prj1_agg4_citations(spark, sf_dir):
     channels = turns.select(F.col("channel_id").alias("id")).distinct().select("id", F.concat(F.lit("conv"), "id").alias("name"), none.alias("guild_id"))
     rows = cited(messages, channels)
     return once([rows, rows.where(F.col("messageId") % 2 == 0)]).select("channelId", "messageId", "content", "channelName")
+
+
+@query("""
+WITH k AS (SELECT o_orderkey, o_custkey AS c, cast(o_orderkey % 6 AS bigint) AS f FROM orders)
+SELECT o_orderkey, CASE WHEN f IN (0, 2, 4) THEN cast(c AS varchar) END AS guild_id, CASE WHEN f < 5 THEN cast(c + 1 AS varchar) END AS channel_id,
+  CASE WHEN f IN (0, 1, 3, 4) THEN cast(o_orderkey AS varchar) END AS message_id FROM k""")
+def scl12_families(spark, sf_dir):
+    """All families of message URLs: web, without a guild, without host scheme and message, app with two ids, app with
+    three, and another site."""
+    key, channel, guild = F.col("o_orderkey").cast("string"), (F.col("o_custkey") + 1).cast("string"), F.col("o_custkey").cast("string")
+    slash = lambda *x: F.concat_ws("/", *x)
+    shapes = [F.concat(F.lit("HTTPS://www.Chat.com/channels/"), slash(guild, channel, key)), F.concat(F.lit("see https://chat.com/channels/@me/"), slash(channel, key)), F.concat(F.lit("chat.com/channels/"), slash(guild, channel)), F.concat(F.lit("chat://message/"), slash(channel, key)), F.concat(F.lit("CHAT://channels/"), slash(guild, channel, key)), F.concat(F.lit("https://chart.com/channels/"), slash(guild, channel, key))]
+    own = read(spark, sf_dir, "orders").withColumn("p", I.message_url_parts(F.element_at(F.array(*shapes), (F.col("o_orderkey") % 6).cast("int") + 1), "chat.com", "chat"))
+    return own.select("o_orderkey", "p.guild_id", "p.channel_id", "p.message_id")
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, event_type AS t, event_id % 3 AS k FROM events)
+SELECT event_id, t AS bold, CASE WHEN k = 0 THEN '' ELSE 'is ' || t END AS italic, '**not** ' || t AS code, user_id || '|mailto:' || t AS link, 'x' AS strike FROM e""")
+def scl23_precedence(spark, sf_dir):
+    """Links of any target, marks inside code, and italics beside bold text."""
+    t = F.col("event_type")
+    text = F.concat(F.lit("`**not** "), t, F.lit("` **"), t, F.lit("** "), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("*is "), t, F.lit("*"))), F.lit("["), "user_id", F.lit("](mailto:"), t, F.lit(") ~~x~~ * alone"))
+    own = read(spark, sf_dir, "events").withColumn("tokens", X.inline(text))
+    of = lambda kind: F.array_join(F.transform(F.filter("tokens", lambda x: x["kind"] == kind), lambda x: F.concat_ws("|", x["text"], x["href"])), ",")
+    return own.select("event_id", *(of(kind).alias(kind) for kind in ("bold", "italic", "code", "link", "strike")))
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, cast(event_id % 2 AS integer) AS idx, event_type AS t,
+    row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id) AS k FROM events)
+SELECT user_id AS stream_id, idx, CASE WHEN idx = 0 THEN 'call_0' ELSE 'id' || max(event_id) END AS call_id,
+  CASE WHEN count(*) > 1 THEN 'find_user' ELSE 'find' END AS name, string_agg(t, '' ORDER BY event_id) AS arguments FROM e GROUP BY user_id, idx""")
+def agg6_str2_defaults(spark, sf_dir):
+    """Frames with whole messages and deltas, without an index or an id, and names that come in parts or again."""
+    from parlance.streaming.fold import deltas, folded, fragments, payloads
+
+    from pyspark.sql import Window
+
+    odd = F.col("event_id") % 2 == 1
+    nth = F.row_number().over(Window.partitionBy("user_id", F.col("event_id") % 2).orderBy("event_id"))
+    own = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", odd.alias("odd"), nth.alias("k"))
+    name = F.when(F.col("k") == 1, "find").when(F.col("k") == 2, "_user").when(F.col("k") == 3, "find_user")
+    call = F.array(F.struct(F.when(F.col("odd"), 1).alias("index"), F.when(F.col("odd"), F.concat(F.lit("id"), "event_id")).alias("id"), F.struct(name.alias("name"), F.col("event_type").alias("arguments")).alias("function")))
+    inner = F.struct(call.alias("tool_calls"))
+    choice = F.when(F.col("k") % 2 == 0, F.to_json(F.struct(F.array(F.struct(inner.alias("message"))).alias("choices")))).otherwise(F.to_json(F.struct(F.array(F.struct(inner.alias("delta"))).alias("choices"))))
+    lines = own.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.concat(F.lit("data: "), choice, F.lit("\n")).alias("line"))
+    return folded(fragments(deltas(payloads(lines))))
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Search messages ' || '"' || turn || '"' || CASE WHEN turn % 4 = 0 THEN ' [has:link]' ELSE '' END
+  WHEN role = 'assistant' THEN 'Fetch context around message ' || turn ELSE 'Executing other' END AS title,
+  CASE WHEN role = 'user' THEN chr(128269) WHEN role = 'assistant' THEN chr(128220) ELSE chr(9889) END AS icon,
+  CASE WHEN role = 'system' THEN chr(10060) WHEN turn % 2 = 0 THEN chr(9989) ELSE chr(9203) END AS status FROM conversations""")
+def prj11_step_titles(spark, sf_dir):
+    from parlance.functions.render import status_icon, step_title, tool_icon
+
+    turn = F.col("turn").cast("string")
+    name = F.when(F.col("role") == "user", "search_messages").when(F.col("role") == "assistant", "fetch_surrounding_messages").otherwise("other")
+    args = F.struct(turn.alias("query"), F.when(F.col("turn") % 4 == 0, "link").otherwise("").alias("has"), turn.alias("message_id"))
+    kind = F.when(F.col("role") == "system", "error").otherwise("tool_call")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", step_title(name, args, F.lit("")).alias("title"), tool_icon(name).alias("icon"), status_icon(kind, F.when(F.col("turn") % 2 == 0, "")).alias("status"))
+
+
+def _parts(spark, sf_dir):
+    """Parts as messages, each with a file, every third one with an embed."""
+    none = F.lit(None).cast("string")
+    key = F.col("p_partkey")
+    file = F.struct(F.concat(F.col("p_name"), F.lit(".pdf")).alias("filename"), F.when(key % 2 == 0, "application/pdf").otherwise("").alias("content_type"), F.concat(F.lit("u/"), key).alias("url"))
+    embed = F.struct(F.when(key % 9 == 0, F.col("p_type")).alias("title"), none.alias("description"), F.when(key % 9 == 3, "https://x.org").alias("url"))
+    author = F.struct(F.col("p_size").cast("string").alias("id"), F.lit("").alias("username"), F.col("p_brand").alias("globalName"))
+    return read(spark, sf_dir, "part").select(key.cast("string").alias("id"), F.lit("c").alias("channel_id"), author.alias("author"), F.when(key % 5 == 0, none).otherwise(F.col("p_type")).alias("content"), F.lit("2024-05-06T07:08:09.000Z").alias("timestamp"), F.array(file).alias("attachments"), F.when(key % 3 == 0, F.array(embed)).alias("embeds"))
+
+
+@query("""
+SELECT p_partkey AS id, '[2024-05-06 07:08:09] [#c] ' || p_brand || ' (' || p_size || ') [ID:' || p_partkey || ']: ' || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_type END
+  || chr(10) || '  [Attachment: ' || p_name || '.pdf (' || CASE WHEN p_partkey % 2 = 0 THEN 'application/pdf' ELSE 'file' END || ') - u/' || p_partkey || ']'
+  || CASE WHEN p_partkey % 9 = 0 THEN chr(10) || '  [Embed: "' || p_type || '" - ]' WHEN p_partkey % 9 = 3 THEN chr(10) || '  [Embed: "" - https://x.org]' ELSE '' END AS line FROM part""")
+def fmt1_message_text(spark, sf_dir):
+    return _parts(spark, sf_dir).select(F.col("id").cast("int").cast("long").alias("id"), message_text(F.col("channel_id")).alias("line"))
+
+
+@query("""
+SELECT p_partkey AS id FROM part WHERE contains(lower(p_name), 'co') OR contains(lower(p_brand), 'co')
+  OR (p_partkey % 5 <> 0 OR p_partkey % 9 = 0) AND contains(lower(p_type), 'co')""")
+def prd12_everywhere(spark, sf_dir):
+    """A keyword in content, file names, embeds and author names."""
+    return _parts(spark, sf_dir).where(P.keyword(" Co")).select(F.col("id").cast("long").alias("id"))
+
+
+@query("""
+SELECT page_id, url AS first_url, cast(1 AS integer) AS size, (SELECT count(*) FROM pages) AS total FROM pages""")
+def prj7_groups(spark, sf_dir):
+    own = read(spark, sf_dir, "pages").select("page_id", F.struct("page_id", "url").alias("messages"))
+    return R.as_groups(own).select("page_id", F.col("group")[0]["url"].alias("first_url"), F.size("group").alias("size"), "total")
+
+
+@query("""
+SELECT s.s_suppkey AS prompt_id, cast(s.s_suppkey + 1 AS varchar) AS id, coalesce(t.username, 'user_' || (s.s_suppkey + 1)) AS username
+FROM supplier s LEFT JOIN (SELECT s_suppkey, 'sup' || s_suppkey || 'x' AS username FROM supplier) t ON t.s_suppkey = s.s_suppkey + 1
+UNION ALL SELECT s_suppkey, cast(s_suppkey AS varchar), 'sup' || s_suppkey || 'x' FROM supplier""")
+def prompt_mentions(spark, sf_dir):
+    """Mentions by id (some unknown), by a whole name, and by a part of one."""
+    from parlance.operators import directory
+
+    key = F.col("s_suppkey").cast("string")
+    supplier = read(spark, sf_dir, "supplier")
+    none = F.lit(None).cast("string")
+    users = supplier.select(key.alias("id"), F.concat(F.lit("sup"), key, F.lit("x")).alias("username"), none.alias("globalName"), none.alias("avatar"), none.alias("discriminator"), F.lit(False).alias("bot"))
+    name = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "Sup").otherwise("up"), key, F.lit("x"))
+    prompts = supplier.select(F.col("s_suppkey").alias("prompt_id"), F.concat(F.lit("ask @"), name, F.lit(" and <@!"), (F.col("s_suppkey") + 1).cast("string"), F.lit("> @everyone")).alias("text"))
+    return directory.prompt_mentions(prompts, users).select("prompt_id", "id", "username")

@@ -79,10 +79,12 @@ def search_messages(tables: Tables, scope: dict, args: dict) -> str:
         content=args.get("query"), channel_id=None if everywhere else channel, author_id=args.get("author_id"), has=args.get("has"), during=args.get("date") or args.get("during_date"), after=args.get("after_date"), before=args.get("before_date"), pinned=args.get("pinned"), mentions=args.get("mentions"), sort_by=args.get("sort_by") or "timestamp", sort_order=args.get("sort_order") or "desc", offset=args.get("offset") or 0
     )
     own = scopes.restrict(tables.messages, scopes.allowed(scope, tables.channels))
+    # the number of all matches comes with the shown rows, by a scalar subquery
+    total = found(own, options).agg(F.count("*").alias("total")).scalar()
     rows = _named(shown(own, options), tables, scope)
-    text = joined(rows.withColumn("text", message_text(F.col("_channel"))), "text", [F.col("place")], "\n\n").collect()[0]
+    text = joined(rows.withColumn("text", message_text(F.col("_channel"))), "text", [F.col("place")], "\n\n").withColumn("total", total).collect()[0]
     if text["rows"]:
-        total = found(own, options).count()
+        total = text["total"]
         if total > options.offset:
             return f"Found {total} matching messages (search index):\n\n{text['text']}"
         return f"Found {min(text['rows'], SHOWN_LOCAL)} matching messages in channel history:\n\n{text['text']}"
