@@ -34,7 +34,7 @@ MAGIC = b"RPG2"
 #: Ids of a block (the last document may exceed it).
 BLOCK = 1 << 20
 _END = np.array([tokens.END], "<u4").tobytes()
-_ODD = np.int64(-7046029254386353131)
+_ODD = 7046029254386353131
 
 
 def least_count(symbols: int) -> int:
@@ -53,13 +53,16 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     at again once a new symbol stands in it: what is missed by that is below a thousandth of a block of texts.
     """
     base = int(ids.max()) + 1 if len(ids) else 1
-    seq = ids.astype(np.int64)
-    last = np.zeros(len(seq), bool)
-    last[np.cumsum(lengths) - 1] = True
+    # places are linked, so that what is replaced leaves a gap and no round costs more than the places it looks at
+    seq = np.append(ids.astype(np.int64), 0)
+    after, before = np.arange(1, len(seq) + 1), np.arange(-1, len(seq) - 1)
+    gone, last = np.zeros(len(seq), bool), np.zeros(len(seq), bool)
+    gone[-1] = True
+    last[np.append(np.cumsum(lengths) - 1, len(seq) - 1)] = True
     live = ~last  # where a pair begins that may be frequent
     rules = np.zeros(0, np.int64)  # pairs as one number each
     known, number = rules, rules  # the same in order, and which rule each is
-    exact = False
+    exact, turn = False, 0
 
     def find(keys: np.ndarray) -> np.ndarray:
         """The rule of each pair, or -1."""
@@ -74,8 +77,9 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         place = np.flatnonzero(live)
         if not len(place):
             break
-        key = (seq[place] << 32) | seq[place + 1]
-        beside = np.diff(place) == 1
+        follower = after[place]
+        key = (seq[place] << 32) | seq[follower]
+        beside = place[1:] == follower[:-1]
         # in a run of one symbol every other pair counts, from the left
         same = np.concatenate([[False], beside & (key[1:] == key[:-1])])
         if same.any():
@@ -86,7 +90,8 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         if exact:
             _, slot = np.unique(key, return_inverse=True)
         else:
-            slot = ((key * _ODD) >> 40) & ((1 << max(10, len(key).bit_length() + 1)) - 1)
+            turn += 1  # other buckets each round
+            slot = ((key * np.int64((_ODD * (2 * turn + 1) + (1 << 63)) % (1 << 64) - (1 << 63))) >> 40) & ((1 << max(10, len(key).bit_length())) - 1)
         often = np.bincount(slot[~odd], minlength=int(slot.max()) + 1)[slot]
         often[odd] = 0
         rare = np.flatnonzero((often < least) & ~odd)
@@ -98,8 +103,15 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         best = often >= least
         best[:-1] &= ~right
         best[1:] &= ~left
-        at = place[best]
-        pairs, rule, times = np.unique(key[best], return_inverse=True, return_counts=True)
+        # one pair of each slot has its turn; others of the same bucket wait for the next round
+        at, slot = place[best], slot[best]
+        pair_of = np.zeros(len(often) if exact else int(slot.max(initial=0)) + 1, np.int64)
+        pair_of[slot] = key[best]
+        own = pair_of[slot] == key[best]
+        at, slot = at[own], slot[own]
+        times = np.bincount(slot, minlength=len(pair_of))
+        used = np.flatnonzero(times)
+        pairs, times = pair_of[used], times[used]
         had = find(pairs)
         pays = (times >= least) | (had >= 0)
         if not pays.any():
@@ -110,21 +122,25 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         live[place[rare]] = False
         new = pays & (had < 0)
         had[new] = made + np.arange(new.sum())
-        kept = pays[rule]
+        had[~pays] = -1
+        symbol = np.full(len(pair_of), -1)
+        symbol[used] = had
+        rule = symbol[slot]
+        kept = rule >= 0
         at = at[kept]
-        seq[at] = base + had[rule[kept]]
-        last[at] = last[at + 1]
+        seq[at] = base + rule[kept]
+        second = after[at]
+        after[at] = after[second]
+        before[after[at]] = at
+        last[at], gone[second], live[second] = last[second], True, False
         live[at] = ~last[at]
-        before = at[at > 0] - 1
-        live[before] = ~last[before]
-        stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        seq, last, live = seq[stay], last[stay], live[stay]
+        earlier = before[at]
+        live[earlier] = ~last[earlier]  # before the first place stands the last one, which is an end
         if new.any():
             rules = np.concatenate([rules, pairs[new]])
             number = np.argsort(rules)
             known = rules[number]
-    ends = np.flatnonzero(last) + 1
+    seq, ends = seq[~gone], np.flatnonzero(last[~gone]) + 1
     return seq, np.diff(ends, prepend=0), np.stack([rules >> 32, rules & 0xFFFFFFFF], 1), base
 
 
@@ -155,18 +171,47 @@ def expansions(rules: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that symbols stand for."""
-    while True:
-        deep = symbols >= base
-        if not deep.any():
-            return symbols
-        at = np.cumsum(1 + deep) - 1 - deep
-        out = np.empty(len(symbols) + int(deep.sum()), np.int64)
-        out[at] = symbols
-        own = rules[symbols[deep] - base]
-        out[at[deep]], out[at[deep] + 1] = own[:, 0], own[:, 1]
-        symbols = out
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int, wide: np.ndarray | None = None) -> np.ndarray:
+    """The ids that symbols stand for (``wide``: the rules' expansion lengths)."""
+    wide = expansions(rules, base) if wide is None else wide.astype(np.int64)
+    if len(symbols) * 4 < len(rules):  # few of them: level by level
+        while (deep := symbols >= base).any():
+            at = np.cumsum(1 + deep) - 1 - deep
+            out = np.empty(len(symbols) + int(deep.sum()), np.int64)
+            out[at] = symbols
+            own = rules[symbols[deep] - base]
+            out[at[deep]], out[at[deep] + 1] = own[:, 0], own[:, 1]
+            symbols = out
+        return symbols
+    # every rule once, those that stand for fewest ids first; then all symbols by one lookup
+    first = np.concatenate([[0], np.cumsum(wide)])
+    flat = np.zeros(first[-1], np.int64)
+    order = np.argsort(wide, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(wide[order])) + 1, len(order))
+    begin = 0
+    for end in ends.tolist() if len(order) else []:
+        level = order[begin:end]
+        begin = end
+        left, right = rules[level, 0], rules[level, 1]
+        at = first[level]
+        for part in (left, right):
+            n = np.where(part < base, 1, wide[np.maximum(part - base, 0)])
+            source = np.where(part < base, -1, first[np.maximum(part - base, 0)])
+            into, out = _runs(at, n), _runs(np.maximum(source, 0), n)
+            flat[into] = np.where(np.repeat(source, n) < 0, np.repeat(part, n), flat[out])
+            at = at + n
+    n = np.where(symbols < base, 1, wide[np.maximum(symbols - base, 0)] if len(wide) else 1)
+    plain = np.repeat(symbols < base, n)
+    out = np.repeat(symbols, n)
+    deep = symbols >= base
+    out[~plain] = flat[_runs(first[symbols[deep] - base], n[deep])]
+    return out
+
+
+def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Numbers from each ``first`` on, ``count`` of each."""
+    total = np.cumsum(count)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(first - (total - count), count)
 
 
 def pack(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
@@ -203,7 +248,7 @@ class Block:
 
     def decode(self) -> list[bytes]:
         """Ids of all documents, as little-endian 32-bit."""
-        raw = expand(self.symbols(0, self.n_symbols), self.rules, self.base).astype("<u4").tobytes()
+        raw = expand(self.symbols(0, self.n_symbols), self.rules, self.base, self.expansions).astype("<u4").tobytes()
         ends = (np.cumsum(self.lengths, dtype=np.int64) * 4).tolist()
         return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
@@ -215,7 +260,7 @@ class Block:
         last = int(ends[-1]) if count is None else min(first + count, int(ends[-1]))
         lo, hi = np.searchsorted(ends, first, side="right"), np.searchsorted(ends, last, side="left") + 1
         skipped = int(ends[lo - 1]) if lo else 0
-        return expand(own[lo:hi], self.rules, self.base)[first - skipped : last - skipped]
+        return expand(own[lo:hi], self.rules, self.base, self.expansions)[first - skipped : last - skipped]
 
 
 def write(docs: DataFrame, stash: Stash, name: str = "blocks", path: str | None = None, folder: str | None = None) -> DataFrame:
