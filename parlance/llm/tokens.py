@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 #: Words that a worker keeps at most (about 230 bytes each).
-CACHE = 900_000
+CACHE = 500_000
 END = 2
 #: ASCII characters that the tokenizer cuts off from letters before them, as one run.
 _MARKS = b".,!?;:*#%$&|"
