@@ -26,19 +26,21 @@ from parlance.llm import tokens
 from parlance.llm.common import Stash, partitions, parts, table, texts
 
 SEQUENCE, STEP = 4096, 8
+#: Words that a worker keeps in the pipeline.
+STAGE_CACHE = 400_000
 #: The saving at which no more patterns are sought, as a share of the sequences.
 GAP = 1e-3
 _END = np.array([tokens.END], "<u4").tobytes()
 
 
-def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, cache: int = tokens.CACHE) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of each piece."""
     path = path or tokens.default_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             own, rows = [], []
-            for i, ids in enumerate(tokens.encode(texts(batch, "text"), path)):
+            for i, ids in enumerate(tokens.encode(texts(batch, "text"), path, cache)):
                 ids += _END
                 n = len(ids) // 4
                 for start in range(0, n, sequence):
@@ -173,10 +175,10 @@ def ranked(cut: DataFrame, stash: Stash) -> DataFrame:
     return keyed.withColumn("inside", inside).join(counts, ["class", "bucket"]).withColumn("rank", F.col("before") + F.col("inside")).drop("bucket", "before", "inside")
 
 
-def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, cache: int = tokens.CACHE) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece."""
     stash = Stash(docs.sparkSession)
-    cut = stash.put(pieces(docs, path), "pieces")
+    cut = stash.put(pieces(docs, path, cache=cache), "pieces")
     # at most SEQUENCE / STEP rows
     histogram = sorted((r["class"], r["n"]) for r in cut.groupBy(F.ceil(F.col("length") / STEP).cast("int").alias("class")).agg(F.count("*").alias("n")).collect())
     width = np.array([c for c, _ in histogram], np.int64)
@@ -203,4 +205,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packed(docs)
+    """As ``packed``; workers keep fewer words, because they hold what earlier stages left them with, too."""
+    return packed(docs, cache=STAGE_CACHE)

@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 #: Words that a worker keeps at most (about 230 bytes each).
-CACHE = 500_000
+CACHE = 900_000
 END = 2
 #: ASCII characters that the tokenizer cuts off from letters before them, as one run.
 _MARKS = b".,!?;:*#%$&|"
@@ -87,8 +87,8 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(texts: list[bytes], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each text, without an end id."""
+def encode(texts: list[bytes], path: str, cache: int = CACHE) -> list[bytes]:
+    """Little-endian 32-bit ids of each text, without an end id; a worker learns no more words than ``cache``."""
     if path not in _HELD:
         _HELD[path] = _Held(path)
     held = _HELD[path]
@@ -104,7 +104,7 @@ def encode(texts: list[bytes], path: str) -> list[bytes]:
             new = {w for words, found in zip(split, ids, strict=True) if None in found for w, x in zip(words, found, strict=True) if x is None}
             if new:
                 extra = held.learn(new)
-                if len(known) < CACHE:
+                if len(known) < cache:
                     known.update(extra)
                 for words, found in zip(split, ids, strict=True):
                     if None in found:
