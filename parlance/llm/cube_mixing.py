@@ -169,9 +169,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, with all its columns."""
+    """Each document as often as the mix takes it, with all its columns.
+
+    Nearly every document has a row of copies, so these are never broadcast: texts are shuffled once, at any size.
+    """
     stash = Stash(spark)
     often = stash.put(copies(stash.put(sized(docs), "sizes"), stash).where("copies > 0").select("doc_id", "source", "copies"), "copies")
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source"))
-    taken = docs.alias("d").join(often.alias("c"), same).select(F.struct("d.*").alias("row"), F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    taken = docs.alias("d").join(often.hint("merge").alias("c"), same).select(F.struct("d.*").alias("row"), F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return taken.select("row.*")
