@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import cotraining, cube_mixing, cutting_stock, html_lstm, hyperminhash, multiset_hash, quality_rules, repair_tokens, role_repair, url_filter
+from parlance.llm import collocations, cotraining, cube_mixing, cutting_stock, html_lstm, hyperminhash, multiset_hash, quality_rules, repair_tokens, role_repair, url_filter, vector_codes, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.query,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": url_filter.query,
     "op9_role_repair": role_repair.query,
     "op10_cube_mixing": cube_mixing.query,
+    "op11_collocations": collocations.query,
+    "op12_winnowing": winnowing.query,
+    "op13_vector_codes": vector_codes.query,
 }
 #: Exact sets, pairs and reachability.
 _COMPONENTS = r"""
@@ -45,4 +48,4 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id =
 FROM documents d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op6_hyperminhash": _COMPONENTS, "op8_url_filter": url_filter.oracle()}
+ORACLES: dict[str, str] = {"op6_hyperminhash": _COMPONENTS, "op8_url_filter": url_filter.oracle(), "op11_collocations": collocations.ORACLE, "op12_winnowing": winnowing.ORACLE, "op13_vector_codes": vector_codes.oracle()}

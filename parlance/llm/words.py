@@ -45,14 +45,14 @@ def _powers(n: int) -> np.ndarray:
 class Chunk:
     """Texts ``first`` to ``last`` (exclusive) of a batch: bytes, words and hashes."""
 
-    def __init__(self, texts: list[bytes], first: int, last: int):
+    def __init__(self, texts: list[bytes], first: int, last: int, space: np.ndarray = SPACE):
         self.first, self.last = first, last
         own = texts[first:last]
         self.bytes = np.frombuffer(b"\n".join(own) + b"\n", np.uint8)
         ends = np.cumsum([len(x) + 1 for x in own])
         #: Where each text begins, and the end of the last.
         self.text_at = np.concatenate([[0], ends])
-        self.space = SPACE[self.bytes]
+        self.space = space[self.bytes]
         edges = np.diff(self.space.astype(np.int8), prepend=1)
         self.starts = np.flatnonzero(edges == -1)
         self.ends = np.flatnonzero(edges == 1)
@@ -87,15 +87,15 @@ class Chunk:
         return total[self.word_at[1:]] - total[self.word_at[:-1]]
 
 
-def chunks(texts: list[bytes]) -> Iterator[Chunk]:
+def chunks(texts: list[bytes], space: np.ndarray = SPACE) -> Iterator[Chunk]:
     first, held = 0, 0
     for i, text in enumerate(texts):
         if held and held + len(text) > CHUNK:
-            yield Chunk(texts, first, i)
+            yield Chunk(texts, first, i, space)
             first, held = i, 0
         held += len(text) + 1
     if first < len(texts):
-        yield Chunk(texts, first, len(texts))
+        yield Chunk(texts, first, len(texts), space)
 
 
 def lowered(values: np.ndarray) -> np.ndarray:
