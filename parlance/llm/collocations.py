@@ -212,14 +212,13 @@ def _chosen(lang: str, runs: Runs, longest: int, bits: np.ndarray, blocks: int,
     occur = 0
     for size in range(1, longest + 1):
         first, hashes = runs.runs(size)
-        held, at, often = np.unique(hashes, return_index=True, return_counts=True)
-        cells = _cells(lang, held)
-        places = _places(cells >> shift, (cells >> (shift - np.uint64(32))).astype(np.uint32), len(bits) * 8).reshape(HASHES, -1)
-        known = np.ones(len(held), bool)
-        for p in places:
+        cells = _cells(lang, hashes)
+        known = np.ones(len(cells), bool)
+        for p in _places(cells >> shift, (cells >> (shift - np.uint64(32))).astype(np.uint32), len(bits) * 8).reshape(HASHES, -1):
             known &= (bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
-        occur += int(often[known].sum())
-        out.update(runs.pattern(i, size) for i in (first[np.isin(hashes, held[known])] if every else first[at[known]]).tolist())
+        first, hashes = first[known], hashes[known]
+        occur += len(first)
+        out.update(runs.pattern(i, size) for i in (first if every else first[np.unique(hashes, return_index=True)[1]]).tolist())
     return sorted(out), occur
 
 
