@@ -21,16 +21,18 @@ def mentioned_names(prompt: Column) -> Column:
     return F.array_distinct(F.filter(names, lambda x: ~F.lower(x).isin("everyone", "here")))
 
 
+#: A mention being typed: an @ after a space or at the start, and what follows it to the end (fixed pattern).
+_OPEN = r"(^|\s)@([a-zA-Z0-9_.]*)$"
+
+
 def open_mention(prompt: Column) -> Column:
     """What stands after an @ at the very end; null where no mention is being typed."""
-    tail = r"(?:^|\s)@([a-zA-Z0-9_.]*)$"
-    return F.when(prompt.rlike(tail), F.regexp_extract(prompt, tail, 1))
+    return F.when(prompt.rlike(_OPEN), F.regexp_extract(prompt, _OPEN, 2))
 
 
 def insert_mention(prompt: Column, user_id: Column) -> Column:
     """The mention being typed replaced by an id mention and a space."""
-    tail = r"(^|\s)@([a-zA-Z0-9_.]*)$"
-    return F.when(prompt.rlike(tail), F.concat(F.regexp_replace(prompt, tail, "$1"), F.lit("<@"), user_id, F.lit("> "))).otherwise(prompt)
+    return F.when(prompt.rlike(_OPEN), F.concat(F.regexp_replace(prompt, _OPEN, "$1"), F.lit("<@"), user_id, F.lit("> "))).otherwise(prompt)
 
 
 #: Inline tokens in order of precedence (fixed patterns); a token ends where its first closing mark stands.
@@ -65,21 +67,62 @@ def inline_tokens(text: Column, kind: str) -> Column:
 
 
 def block_kind(line: Column) -> Column:
-    """The class of one line of markdown."""
+    """The class of one line of markdown outside code."""
     return (
-        F.when(line.rlike(r"^\s*```"), "fence")
-        .when(line.rlike(r"^### "), "h3")
-        .when(line.rlike(r"^## "), "h2")
-        .when(line.rlike(r"^# "), "h1")
-        .when(line.rlike(r"^> ?"), "quote")
-        .when(line.rlike(r"^\s*(?:---+|\*\*\*+|___+)\s*$"), "rule")
-        .when(line.rlike(r"^\s*[-*+] "), "bullet")
-        .when(line.rlike(r"^\s*[0-9]+\. "), "number")
-        .when(F.trim(line) == "", "blank")
+        F.when(line.startswith("### "), "h3")
+        .when(line.startswith("## "), "h2")
+        .when(line.startswith("# "), "h1")
+        .when(line.startswith("> "), "quote")
+        .when(line.startswith("- ") | line.startswith("* "), "bullet")
+        .when(line.rlike(r"^[0-9]+\.\s+"), "number")
+        .when(line.rlike(r"^\s*(?:---|\*\*\*)\s*$"), "rule")
+        .when(line == "", "blank")
         .otherwise("text")
     )
 
 
+#: What opens and closes a block of code (fixed value).
+FENCE = "```"
+
+
+def blocks(content: Column) -> Column:
+    """SCL24: a message's blocks in order, as an array of kind, text (without marks of its kind), lang (of code), and
+    number (of numbered items). What stands between two fences is one block of code, over as many lines as it has;
+    its first line, where there are more, names the language. A fence that is never closed is text. Lines outside code
+    are a block each."""
+    none = F.lit(None).cast("string")
+    pieces = F.split(F.coalesce(content, F.lit("")), FENCE, -1)
+    last = F.size(pieces) - 1
+    # with an odd number of fences the last one opens nothing: its two sides are one piece
+    tail = F.concat_ws(FENCE, F.get(pieces, last - 1), F.get(pieces, last))
+    odd = last % 2 == 1
+    pieces = F.when(odd, F.concat(F.slice(pieces, 1, F.greatest(last - 1, F.lit(0))), F.array(tail))).otherwise(pieces)
+
+    def block(kind: Column, text: Column, lang: Column, number: Column) -> Column:
+        return F.struct(kind.alias("kind"), text.alias("text"), lang.alias("lang"), number.alias("number"))
+
+    def code(piece: Column) -> Column:
+        cut = F.instr(piece, "\n")
+        lang = F.when(cut > 0, F.trim(F.substring_index(piece, "\n", 1))).otherwise("")
+        return F.array(block(F.lit("code"), F.when(cut > 0, piece.substr(cut + 1, F.length(piece))).otherwise(piece), lang, none))
+
+    def lines(piece: Column) -> Column:
+        return F.transform(F.split(piece, "\n", -1), line)
+
+    def line(text: Column) -> Column:
+        kind = block_kind(text)
+        marks = F.when(kind == "h3", 4).when(kind == "h2", 3).when(kind.isin("h1", "quote", "bullet"), 2).otherwise(0)
+        inner = F.when(kind == "number", F.regexp_extract(text, r"^[0-9]+\.\s+(.*)", 1)).otherwise(text.substr(marks + 1, F.length(text)))
+        return block(kind, inner, none, F.when(kind == "number", F.regexp_extract(text, r"^([0-9]+)\.", 1)))
+
+    def one(piece: Column, i: Column) -> Column:
+        # a fence alone, with up to two more marks, both begins and ends like code
+        bare = piece.isin(FENCE, FENCE + "`", FENCE + "``")
+        return F.when(i % 2 == 1, code(piece)).when(bare, code(F.lit(""))).otherwise(lines(piece))
+
+    return F.when(content.isNull() | (content == ""), F.array().cast("array<struct<kind:string,text:string,lang:string,number:string>>")).otherwise(F.flatten(F.transform(pieces, one)))
+
+
 def relative_time(then_ms: Column, now_ms: Column) -> Column:
     """Just now, Nm, Nh, Yesterday, Nd, or the date."""
     minutes = F.floor((now_ms - then_ms) / 60000).cast("long")

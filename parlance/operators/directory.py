@@ -34,14 +34,19 @@ def gathered(*sources: DataFrame) -> DataFrame:
     return merged(parts, "id", last=False)
 
 
+def ranked(name: Column) -> list[Column]:
+    """The order of users that match a lower-case name: those first whose username or global name begins with it."""
+    begins = F.lower("username").startswith(name) | F.coalesce(F.lower("globalName").startswith(name), F.lit(False))
+    return [F.when(begins, 0).otherwise(1), F.collate("username", "unicode"), F.col("id")]
+
+
 def suggested(users: DataFrame, query: str = "", limit: int = SUGGESTED) -> DataFrame:
     """TOP3: with no query the first users as gathered; else matches, names that begin with the query first."""
     q = query.strip().lower()
     if not q:
         order = ["priority", "id"] if "priority" in users.columns else ["id"]
         return users.orderBy(*order).limit(limit)
-    begins = F.lower("username").startswith(q) | F.coalesce(F.lower("globalName").startswith(q), F.lit(False))
-    return users.where(mention_match(q)).orderBy(F.when(begins, 0).otherwise(1), F.collate("username", "unicode"), "id").limit(limit)
+    return users.where(mention_match(q)).orderBy(*ranked(F.lit(q))).limit(limit)
 
 
 def _grams(text: Column) -> Column:
@@ -66,14 +71,18 @@ def prompt_mentions(prompts: DataFrame, users: DataFrame) -> DataFrame:
     spelled = own.select("id", "username", "globalName", F.explode(F.array_distinct(F.array(F.lower("username"), F.lower(F.coalesce("globalName", "username"))))).alias("name"))
     exact = names.join(spelled, "name")
     rest = names.join(spelled.select("name").distinct(), "name", "left_anti")
-    # parts of names meet by what they begin with: up to three characters, which every name around them holds
+    # parts of names meet by the run of up to three characters that the fewest users have
     known = own.select("id", "username", "globalName")
     grams = known.select("*", F.explode(_grams(F.array_join(F.array(F.lower("username"), F.lower("globalName")), "\n"))).alias("gram"))
-    inside = rest.withColumn("gram", F.substring("name", 1, 3)).join(grams, "gram").where(F.contains(F.lower("username"), F.col("name")) | F.coalesce(F.contains(F.lower("globalName"), F.col("name")), F.lit(False))).drop("gram")
+    often = grams.groupBy("gram").agg(F.count("*").alias("_n"))
+    whole = F.when(F.char_length("name") < 3, F.array("name")).otherwise(F.filter(_grams(F.col("name")), lambda g: F.char_length(g) == 3))
+    asked = rest.select("name").distinct().select("name", F.explode(whole).alias("gram")).join(often, "gram", "left")
+    asked = asked.groupBy("name").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("x")).where("x.n > 0").select("name", "x.gram")
+    inside = asked.join(grams, "gram").where(F.contains(F.lower("username"), F.col("name")) | F.coalesce(F.contains(F.lower("globalName"), F.col("name")), F.lit(False))).drop("gram")
+    inside = rest.join(inside, "name").select("prompt_id", "pos", "name", "id", "username", "globalName")
     same = rest.join(known, F.col("id") == F.col("name"))
-    both = exact.unionByName(inside).unionByName(same.select(*exact.columns)).distinct()
-    begins = F.when(F.lower("username").startswith(F.col("name")), 0).otherwise(1)
-    first = F.row_number().over(Window.partitionBy("prompt_id", "pos").orderBy(begins, "username", "id"))
+    both = exact.select("prompt_id", "pos", "name", "id", "username", "globalName").unionByName(inside).unionByName(same.select("prompt_id", "pos", "name", "id", "username", "globalName")).distinct()
+    first = F.row_number().over(Window.partitionBy("prompt_id", "pos").orderBy(*ranked(F.col("name"))))
     by_name = both.withColumn("_rank", first).where("_rank = 1").select("prompt_id", F.lit(1).alias("kind"), "pos", "id", "username", "globalName")
     once = F.row_number().over(Window.partitionBy("prompt_id", "id").orderBy("kind", "pos"))
     return by_id.unionByName(by_name).withColumn("_rank", once).where("_rank = 1").drop("_rank")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.sources.schema import LOG_ROWS, PAGE_CAP
+from parlance.sources.shared import own_folder, written
 
 
 def clamp(limit: int) -> int:
@@ -13,6 +14,15 @@ def clamp(limit: int) -> int:
     return min(limit, PAGE_CAP)
 
 
+def asked_limit(value: object, default: int) -> int:
+    """A limit out of a call's arguments: between 1 and the page cap; the default where it is missing, 0 or no number."""
+    try:
+        number = int(value or 0) or default
+    except (TypeError, ValueError):
+        number = default
+    return max(1, clamp(number))
+
+
 def merged(parts: list[DataFrame], key: str = "id", last: bool = True, order: str | None = None) -> DataFrame:
     """SET1, SET2, AGG2 to AGG4: one row a key over several sources; the last (or first) source that has it wins, and
     inside a source the row of the greatest (or least) ``order``, of equals the one of the greatest (least) hash.
@@ -50,18 +60,42 @@ def recent(messages: DataFrame, limit: int = 25, channel: str = "channel_id", or
     return messages.withColumn("_rank", F.row_number().over(oldest)).where(F.col("_rank") > -limit).drop("_rank")
 
 
-def around(messages: DataFrame, targets: DataFrame, limit: int = 10, channel: str = "channel_id", key: str = "id", order: tuple[str, ...] = ("ts", "id")) -> DataFrame:
+def numbered(rows: DataFrame, group: str, order: tuple[str, ...], place: str = "place") -> DataFrame:
+    """Numbers the rows of each group in order, from 1, without ever bringing a group into one task: rows are dealt to
+    ranges of (group, order) and written, numbered inside their range, and moved on by the number of the group's rows in
+    the ranges before. Only rows that are equal in the group and all of ``order`` have to share a range."""
+    spark = rows.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = rows.repartitionByRange(width, F.col(group), *(F.col(c) for c in order)).withColumn(_RANGE, F.spark_partition_id())
+    cut = written(cut, own_folder(spark, "ranges"))
+    count = cut.groupBy(F.col(group).alias("_group"), F.col(_RANGE).alias("_range")).agg(F.count("*").alias("_rows"))
+    # one row for each range that a group reaches
+    before = F.sum("_rows").over(Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    count = count.select("_group", "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    local = cut.withColumn("_local", F.row_number().over(Window.partitionBy(_RANGE, group).orderBy(*order)))
+    out = local.join(count, (F.col(_RANGE) == F.col("_range")) & F.col(group).eqNullSafe(F.col("_group")))
+    return out.withColumn(place, F.col("_before") + F.col("_local")).drop(_RANGE, "_group", "_range", "_before", "_local")
+
+
+#: The range of a row, beside a table's own columns.
+_RANGE = "__parlance_range"
+
+
+def around(messages: DataFrame, targets: DataFrame, limit: int | str = 10, channel: str = "channel_id", key: str = "id", order: tuple[str, ...] = ("ts", "id")) -> DataFrame:
     """WIN1: up to ``limit`` (50 at most) rows around each target (channel, id): half of them before it, rounded down,
-    then the target, then the rest. Absent targets give no rows. Column ``target`` names the target."""
-    n = clamp(limit)
-    before = n // 2
-    numbered = messages.withColumn("_place", F.row_number().over(Window.partitionBy(channel).orderBy(*order)))
-    wanted = targets.select(F.col(channel).alias("_channel"), F.col(key).alias("target")).distinct()
-    found = numbered.join(wanted, (F.col(channel) == F.col("_channel")) & (F.col(key) == F.col("target")))
-    # rows of a channel are numbered once; each target asks for at most PAGE_CAP numbers by an equi-join
-    asked = F.explode(F.sequence(F.col("_place") - before, F.col("_place") + (n - before - 1))) if n > 0 else F.explode(F.array().cast("array<int>"))
-    near = found.select("_channel", "target", asked.alias("_asked"))
-    return numbered.join(near, (F.col(channel) == F.col("_channel")) & (F.col("_place") == F.col("_asked"))).drop("_channel", "_place", "_asked")
+    then the target, then the rest. Absent targets give no rows. Column ``target`` names the target. ``limit`` may name a
+    column of the targets, and each of them is then asked for once with each limit."""
+    own = limit if isinstance(limit, str) else None
+    many = F.least(F.col(own).cast("int"), F.lit(PAGE_CAP)) if own else F.lit(clamp(limit))
+    wanted = targets.select(F.col(channel).alias("_channel"), F.col(key).alias("target"), many.alias("_many"), *([F.col(own)] if own else [])).distinct().where("_many > 0")
+    # only channels with a target are numbered
+    some = messages.join(wanted.select(F.col("_channel").alias(channel)).distinct(), channel, "left_semi")
+    rows = numbered(some, channel, order, "_place")
+    found = rows.select(F.col(channel).alias("_c"), F.col(key).alias("_k"), F.col("_place").alias("_at")).join(wanted, (F.col("_c") == F.col("_channel")) & (F.col("_k") == F.col("target")))
+    # each target asks for at most PAGE_CAP numbers by an equi-join
+    before = F.floor(F.col("_many") / 2)
+    near = found.select("_channel", "target", *([own] if own else []), F.explode(F.sequence(F.col("_at") - before, F.col("_at") - before + F.col("_many") - 1)).alias("_asked"))
+    return rows.join(near, (F.col(channel) == F.col("_channel")) & (F.col("_place") == F.col("_asked"))).drop("_channel", "_place", "_asked")
 
 
 def hits(grouped: DataFrame, group: str = "group_id", place: str = "pos") -> DataFrame:
@@ -71,8 +105,11 @@ def hits(grouped: DataFrame, group: str = "group_id", place: str = "pos") -> Dat
 
 
 def as_groups(items: DataFrame, column: str = "messages") -> DataFrame:
-    """PRJ7: bare items as groups of one; the total is the reported one, or else the number of groups."""
-    return items.withColumn("group", F.array(column)).withColumn("total", F.coalesce(F.col("total_results") if "total_results" in items.columns else F.lit(None).cast("long"), F.count("*").over(Window.partitionBy())))
+    """PRJ7: bare items as groups of one; the total is the reported one, or else the number of groups, counted by a
+    scalar subquery, so the rows never meet."""
+    reported = F.col("total_results") if "total_results" in items.columns else F.lit(None).cast("long")
+    total = items.agg(F.count("*").alias("total")).scalar()
+    return items.withColumn("group", F.array(column)).withColumn("total", F.coalesce(reported, total))
 
 
 def counted(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:

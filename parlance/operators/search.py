@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.operators import predicates as P
 from parlance.operators.retrieve import recent, term_score
@@ -85,21 +86,22 @@ def found(messages: DataFrame, options: SearchOptions) -> DataFrame:
     return messages.where(options.column())
 
 
-def shown(messages: DataFrame, options: SearchOptions) -> DataFrame:
+def shown(messages: DataFrame, options: SearchOptions, candidates: DataFrame | None = None) -> DataFrame:
     """What a search shows: matches in order (15 at most after the offset); where there is none, the newest matches (10
-    at most, oldest first) among the 50 newest rows of the channel, by the local filter. One lazy plan: the fallback
-    is joined away where the search has a match. Columns ``fallback`` and ``place`` tell which, and the order."""
-    from pyspark.sql import Window
+    at most, oldest first) among the 50 newest rows of the channel, by the local filter. Columns ``fallback`` and
+    ``place`` tell which, and the order.
 
-    matches = found(messages, options)
+    The page is read at once, as it has 15 rows at most; only an empty one makes the fallback run. ``candidates`` are
+    rows among which all matches are, such as those of an index; by default all messages are looked through."""
+    matches = found(messages if candidates is None else candidates, options)
     page = matches.orderBy(*options.order()).offset(options.offset).limit(SHOWN_REMOTE)
-    first = page.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*options.order()))).withColumn("fallback", F.lit(False))
+    rows = page.collect()
+    if rows:
+        schema = T.StructType([*page.schema.fields, T.StructField("place", T.IntegerType()), T.StructField("fallback", T.BooleanType())])
+        return messages.sparkSession.createDataFrame([(*r, i + 1, False) for i, r in enumerate(rows)], schema).orderBy("place")
     local = P.LocalFilter(options.content, options.has, options.author_id, options.during, options.after, options.before)
     timed = messages.where(F.col("channel_id") == options.channel_id) if options.channel_id else messages
-    timed = timed.withColumn("ts", F.try_to_timestamp("timestamp"))
-    newest = recent(timed, FALLBACK_ROWS)
+    newest = recent(timed.withColumn("ts", F.try_to_timestamp("timestamp")), FALLBACK_ROWS)
     rest = newest.where(local.column()).orderBy(F.desc("ts"), F.desc("id")).limit(SHOWN_LOCAL)
-    rest = rest.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ts", "id"))).withColumn("fallback", F.lit(True)).drop("ts")
-    some = page.limit(1).select(F.lit(True).alias("_any"))
-    rest = rest.withColumn("_any", F.lit(True)).join(F.broadcast(some), "_any", "left_anti").drop("_any")
-    return first.unionByName(rest.select(*first.columns)).orderBy("place")
+    rest = rest.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ts", "id"))).withColumn("fallback", F.lit(True))
+    return rest.select(*page.columns, "place", "fallback").orderBy("place")

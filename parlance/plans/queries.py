@@ -8,6 +8,7 @@ and user, lineitem and part as attachments of orders, page URLs as links, docume
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from parlance.functions.values import contains, or_else
 from parlance.operators import predicates as P
 from parlance.operators import retrieve as R
 from parlance.operators.sessions import current, for_channel
+from parlance.sources.shared import own_folder
 from parlance.sources.tables import conversation_messages, event_messages, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +103,38 @@ def tvf3_fallback(spark, sf_dir):
     return rows.select(F.col("id").cast("long").alias("id"), "fallback")
 
 
+_EDITED = "SELECT doc_id, CASE WHEN lang = 'de' THEN upper(text) || ' (edited)' ELSE text END AS text FROM documents"
+
+
+@query(f"SELECT q AS query, doc_id FROM ({_EDITED}), (SELECT unnest(['license', 'LE', 'q', '(Edited)', 'no such run', 'tion of ']) AS q) WHERE contains(lower(text), lower(trim(q)))")
+def src1_index_search(spark, sf_dir):
+    """Documents in an index, those in German added once more as edited; searches of all lengths by posting lists."""
+    from parlance.operators.index import TextIndex
+
+    own = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    index = TextIndex(spark, own_folder(spark, "index"), "doc_id", lambda: [F.col("text")], lambda q: contains(F.col("text"), q.strip()))
+    index.add(own)
+    index.add(own.where("lang = 'de'").withColumn("text", F.concat(F.upper("text"), F.lit(" (edited)"))))
+    asked = [index.matching(q).select(F.lit(q).alias("query"), "doc_id") for q in ("license", "LE", "q", "(Edited)", "no such run", "tion of ")]
+    return reduce(DataFrame.unionByName, asked)
+
+
+@query(ORACLES["tvf3_search_messages"])
+def src1_index_shown(spark, sf_dir):
+    """The flagship's search over an index of all messages."""
+    from parlance.operators.index import TextIndex
+    from parlance.operators.scope import allowed, restrict
+    from parlance.operators.search import SearchOptions, shown
+
+    messages, channels = _chat(spark, sf_dir)
+    index = TextIndex(spark, own_folder(spark, "index"))
+    index.add(messages)
+    reach = allowed({"channelId": "-1", "isGuild": True, "guildId": "1"}, channels)
+    options = SearchOptions(content=" LE ")
+    rows = shown(restrict(messages, reach), options, restrict(index.matching(options.content), reach))
+    return rows.select(F.col("id").cast("long").alias("id"), F.col("channel_id").cast("long").alias("channel_id"), "content", message_text(F.col("channel_id")).alias("line"))
+
+
 @query("SELECT event_id, user_id FROM events WHERE user_id = 7")
 def prd1_author(spark, sf_dir):
     return event_messages(spark, sf_dir).where(P.author(F.col("user_id"), 7)).select("event_id", "user_id")
@@ -453,6 +487,28 @@ def scl24_blocks(spark, sf_dir):
     return read(spark, sf_dir, "events").select(X.block_kind(line).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query("""
+WITH c AS (SELECT event_id, event_id % 4 AS k, event_type AS t FROM events)
+SELECT event_id, 1 AS place, 'h2' AS kind, t AS text, NULL AS lang FROM c
+UNION ALL SELECT event_id, 2, CASE WHEN k = 3 THEN 'text' ELSE 'quote' END, CASE WHEN k = 3 THEN '>' || t ELSE t END, NULL FROM c
+UNION ALL SELECT event_id, 3, 'blank', '', NULL FROM c
+UNION ALL SELECT event_id, 4, 'blank', '', NULL FROM c WHERE k < 2
+UNION ALL SELECT event_id, 5, 'code', '# ' || t || chr(10) || '- x', 'py' FROM c WHERE k < 2
+UNION ALL SELECT event_id, 6, 'blank', '', NULL FROM c WHERE k < 2
+UNION ALL SELECT event_id, 7, 'number', t, NULL FROM c WHERE k < 2
+UNION ALL SELECT event_id, 4, 'text', '```py', NULL FROM c WHERE k >= 2
+UNION ALL SELECT event_id, 5, 'h1', t, NULL FROM c WHERE k >= 2
+UNION ALL SELECT event_id, 6, 'bullet', 'x', NULL FROM c WHERE k >= 2
+UNION ALL SELECT event_id, 7, 'text', '-----', NULL FROM c WHERE k >= 2""")
+def scl24_fences(spark, sf_dir):
+    """Messages with a block of code over several lines, closed or left open."""
+    k, t = F.col("event_id") % 4, F.col("event_type")
+    head = F.concat(F.lit("## "), t, F.when(k == 3, "\n>").otherwise("\n> "), t, F.lit("\n\n```py\n# "), t, F.lit("\n- x"))
+    content = F.concat(head, F.when(k < 2, F.concat(F.lit("```\n12. "), t)).otherwise("\n-----"))
+    rows = read(spark, sf_dir, "events").select("event_id", F.posexplode(X.blocks(content)).alias("pos", "b"))
+    return rows.select("event_id", (F.col("pos") + 1).alias("place"), "b.kind", "b.text", "b.lang")
+
+
 @query("SELECT event_id, event_type AS bold, cast(user_id AS varchar) AS code FROM events")
 def scl23_inline(spark, sf_dir):
     own = read(spark, sf_dir, "events").withColumn("t", F.concat(F.lit("a **"), "event_type", F.lit("** by `"), "user_id", F.lit("`")))
@@ -756,3 +812,19 @@ def prompt_mentions(spark, sf_dir):
     name = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "Sup").otherwise("up"), key, F.lit("x"))
     prompts = supplier.select(F.col("s_suppkey").alias("prompt_id"), F.concat(F.lit("ask @"), name, F.lit(" and <@!"), (F.col("s_suppkey") + 1).cast("string"), F.lit("> @everyone")).alias("text"))
     return directory.prompt_mentions(prompts, users).select("prompt_id", "id", "username")
+
+
+@query("""
+SELECT c_custkey AS prompt_id, id, username FROM customer, (SELECT cast(s_suppkey AS varchar) AS id, 'b' || lpad(cast(s_suppkey AS varchar), 6, '0') AS username, lpad(cast(100000 - s_suppkey AS varchar), 6, '0') || 'z' AS shown FROM supplier)
+WHERE contains(shown, lpad(cast(100000 - 1 - c_custkey % 10 AS varchar), 6, '0')) OR contains(username, lpad(cast(100000 - 1 - c_custkey % 10 AS varchar), 6, '0'))
+QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY CASE WHEN starts_with(username, lpad(cast(100000 - 1 - c_custkey % 10 AS varchar), 6, '0')) OR starts_with(shown, lpad(cast(100000 - 1 - c_custkey % 10 AS varchar), 6, '0')) THEN 0 ELSE 1 END, username, id) = 1""")
+def prompt_partial_mentions(spark, sf_dir):
+    """Parts of global names, which count as much as those of user names do."""
+    from parlance.operators import directory
+
+    none = F.lit(None).cast("string")
+    key = F.col("s_suppkey")
+    users = read(spark, sf_dir, "supplier").select(key.cast("string").alias("id"), F.concat(F.lit("b"), F.lpad(key.cast("string"), 6, "0")).alias("username"), F.concat(F.lpad((100000 - key).cast("string"), 6, "0"), F.lit("z")).alias("globalName"), none.alias("avatar"), none.alias("discriminator"), F.lit(False).alias("bot"))
+    part = F.lpad((99999 - F.col("c_custkey") % 10).cast("string"), 6, "0")
+    prompts = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("prompt_id"), F.concat(F.lit("ask @"), part).alias("text"))
+    return directory.prompt_mentions(prompts, users).select("prompt_id", "id", "username")

@@ -99,7 +99,7 @@ def fetch_surrounding_messages(tables: Tables, scope: dict, args: dict) -> str:
         return _denied(channel)
     own = tables.messages.where(F.col("channel_id") == channel).withColumn("ts", F.try_to_timestamp("timestamp"))
     targets = own.where(F.col("id") == message).select("channel_id", "id")
-    rows = retrieve.around(own, targets, args.get("limit") or 10)
+    rows = retrieve.around(own, targets, retrieve.asked_limit(args.get("limit"), 10))
     text = joined(rows.withColumn("text", message_text()), "text", [F.col("ts"), F.col("id")], "\n").collect()[0]
     if not text["rows"]:
         return f"No surrounding messages found around message ID {message}."
@@ -112,7 +112,7 @@ def fetch_recent_messages(tables: Tables, scope: dict, args: dict) -> str:
     if not scopes.is_allowed(channel, scope, tables.channels):
         return _denied(channel)
     own = tables.messages.where(F.col("channel_id") == channel).withColumn("ts", F.try_to_timestamp("timestamp"))
-    rows = retrieve.recent(own, args.get("limit") or 20)
+    rows = retrieve.recent(own, retrieve.asked_limit(args.get("limit"), 20))
     text = joined(rows.withColumn("text", message_text()), "text", [F.col("ts"), F.col("id")], "\n").collect()[0]
     if not text["rows"]:
         return f"No recent messages found in channel {channel}."

@@ -232,8 +232,9 @@ def test_text(spark):
     assert one(ids.message_url_parts(F.lit("https://x.com/channels/@me/12/34")))["guild_id"] is None
     assert one(ids.message_url_parts(F.lit("app://-/channels/1/2/3")))["message_id"] == "3"
     assert one(ids.clean_base(F.lit("http://a//"))) == "http://a/"
-    kinds = [one(text.block_kind(F.lit(x))) for x in ("```py", "# a", "### a", "> q", "- b", "1. n", "---", "", "t")]
-    assert kinds == ["fence", "h1", "h3", "quote", "bullet", "number", "rule", "blank", "text"]
+    kinds = [one(text.block_kind(F.lit(x))) for x in ("# a", "### a", "> q", "- b", "* b", "1. n", "---", " *** ", "", "t")]
+    assert kinds == ["h1", "h3", "quote", "bullet", "bullet", "number", "rule", "rule", "blank", "text"]
+    assert {one(text.block_kind(F.lit(x))) for x in (">x", "+ a", "  - a", "___", "-----", " ", "#a", "1.n")} == {"text"}
     assert one(text.inline_tokens(F.lit("a **b** `c`"), "bold")) == ["b"]
     minute = 60000
     labels = [one(text.relative_time(F.lit(0).cast("long"), F.lit(m * minute).cast("long"))) for m in (0, 5, 120, 1500, 4500, 20000)]
