@@ -55,15 +55,17 @@ def labelled(n: int = 6000, seed: int = 17, blocked: float = 1 / 3) -> list[tupl
         odds = lambda allowed, bad, y=y: rng.random() < (bad if y else allowed)
         word = lambda odds=odds: pick(SHADY if odds(0.1, 0.6) else PLAIN)
         name = "-".join(word() for _ in range(1 + odds(0.08, 0.7) + odds(0.02, 0.25)))
-        if odds(0.05, 0.25):
-            name = noise(8, 19, "abcdefghijklmnopqrstuvwxyz0123456789")
+        if odds(0.3, 0.35):  # a long name: letters at random, or words put together
+            name = noise(14, 23) if odds(0.1, 0.9) else "".join(pick(PLAIN) for _ in range(2 + int(rng.integers(2))))
         if odds(0.06, 0.3):
             name += noise(1, 5, "0123456789")
-        host = [*(pick(("www", "blog", "m", "news", word(), noise(2, 8))) for _ in range(rng.poisson(1.0 if y else 0.6))), name]
+        host = [*(pick(("www", "blog", "m", "news", word(), noise(2, 8))) for _ in range(rng.poisson(1.6 if y else 0.5))), name]
         if rng.random() < 0.5:
             host.append("example")
         suffix = names[int(rng.choice(len(names), p=weights[:, y] / weights[:, y].sum()))]
-        parts = [pick(("en", "de", "fr", "es", word(), noise(3, 12), str(rng.integers(1, 10 ** int(rng.integers(1, 5)))))) for _ in range(rng.poisson(2.6 if y else 1.9))]
+        # deep paths of short parts against shallow ones of long parts, so that length says less than depth
+        own = ("en", "de", "fr", "es", noise(1, 4), noise(1, 6), noise(2, 7, "0123456789")) if y else ("en", "de", word(), word() + "-" + word(), noise(3, 12), str(rng.integers(1, 100)))
+        parts = [pick(own) for _ in range(rng.poisson(3.2 if y else 1.6))]
         path = "/" + "/".join(parts) + pick(("", "", "/", ".html"))
         query = "&".join(f"{pick(('id', 'q', 'page', 'ref', 'utm_source', noise(1, 4)))}={noise(1, 9, 'abcdef0123456789')}" for _ in range(rng.poisson(1.3 if y else 0.6)))
         out.append((f"http{pick(('s', 's', ''))}://{'.'.join(host)}.{suffix}{path}{'?' * bool(query)}{query}", y))
