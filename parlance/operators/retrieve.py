@@ -60,21 +60,29 @@ def recent(messages: DataFrame, limit: int = 25, channel: str = "channel_id", or
     return messages.withColumn("_rank", F.row_number().over(oldest)).where(F.col("_rank") > -limit).drop("_rank")
 
 
-def numbered(rows: DataFrame, group: str, order: tuple[str, ...], place: str = "place") -> DataFrame:
-    """Numbers the rows of each group in order, from 1, without ever bringing a group into one task: rows are dealt to
-    ranges of (group, order) and written, numbered inside their range, and moved on by the number of the group's rows in
-    the ranges before. Only rows that are equal in the group and all of ``order`` have to share a range."""
+def running(rows: DataFrame, group: str, order: tuple[str, ...], sums: dict[str, Column]) -> DataFrame:
+    """Adds columns with the sums over the rows before a row in its group, in order, without ever bringing a group into
+    one task: rows are dealt to ranges of (group, order) and written, summed up inside their range, and moved on by the
+    sums of the group's ranges before. Only rows that are equal in the group and all of ``order`` have to share a range."""
     spark = rows.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = rows.repartitionByRange(width, F.col(group), *(F.col(c) for c in order)).withColumn(_RANGE, F.spark_partition_id())
+    cut = rows.withColumns({name: value.cast("long") for name, value in sums.items()})
+    cut = cut.repartitionByRange(width, F.col(group), *(F.col(c) for c in order)).withColumn(_RANGE, F.spark_partition_id())
     cut = written(cut, own_folder(spark, "ranges"))
-    count = cut.groupBy(F.col(group).alias("_group"), F.col(_RANGE).alias("_range")).agg(F.count("*").alias("_rows"))
+    whole = cut.groupBy(F.col(group).alias("_group"), F.col(_RANGE).alias("_range")).agg(*(F.sum(name).alias(f"_of_{name}") for name in sums))
     # one row for each range that a group reaches
-    before = F.sum("_rows").over(Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    count = count.select("_group", "_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    local = cut.withColumn("_local", F.row_number().over(Window.partitionBy(_RANGE, group).orderBy(*order)))
-    out = local.join(count, (F.col(_RANGE) == F.col("_range")) & F.col(group).eqNullSafe(F.col("_group")))
-    return out.withColumn(place, F.col("_before") + F.col("_local")).drop(_RANGE, "_group", "_range", "_before", "_local")
+    earlier = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select("_group", "_range", *(F.coalesce(F.sum(f"_of_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}") for name in sums))
+    inside = Window.partitionBy(_RANGE, group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = cut.withColumns({name: F.coalesce(F.sum(name).over(inside), F.lit(0)) for name in sums})
+    out = local.join(whole, (F.col(_RANGE) == F.col("_range")) & F.col(group).eqNullSafe(F.col("_group")))
+    out = out.withColumns({name: F.col(name) + F.col(f"_before_{name}") for name in sums})
+    return out.drop(_RANGE, "_group", "_range", *(f"_before_{name}" for name in sums))
+
+
+def numbered(rows: DataFrame, group: str, order: tuple[str, ...], place: str = "place") -> DataFrame:
+    """Numbers the rows of each group in order, from 1."""
+    return running(rows, group, order, {place: F.lit(1)}).withColumn(place, F.col(place) + 1)
 
 
 #: The range of a row, beside a table's own columns.

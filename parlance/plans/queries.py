@@ -583,6 +583,23 @@ def str1_2_frames(spark, sf_dir):
     return contents(deltas(payloads(lines))).withColumnRenamed("stream_id", "conv_id")
 
 
+@query("SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn), '') AS content FROM conversations GROUP BY conv_id")
+def str1_chunks(spark, sf_dir):
+    """Streamed answers as bytes, cut every 13 of them, inside lines and characters; joined, decoded and joined again."""
+    from parlance.streaming.chunks import lines
+    from parlance.streaming.fold import contents, deltas, payloads
+
+    own = read(spark, sf_dir, "conversations")
+    frame = F.to_json(F.struct(F.array(F.struct(F.struct(F.concat(F.lit("\u00e9"), "text").alias("content")).alias("delta"))).alias("choices")))
+    line = F.struct("turn", F.concat(F.lit("data: "), frame, F.lit("\n: ping\n\n")).alias("line"))
+    streams = own.groupBy(F.col("conv_id").alias("stream_id")).agg(F.sort_array(F.collect_list(line)).alias("x"))
+    streams = streams.select(F.col("stream_id").cast("string").alias("stream_id"), F.encode(F.array_join("x.line", ""), "UTF-8").alias("bytes"))
+    cut = streams.select("stream_id", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - 1, F.lit(13))).alias("start"))
+    chunks = cut.select("stream_id", F.col("start").cast("long").alias("start"), F.expr("substring(bytes, start + 1, 13)").alias("data"))
+    parts = deltas(payloads(lines(chunks))).withColumn("content", F.substring("content", 2, 1 << 30))
+    return contents(parts).select(F.col("stream_id").cast("long").alias("conv_id"), "content")
+
+
 @query("SELECT user_id AS stream_id, cast(0 AS integer) AS idx, string_agg(event_type, '' ORDER BY event_id) AS arguments FROM events GROUP BY user_id")
 def agg6_str3_fold(spark, sf_dir):
     from parlance.streaming.fold import folded
