@@ -57,6 +57,41 @@ def allowed(scope: dict, channels: DataFrame) -> DataFrame:
     return own.unionByName(more.select(F.col("id").alias("channel_id"))).distinct()
 
 
+def resolved(viewers: DataFrame, channels: DataFrame, users: DataFrame, guilds: DataFrame) -> DataFrame:
+    """PRJ9 for many: viewers (viewer_id, channel_id and any others) with their channel's scope, as ``resolve`` has it
+    for one, by joins on ids. Viewers of unknown channels have no row; ids of channels, users and guilds are unique."""
+    own = channels.select(F.col("id").alias("channelId"), F.col("name").alias("_name"), F.col("type").alias("channelType"), F.col("guild_id").alias("guildId"), F.col("recipients").alias("_recipients"))
+    rows = viewers.join(own, F.col("channel_id") == F.col("channelId"))
+    rows = rows.join(guilds.select(F.col("id").alias("_guild"), F.col("name").alias("guildName")), F.col("guildId") == F.col("_guild"), "left")
+    rows = rows.withColumns({"isDM": F.coalesce(F.col("channelType") == DM, F.lit(False)), "isGroupDM": F.coalesce(F.col("channelType") == GROUP_DM, F.lit(False)), "isGuild": F.col("guildId").isNotNull()})
+    others = F.filter(F.coalesce("_recipients", F.array().cast("array<string>")), lambda x: F.coalesce(x != F.col("viewer_id"), F.lit(True)))
+    rows = rows.withColumn("otherUserId", F.when(F.col("isDM") & ~F.col("isGuild"), F.get(others, F.lit(0))))
+    rows = rows.join(users.select(F.col("id").alias("_user"), or_else(F.col("globalName"), F.col("username")).alias("_who")), F.col("otherUserId") == F.col("_user"), "left")
+    name = F.when(F.col("otherUserId").isNotNull(), F.concat(F.lit("@"), F.coalesce("_who", "otherUserId"))).otherwise(or_else(F.col("_name"), "channel"))
+    return rows.withColumn("channelName", name).drop("_name", "_recipients", "_guild", "_user", "_who")
+
+
+def permitted(asked: DataFrame, channels: DataFrame, target: str, fail_open: bool = True) -> DataFrame:
+    """PRD21 for many: rows with a scope, and whether it allows the channel of column ``target`` (column ``allowed``). One
+    join on the target's id; a guild's channels are never listed out."""
+    own = channels.select(F.col("id").alias("_id"), F.col("guild_id").alias("_guild"), (text_channel(F.col("type")) & viewable(F.col("permissions"), fail_open)).alias("_open"), F.when(F.col("type") == GROUP_DM, F.col("recipients")).alias("_members"))
+    rows = asked.join(own, F.col(target) == F.col("_id"), "left")
+    guild = F.col("isGuild") & (F.col("_guild") == F.col("guildId")) & F.col("_open")
+    group = ~F.col("isGuild") & F.col("isDM") & F.array_contains("_members", F.col("otherUserId"))
+    here = F.col(target) == F.col("channelId")
+    return rows.withColumn("allowed", F.coalesce(here, F.lit(False)) | F.coalesce(guild, F.lit(False)) | F.coalesce(group, F.lit(False))).drop("_id", "_guild", "_open", "_members")
+
+
+def reachable(scopes: DataFrame, channels: DataFrame, key: str, fail_open: bool = True) -> DataFrame:
+    """``allowed`` for many: (key, channel_id) of every channel that a scope may read, each once."""
+    own = scopes.select(key, F.col("channelId").alias("channel_id"))
+    open_ = channels.where(text_channel(F.col("type")) & viewable(F.col("permissions"), fail_open)).select(F.col("guild_id").alias("guildId"), F.col("id").alias("channel_id"))
+    guild = scopes.where("isGuild").select(key, "guildId").join(open_, "guildId").select(key, "channel_id")
+    members = channels.where(F.col("type") == GROUP_DM).select(F.col("id").alias("channel_id"), F.explode(F.array_distinct("recipients")).alias("otherUserId"))
+    group = scopes.where("isDM and not isGuild").select(key, "otherUserId").join(members, "otherUserId").select(key, "channel_id")
+    return own.unionByName(guild).unionByName(group).distinct()
+
+
 def restrict(messages: DataFrame, allowed_channels: DataFrame, channel: str = "channel_id") -> DataFrame:
     """JOIN4: a semi-join; Spark broadcasts the list where its measured size allows that."""
     return messages.join(allowed_channels.select(F.col("channel_id").alias(channel)), channel, "left_semi")

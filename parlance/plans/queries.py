@@ -845,3 +845,50 @@ def prompt_partial_mentions(spark, sf_dir):
     part = F.lpad((99999 - F.col("c_custkey") % 10).cast("string"), 6, "0")
     prompts = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("prompt_id"), F.concat(F.lit("ask @"), part).alias("text"))
     return directory.prompt_mentions(prompts, users).select("prompt_id", "id", "username")
+
+
+_PLAIN = "'[] ' || author_name || ' (' || coalesce(author_id, '') || ') [ID:' || id || ']: ' || coalesce(content, '')"
+
+
+@query(f"""
+WITH t AS ({_TURNS}), c AS (SELECT DISTINCT channel_id FROM t),
+m AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY id DESC) AS rn, count(*) OVER (PARTITION BY channel_id) AS total FROM t WHERE contains(lower(content), 'le') OR contains(lower(author_name), 'le')),
+n AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY id) AS rn, row_number() OVER (PARTITION BY channel_id ORDER BY id DESC) AS back FROM t),
+s AS (SELECT channel_id, 'Found ' || any_value(total) || ' matching messages (search index):' || chr(10) || chr(10) || string_agg({_LINE}, chr(10) || chr(10) ORDER BY id DESC) AS text FROM m WHERE rn <= 15 GROUP BY channel_id),
+r AS (SELECT channel_id, 'Recent messages in channel (' || count(*) || ' messages):' || chr(10) || chr(10) || string_agg({_PLAIN}, chr(10) ORDER BY id) AS text FROM n WHERE back <= 3 GROUP BY channel_id),
+a AS (SELECT n.channel_id, 'Surrounding context around message ' || any_value(x.id) || ' (' || count(*) || ' messages):' || chr(10) || chr(10) || string_agg('[] ' || n.author_name || ' (' || coalesce(n.author_id, '') || ') [ID:' || n.id || ']: ' || coalesce(n.content, ''), chr(10) ORDER BY n.id) AS text
+  FROM n JOIN n x ON x.channel_id = n.channel_id AND x.id = x.channel_id * 1000 + 1 AND n.rn BETWEEN x.rn - 1 AND x.rn + 1 GROUP BY n.channel_id)
+SELECT 's' || c.channel_id AS call_id, coalesce(s.text, 'No messages found matching search criteria (Query: "LE") in channel #' || c.channel_id || '.') AS text FROM c LEFT JOIN s ON s.channel_id = c.channel_id
+UNION ALL SELECT 'r' || channel_id, text FROM r
+UNION ALL SELECT 'a' || c.channel_id, coalesce(a.text, 'No surrounding messages found around message ID ' || (c.channel_id * 1000 + 1) || '.') FROM c LEFT JOIN a ON a.channel_id = c.channel_id
+UNION ALL SELECT 'd' || channel_id, 'Error: Access denied. Channel -7 is outside of allowed scope.' FROM c""")
+def tvf3_5_calls(spark, sf_dir):
+    """Four calls from each channel, all in one plan: a search, recent rows, rows around one, and one that is denied."""
+    from parlance.plans.batch import answers
+    from parlance.plans.tools import Tables
+
+    messages, channels = _chat(spark, sf_dir)
+    messages = messages.withColumn("mentions", F.lit(None).cast("array<struct<id:string>>"))
+    channels = channels.withColumn("recipients", F.lit(None).cast("array<string>"))
+    guilds = channels.select(F.col("guild_id").alias("id"), F.col("guild_id").alias("name")).distinct()
+    users = messages.select(F.col("author.id").alias("id"), F.col("author.username").alias("username"), F.col("author.globalName").alias("globalName")).where("id is not null").distinct()
+    around = F.concat(F.lit('{"message_id": "'), (F.col("id").cast("long") * 1000 + 1).cast("string"), F.lit('", "limit": 3}'))
+    call = lambda kind, name, arguments: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), arguments.alias("arguments"))
+    kinds = F.array(call("s", "search_messages", F.lit('{"query": "LE"}')), call("r", "fetch_recent_messages", F.lit('{"limit": "3"}')), call("a", "fetch_surrounding_messages", around), call("d", "search_messages", F.lit('{"channel_id": "-7"}')))
+    calls = channels.select(F.col("id").alias("channel_id"), F.lit("me").alias("viewer_id"), F.inline(kinds)).withColumn("call_id", F.concat("kind", "channel_id"))
+    return answers(calls.drop("kind"), Tables(messages, channels, users, guilds))
+
+
+@query("""
+SELECT c_custkey AS viewer, cast(n_nationkey AS varchar) AS channel_id FROM customer JOIN nation h ON h.n_nationkey = c_nationkey JOIN nation n ON n.n_regionkey = h.n_regionkey AND (n.n_nationkey % 3 <> 0 OR n.n_nationkey = h.n_nationkey)""".replace("cast(n_nationkey", "cast(n.n_nationkey"))
+def prj9_scopes(spark, sf_dir):
+    """The channels that each customer may read: their nation's, and of its region those with the view bit."""
+    from parlance.operators.scope import reachable, resolved
+
+    none = F.lit(None).cast("string")
+    key = F.col("n_nationkey").cast("string")
+    channels = read(spark, sf_dir, "nation").select(key.alias("id"), F.lit(0).alias("type"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("guild_id"), F.lit(None).cast("array<string>").alias("recipients"), F.when(F.col("n_nationkey") % 3 == 0, 0).otherwise(1024).cast("long").alias("permissions"))
+    guilds = read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("id"), F.col("r_name").alias("name"))
+    viewers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("viewer"), F.col("c_custkey").cast("string").alias("viewer_id"), F.col("c_nationkey").cast("string").alias("channel_id"))
+    users = viewers.select(F.col("viewer_id").alias("id"), F.col("viewer_id").alias("username"), none.alias("globalName"))
+    return reachable(resolved(viewers, channels, users, guilds), channels, "viewer")
