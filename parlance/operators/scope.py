@@ -57,12 +57,18 @@ def allowed(scope: dict, channels: DataFrame) -> DataFrame:
     return own.unionByName(more.select(F.col("id").alias("channel_id"))).distinct()
 
 
+def with_guild(channels: DataFrame, guilds: DataFrame, guild: str = "guild_id") -> DataFrame:
+    """JOIN6: channels with their guild's name (column ``guild_name``), null where the guild is unknown or none."""
+    own = guilds.select(F.col("id").alias("_guild"), F.col("name").alias("guild_name"))
+    return channels.join(own, F.col(guild) == F.col("_guild"), "left").drop("_guild")
+
+
 def resolved(viewers: DataFrame, channels: DataFrame, users: DataFrame, guilds: DataFrame) -> DataFrame:
     """PRJ9 for many: viewers (viewer_id, channel_id and any others) with their channel's scope, as ``resolve`` has it
     for one, by joins on ids. Viewers of unknown channels have no row; ids of channels, users and guilds are unique."""
     own = channels.select(F.col("id").alias("channelId"), F.col("name").alias("_name"), F.col("type").alias("channelType"), F.col("guild_id").alias("guildId"), F.col("recipients").alias("_recipients"))
     rows = viewers.join(own, F.col("channel_id") == F.col("channelId"))
-    rows = rows.join(guilds.select(F.col("id").alias("_guild"), F.col("name").alias("guildName")), F.col("guildId") == F.col("_guild"), "left")
+    rows = with_guild(rows, guilds, "guildId").withColumnRenamed("guild_name", "guildName")
     rows = rows.withColumns({"isDM": F.coalesce(F.col("channelType") == DM, F.lit(False)), "isGroupDM": F.coalesce(F.col("channelType") == GROUP_DM, F.lit(False)), "isGuild": F.col("guildId").isNotNull()})
     others = F.filter(F.coalesce("_recipients", F.array().cast("array<string>")), lambda x: F.coalesce(x != F.col("viewer_id"), F.lit(True)))
     rows = rows.withColumn("otherUserId", F.when(F.col("isDM") & ~F.col("isGuild"), F.get(others, F.lit(0))))

@@ -892,3 +892,77 @@ def prj9_scopes(spark, sf_dir):
     viewers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("viewer"), F.col("c_custkey").cast("string").alias("viewer_id"), F.col("c_nationkey").cast("string").alias("channel_id"))
     users = viewers.select(F.col("viewer_id").alias("id"), F.col("viewer_id").alias("username"), none.alias("globalName"))
     return reachable(resolved(viewers, channels, users, guilds), channels, "viewer")
+
+
+@query("SELECT r_regionkey AS region, cast(n_nationkey AS varchar) AS id, n_name AS name, cast(n_nationkey % 5 AS integer) AS type FROM nation JOIN region ON r_regionkey = n_regionkey")
+def src8_9_shapes(spark, sf_dir):
+    """Each region's nations as a store's snapshot in JSON, in one of five shapes; all of them in one table."""
+    from parlance.sources.variants import channels_of, parsed
+
+    one = F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), (F.col("n_nationkey") % 5).alias("type"))
+    rows = read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.collect_list(one).alias("x"))
+    wrapped = F.transform("x", lambda c: F.struct(c.alias("channel")))
+    keys = F.transform("x", lambda c: F.concat(F.lit("k"), c["id"]))
+    half = F.array(F.slice("x", 1, 2), F.slice("x", 3, 100))
+    shapes = [F.to_json("x"), F.to_json(wrapped), F.to_json(half), F.to_json(F.map_from_arrays(keys, wrapped)), F.to_json(F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), half))]
+    raw = F.element_at(F.array(*shapes), F.col("region").cast("int") % 5 + 1)
+    return channels_of(parsed(rows.select("region", raw.alias("raw")), "raw"), "raw").select("region", "id", "name", "type")
+
+
+@query("""
+WITH v AS (SELECT user_id % 3 AS channel, user_id AS id, event_id AS t, event_type = 'purchase' AS gone FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t DESC) AS rn FROM v)
+SELECT id, t AS "updatedAt" FROM n WHERE rn = 1 AND NOT gone AND channel = 2""")
+def src10_snk3_store(spark, sf_dir):
+    """All events as saves and deletes of sessions, half of them in a snapshot by channel; one channel's sessions."""
+    from parlance.operators.sessions import SessionStore, append
+    from parlance.sources.schema import SESSION
+
+    none = lambda kind: F.lit(None).cast(kind)
+    own = read(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("id"), F.when(F.col("event_type") != "purchase", (F.col("user_id") % 3).cast("string")).alias("channelId"), F.lit("t").alias("title"), none(SESSION["messages"].dataType).alias("messages"), F.lit(0).cast("long").alias("createdAt"), F.col("event_id").alias("updatedAt"), (F.col("event_type") == "purchase").alias("deleted")
+    )
+    path = own_folder(spark, "sessions")
+    store = SessionStore(spark, path, "sessions_" + path.rsplit("-", 1)[1], buckets=16)
+    middle = own.agg(F.percentile_approx("updatedAt", 0.5)).collect()[0][0]
+    append(own.where(F.col("updatedAt") <= middle), f"{path}/log/epoch=0")
+    store.compact()
+    append(own.where(F.col("updatedAt") > middle), f"{path}/log/epoch=1")
+    return store.for_channel("2").select(F.col("id").cast("long").alias("id"), "updatedAt")
+
+
+@query("SELECT c_custkey AS channel_id, n_name AS guild_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey <> 2")
+def join6_guild_names(spark, sf_dir):
+    from parlance.operators.scope import with_guild
+
+    guilds = read(spark, sf_dir, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    channels = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("channel_id"), F.col("c_nationkey").alias("guild_id"))
+    return with_guild(channels, guilds).select("channel_id", "guild_name")
+
+
+@query("""
+WITH s AS (
+  SELECT cast(c_custkey AS varchar) AS id, c_name AS username, 0 AS p FROM customer WHERE c_nationkey < 5
+  UNION ALL SELECT cast(s_suppkey AS varchar), s_name, 1 FROM supplier
+  UNION ALL SELECT cast(o_custkey AS varchar), min(o_orderpriority), 2 FROM orders GROUP BY o_custkey
+  UNION ALL SELECT cast(user_id AS varchar), 'Member', 3 FROM events GROUP BY user_id)
+SELECT id, username FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY p) = 1""")
+def agg3_four_sources(spark, sf_dir):
+    """The directory out of recipients, authors, members without a user row, and all users."""
+    from parlance.operators.directory import gathered, members
+
+    text = lambda c: F.col(c).cast("string")
+    recipients = read(spark, sf_dir, "customer").where("c_nationkey < 5").select(text("c_custkey").alias("id"), F.col("c_name").alias("username"))
+    authors = read(spark, sf_dir, "supplier").select(text("s_suppkey").alias("id"), F.col("s_name").alias("username"))
+    every = read(spark, sf_dir, "orders").groupBy(text("o_custkey").alias("id")).agg(F.min("o_orderpriority").alias("username"))
+    lost = read(spark, sf_dir, "events").select(text("user_id").alias("user_id"), F.lit(None).cast("string").alias("nick")).distinct()
+    unknown = members(lost, every.where("false"))
+    return gathered(recipients, authors, every, unknown).select("id", "username")
+
+
+@query("SELECT page_id, 'data:text/html;base64,' || base64(encode(html)) AS data_url FROM pages")
+def src13_data_urls(spark, sf_dir):
+    """Pages as binary files, turned into data URLs."""
+    from parlance.sources.tables import data_url
+
+    files = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))
+    return data_url(files, F.lit("text/html")).select(F.col("path").cast("long").alias("page_id"), "data_url")

@@ -309,3 +309,30 @@ def test_settings(spark, tmp_path):
 def test_filters_commute(four):
     a, b = P.LocalFilter(has="file"), P.LocalFilter(author_id="user_2")
     assert ids_of(P.LocalFilter(has="file", author_id="user_2").apply(four)) == ids_of(b.apply(a.apply(four)))
+
+
+def test_data_urls_and_query_strings(spark):
+    files = spark.createDataFrame([("a", bytearray(b"x" * 200)), ("b", bytearray())], "path string, content binary")
+    out = {r["path"]: r["data_url"] for r in tables.data_url(files).collect()}
+    assert out["b"] == "data:image/png;base64," and len(out["a"]) == 22 + 268 and not any(c.isspace() for c in out["a"])
+    assert ids.query_string({"a": "x y&z", "b": None, "c": "", "d": 5, "e": False}) == "a=x+y%26z&d=5&e=False"
+
+
+@pytest.mark.parametrize(
+    ("content", "want"),
+    [
+        (None, []),
+        ("", []),
+        ("a\n\n# b", [("text", "a"), ("blank", ""), ("h1", "b")]),
+        ("x ```py\n# no\n``` y", [("text", "x "), ("code", "# no\n"), ("text", " y")]),
+        ("```one line```", [("blank", ""), ("code", "one line"), ("blank", "")]),
+        ("```\n```", [("blank", ""), ("code", ""), ("blank", "")]),
+        ("a\n```open\n- b", [("text", "a"), ("text", "```open"), ("bullet", "b")]),
+        ("```", [("code", "")]),
+        ("3. c ", [("number", "c ")]),
+        ("```a```b```", [("blank", ""), ("code", "a"), ("text", "b```")]),
+    ],
+)
+def test_blocks(spark, content, want):
+    rows = spark.createDataFrame([(content,)], "c string").select(text.blocks(F.col("c")).alias("b")).collect()[0]["b"]
+    assert [(r["kind"], r["text"]) for r in rows] == want
