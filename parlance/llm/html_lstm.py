@@ -6,8 +6,8 @@ next tag of the page itself, and an open object or template ends with its parent
 hashed words, and a few numbers (length, links, place). A bidirectional LSTM reads all vectors of a page, so each block
 is judged with the whole document as context; blocks that it labels as main text are joined.
 
-The network is trained on pages made here by rule (``training_pages``), with menus, adverts, sidebars, notices, forms
-and comments around articles, whose labels are known; fitting is deterministic, takes seconds, and depends on no table.
+The network is trained on pages made here by rule (``training_pages``), with menus, adverts, sidebars, notices, forms,
+legal lines and comments around articles of paragraphs, lists, tables, terms, figures and code, whose labels are known; fitting is deterministic, takes seconds, and depends on no table.
 
 Defined cases: null or empty html gives an empty text; tags are read as the HTML standard reads them, so a tag, comment or
 quoted value that is never closed reaches to the end of the page; a page of plain text without tags is one block; nested depth and length are not limited; repeated rows are extracted each; other columns
@@ -322,7 +322,7 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, y: np.n
     return out
 
 
-def train(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 14, size: int = 16, rate: float = 0.02, seed: int = 5) -> dict[str, np.ndarray]:
+def train(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 20, size: int = 16, rate: float = 0.02, seed: int = 5) -> dict[str, np.ndarray]:
     """Adam on the log loss of all blocks."""
     rng = np.random.default_rng(seed)
     p = _init(rng)
@@ -351,11 +351,14 @@ _SYLLABLES = "ba ce do fi gu la me no pi ru sa te vo wi zu or en ti an el".split
 _AROUND = [
     ("nav", ""), ("nav", 'class="main-menu"'), ("ul", 'class="menu"'), ("div", 'id="navigation"'), ("div", 'class="breadcrumbs"'), ("header", ""), ("div", 'class="site-header"'), ("footer", ""), ("div", 'id="footer"'), ("aside", ""), ("aside", 'class="sidebar"'), ("div", 'class="sidebar widget"'), ("div", 'class="ad"'), ("div", 'class="ads banner"'), ("div", 'id="advert"'),
     ("div", 'class="sponsored promo"'), ("div", 'class="cookie-notice"'), ("div", 'id="cookie-banner" role="dialog"'), ("div", 'class="notice alert"'), ("div", 'class="newsletter signup"'), ("div", 'class="popup modal"'), ("form", 'action="/search"'), ("form", 'class="subscribe"'), ("div", 'class="social share"'), ("div", 'class="related links"'), ("section", 'class="comments"'), ("div", 'id="comments"'), ("div", 'class="comment reply"'), ("ol", 'class="comment-list"'), ("div", 'class="login form"'), ("div", 'class="legal copyright"'), ("section", 'class="recommended"'),
+    ("section", 'class="kommentare"'), ("div", 'class="commentaires"'), ("div", 'id="comentarios"'), ("div", 'class="werbung"'), ("div", 'class="publicite"'), ("aside", 'class="anuncio"'), ("nav", 'class="navegacion"'),
 ]
+#: What made footers say (fixed words).
+_LEGAL = "copyright rights reserved terms privacy imprint contact all".split()
 _MAIN = [("article", ""), ("main", ""), ("div", 'class="content"'), ("div", 'id="main"'), ("div", 'class="post entry"'), ("article", 'class="post"'), ("div", 'class="article-body text"'), ("section", 'id="content"'), ("div", 'class="story"'), ("div", "")]
 
 
-def training_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[bool]]]:
+def training_pages(n: int = 1200, seed: int = 11) -> list[tuple[str, list[bool]]]:
     """Made pages with the label of each of their blocks."""
     rng = np.random.default_rng(seed)
     pick = lambda x: x[int(rng.integers(len(x)))]
@@ -365,19 +368,46 @@ def training_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[bool]]]
         words[0] = words[0].capitalize()
         return " ".join(words) + pick((".", ".", ".", "!", "?", ""))
 
+    def cell() -> str:
+        return pick((prose(1, 3), prose(1, 6), str(int(rng.integers(1, 3000))), f"{rng.integers(1, 99)}.{rng.integers(10)} %"))
+
+    def grid(label: bool, labels: list[bool]) -> str:
+        """Rows of cells, in one of the ways that tables are written."""
+        rows, columns = int(rng.integers(1, 6)), int(rng.integers(1, 5))
+        labels.extend([label] * (rows * columns))
+        end = rng.random() < 0.7
+        lines = "".join("<tr>" + "".join(f"<{t}>{cell()}{f'</{t}>' * end}" for t in (pick(("td", "td", "td", "th")) for _ in range(columns))) + "</tr>" for _ in range(rows))
+        return f"<table>{lines}</table>" if rng.random() < 0.6 else f"<table><tbody>{lines}</tbody></table>"
+
+    def terms(label: bool, labels: list[bool]) -> str:
+        pairs = int(rng.integers(1, 5))
+        labels.extend([label] * (2 * pairs))
+        return "<dl>" + "".join(f"<dt>{prose(1, 4)}</dt><dd>{prose(1, 25)}</dd>" for _ in range(pairs)) + "</dl>"
+
+    def legal() -> str:
+        words = [pick(("\u00a9", "(c)", "\u00a9 copyright", "copyright")), str(int(rng.integers(1995, 2030))), *(pick(_LEGAL + ["ba", "do"]) for _ in range(int(rng.integers(0, 7))))]
+        return " ".join(words) + pick((".", ""))
+
     out = []
     for _ in range(n):
         labels: list[bool] = []
 
         def around(where=_AROUND, labels=labels) -> str:
             tag, attrs = pick(where)
-            kind = pick(("list", "text", "text", "links", "fields"))
+            kinds = ["list", "text", "text", "text", "links", "links", "fields"]
+            if rng.random() < 0.1:  # a name that says nothing: what stands inside tells
+                attrs, kinds = f'class="{prose(1, 2).strip(".!?").lower()}"', ["list", "links", "links", "legal"]
+            elif rng.random() < 0.15:
+                kinds = ["table", "terms", "legal"]
+            kind = pick(kinds)
             if kind == "list" or tag in ("ul", "ol"):
                 tag_in = tag if tag in ("ul", "ol") else "ul"
                 items = [f"<li>{pick(('<a href=x>%s</a>', '%s', '<p>%s</p>')) % prose(1, 6)}</li>" for _ in range(int(rng.integers(1, 7)))]
                 labels.extend([False] * len(items))
                 inner = "".join(items)
                 return f"<{tag} {attrs}>{inner}</{tag}>" if tag == tag_in else f"<{tag} {attrs}><{tag_in}>{inner}</{tag_in}></{tag}>"
+            if kind in ("table", "terms"):
+                return f"<{tag} {attrs}>{(grid if kind == 'table' else terms)(False, labels)}</{tag}>"
             if kind == "links":
                 labels.append(False)
                 return f"<{tag} {attrs}>" + " | ".join(f"<a href=x>{prose(1, 4)}</a>" for _ in range(int(rng.integers(1, 5)))) + f"</{tag}>"
@@ -385,7 +415,7 @@ def training_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[bool]]]
                 labels.extend([False, False])
                 return f"<{tag} {attrs}><h3>{prose(1, 5)}</h3><p>{prose(2, 30)}</p></{tag}>"
             labels.append(False)
-            return f"<{tag} {attrs}>{prose(1, 40)}</{tag}>"
+            return f"<{tag} {attrs}>{legal() if kind == 'legal' else prose(1, 40)}</{tag}>"
 
         def body(labels=labels) -> str:
             parts = []
@@ -406,10 +436,20 @@ def training_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[bool]]]
                     parts.append(f"<blockquote>{prose(4, 40)}</blockquote>")
                 elif r < 0.26:
                     parts.append(around([x for x in _AROUND if x[1] and x[0] == "div"]))
-                elif r < 0.4:
+                elif r < 0.31:
+                    parts.append(grid(True, labels))
+                elif r < 0.35:
+                    parts.append(terms(True, labels))
+                elif r < 0.38:
                     labels.append(True)
-                    parts.append(f"<p>{prose(1, 4)}</p>")
+                    parts.append(f"<figure><img src=x><figcaption>{prose(1, 15)}</figcaption></figure>")
+                elif r < 0.41:
+                    labels.append(True)
+                    parts.append(f"<pre>{prose(2, 30)}\n  {prose(1, 9)}</pre>")
                 elif r < 0.5:
+                    labels.append(True)
+                    parts.append(f"<p>{prose(1, pick((2, 4)))}</p>")
+                elif r < 0.56:
                     labels.extend([True, True])
                     parts.append(f"<p><b>{prose(3, 30)}<br><p>{prose(5, 60)}</p>")
                 else:
@@ -417,11 +457,20 @@ def training_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[bool]]]
                     parts.append(f"<p>{prose(5, 80)}</p>")
             return "".join(parts)
 
+        if rng.random() < 0.06:  # text without a tag
+            labels.append(True)
+            out.append((prose(1, 120), labels))
+            continue
         page = "".join(around() for _ in range(int(rng.integers(0, 4))))
         tag, attrs = pick(_MAIN)
+        if rng.random() < 0.15:
+            attrs = f'class="{prose(1, 2).strip(".!?").lower()}"'
         page += f"<{tag} {attrs}>{body()}</{tag}>"
         page += "".join(around() for _ in range(int(rng.integers(0, 4))))
-        if rng.random() < 0.3:
+        if rng.random() < 0.15:  # a footer that is not called one
+            labels.append(False)
+            page += f"<{pick(('div', 'p', 'div', 'small'))}>{legal()}"
+        elif rng.random() < 0.3:
             page = f'<div class="wrapper"><div id="page">{page}</div></div>'
         out.append((f"<!DOCTYPE html><html><head><title>x</title></head><body>{page}</body></html>", labels))
     return out

@@ -492,6 +492,26 @@ def test_each_url_feature_decides_on_average():
         assert np.mean(lost) >= 0.005, name
 
 
+_MENU = '<nav class="menu"><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></nav>'
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"{_MENU}<article><h1>Ships of the line</h1><p>The fleet grew slowly, as this table shows.</p><table><tr><th>Year</th><th>Ships</th></tr><tr><td>1950</td><td>120</td></tr></table><p>Afterwards it shrank again.</p></article><footer>Copyright 2024 Acme</footer>", ["Ships of the line", "The fleet grew slowly, as this table shows.", "Year", "Ships", "1950", "120", "Afterwards it shrank again."]),
+        (f"{_MENU}<article><h1>Terms</h1><dl><dt>Port</dt><dd>The left side of a ship, seen from behind.</dd><dt>Bow</dt><dd>Front.</dd></dl></article><footer>Copyright 2024 Acme</footer>", ["Terms", "Port", "The left side of a ship, seen from behind.", "Bow", "Front."]),
+        ("This is a page of plain text without any tags. It has some sentences.", ["This is a page of plain text without any tags. It has some sentences."]),
+        ("hello", ["hello"]),
+        (f"{_MENU}<main><h1>Photo</h1><figure><img src=a><figcaption>A ship at sea</figcaption></figure><pre>x = 1\ny = 2</pre><p>That was the code of the day.</p></main><footer>Copyright</footer>", ["Photo", "A ship at sea", "x = 1 y = 2", "That was the code of the day."]),
+        (f"{_MENU}<article><h1>Photo</h1><p>Some long text stands here, and more of it.</p></article><section class=kommentare><h3>Comments</h3><p>Great article!</p></section><div>\u00a9 2024 Acme. All rights reserved.</div>", ["Photo", "Some long text stands here, and more of it."]),
+        ("<p>First paragraph of a page without a wrapper.</p><p>Second one.</p>", ["First paragraph of a page without a wrapper.", "Second one."]),
+    ],
+)
+def test_main_text_of_hand_written_pages(page, want):
+    """Tables, terms, figures, code, plain text and pages without names, none of them made by the generator."""
+    assert html_lstm.main_texts([page], html_lstm.model()) == ["\n".join(want)]
+
+
 def test_block_labels_on_held_out_pages():
     p = html_lstm.model()
     wrong = total = 0
