@@ -127,7 +127,7 @@ class _Stack:
                     self.parts[part] -= 1
 
     def leaf(self, text: str, linked: int) -> Leaf:
-        return Leaf(text, linked, self.slots > 0, len(self.parts), self.own[-1][-1] if self.own else "")
+        return Leaf(text, linked, self.slots > 0, len(self.parts), self.own[-1][-1] if self.own and self.own[-1] else "")
 
 
 def leaves(page: str) -> list[Leaf]:
@@ -216,7 +216,8 @@ def leaves(page: str) -> list[Leaf]:
             end = _RAW_ENDS[name].search(page, at)
             at = end.end() if end else len(page)
             continue
-        stack.push(name, _path_parts(name, found[3]))
+        # html and body are there on every page, whether written or not
+        stack.push(name, () if name in ("html", "body") else _path_parts(name, found[3]))
     close()
     return out
 
