@@ -183,6 +183,7 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, name: Callable[[J
     if any(len(np.unique(y[x])) < 2 for x in (held, train)):
         return Model(None, ((1, 0), (1, 0)), prior if len(y) else 1.0), [0, 0]
     views = [text, meta]
+    best: tuple[float, list, tuple] = (np.inf, [], ())
     told: list[dict[int, tuple[np.ndarray, float]]] = [{}, {}]  # of each view: its row of a document, and the label
     for turn in range(rounds + 1):
         models = []
@@ -190,18 +191,27 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, name: Callable[[J
             more = list(told[v].values())
             rows = np.concatenate([x[train], np.array([r for r, _ in more]).reshape(-1, x.shape[1])])
             label = np.concatenate([y[train], [k for _, k in more]])
-            weight = np.concatenate([np.ones(len(train)), np.full(len(more), 0.5)])
+            # what was named weighs half as much as the labelled rows at most, however many rounds name it
+            weight = np.concatenate([np.ones(len(train)), np.full(len(more), 0.5 * min(1.0, len(train) / max(len(more), 1)))])
             for k in (0, 1):  # whatever was named, the classes weigh as they do among the labelled rows
                 weight[label == k] *= (y[train] == k).mean() / weight[label == k].sum()
             models.append(logistic(rows, label, weight))
         scales = tuple(_calibrated(m.odds(x[held]), y[held]) for m, x in zip(models, views, strict=True))
-        if turn == rounds:
+        # a round that doesn't serve the held-out rows is not taken, and ends the exchange
+        both = _sigmoid(sum(a * m.odds(x[held]) + b for m, x, (a, b) in zip(models, views, scales, strict=True)) - prior)
+        loss = -float(np.log(np.clip(np.where(y[held] == 1, both, 1 - both), 1e-9, 1)).mean())
+        if loss < best[0]:
+            best = (loss, models, scales)
+        if turn == rounds or loss > best[0]:
             break
         chances = [_sigmoid(a * m.odds(x[held]) + b) for m, x, (a, b) in zip(models, views, scales, strict=True)]
         bars = tuple((bar(1 - p, y[held] == 0), bar(p, y[held] == 1)) for p in chances)
-        found = name(Judges((models[0], models[1]), scales, bars))
+        found = name(Judges((models[0], models[1]), scales, bars, (frozenset(told[1]), frozenset(told[0]))))
+        if not found.ids:  # nobody new: another round would be the same
+            break
         for i, t, m, v, k in zip(found.ids, found.text, found.meta, found.view, found.label, strict=True):
             told[1 - v].setdefault(i, ((m, t)[v], float(k)))  # view 0 is the text
+    _, models, scales = best
     return Model((models[0], models[1]), scales, prior), [len(x) for x in told]
 
 
@@ -212,6 +222,8 @@ class Judges:
     views: tuple[Linear, Linear]
     scales: tuple[tuple[float, float], tuple[float, float]]
     bars: tuple[tuple[float, float], tuple[float, float]]
+    #: Documents that each view has named before; it names them no more.
+    before: tuple[frozenset[int], frozenset[int]] = (frozenset(), frozenset())
 
     def says(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         """Rows x views: 1 or 0 where a view is sure, else -1."""
@@ -219,7 +231,7 @@ class Judges:
         for v, x in enumerate((text, meta)):
             a, b = self.scales[v]
             p = _sigmoid(a * self.views[v].odds(x.astype(np.float64)) + b)
-            out[1 - p >= self.bars[v][0], v] = 0
+            out[(1 - p >= self.bars[v][0]) & (p < 0.5), v] = 0
             out[(p >= self.bars[v][1]) & (p >= 0.5), v] = 1
         return out
 
@@ -277,9 +289,14 @@ def fitted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
         said = stash.put(own.mapInArrow(judged, "doc_id long, by_text byte, by_meta byte").join(good.select("doc_id"), "doc_id", "left_anti"), f"said-{turn}")
         some = []
         for v, column in enumerate(("by_text", "by_meta")):
+            # at most NAMED ids a class and round
+            before = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sorted(judges.before[v])], "doc_id long"))
             for k in (0, 1):
-                some += [(r["doc_id"], v, k) for r in said.where(F.col(column) == k).select("doc_id").distinct().orderBy(*order).limit(NAMED).collect()]
+                fresh = said.where(F.col(column) == k).select("doc_id").distinct().join(before, "doc_id", "left_anti")
+                some += [(r["doc_id"], v, k) for r in fresh.orderBy(*order).limit(NAMED).collect()]
         stash.drop(f"said-{turn}")
+        if not some:
+            return Named([], text[:0], meta[:0], np.zeros(0, int), np.zeros(0, int))
         wanted = docs.sparkSession.createDataFrame([(i,) for i in sorted({i for i, _, _ in some})], "doc_id long").withColumn("y", F.lit(None).cast("double"))
         rows, t, m = read(wanted, 8 * NAMED)
         at = {i: j for j, i in reversed(list(enumerate(rows["doc_id"])))}

@@ -11,7 +11,9 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.llm import cotraining, cube_mixing, cutting_stock, gbt, html_lstm, hyperminhash, multiset_hash, quality_rules, repair_tokens, role_repair, tokens, url_filter, words
 
@@ -50,6 +52,41 @@ def test_word_hashes_tell_words_apart():
     assert len(set(hashes.tolist())) == 5000 and hashes[1] == hashes[-1]
 
 
+def test_what_is_named_by_brute_force(spark, monkeypatch):
+    """In each round and class, of all documents without a label that a view is sure of and has not named before, those
+    of smallest hash; none twice."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rounds = []
+    plain = cotraining.cotrain
+
+    def watched(text, meta, y, name, n):
+        def seen(judges):
+            rounds.append((judges, name(judges)))
+            return rounds[-1][1]
+
+        return plain(text, meta, y, seen, n)
+
+    monkeypatch.setattr(cotraining, "cotrain", watched)
+    monkeypatch.setattr(cotraining, "NAMED", 7)
+    cotraining.fitted(docs, labels)
+    own = cotraining.columns(docs).join(labels.where("quality in (0, 1)").select("doc_id"), "doc_id", "left_anti").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").collect()
+    batch = pa.RecordBatch.from_pylist([{k: r[k] for k in ("doc_id", "text", "source", "lang", "n_chars")} for r in own])
+    text, meta = cotraining._views(batch)
+    named = [set(), set()]
+    assert 2 <= len(rounds) <= cotraining.ROUNDS  # it ends where a round doesn't serve the held-out rows
+    for judges, found in rounds:
+        said = judges.says(text, meta)
+        got = {(v, k): [i for i, a, b in zip(found.ids, found.view, found.label, strict=True) if (a, b) == (v, k)] for v in (0, 1) for k in (0, 1)}
+        for (v, k), ids in got.items():
+            want = list(dict.fromkeys(r["doc_id"] for r, s in zip(own, said[:, v], strict=True) if s == k and r["doc_id"] not in named[v]))[:7]
+            assert ids == want
+        for v in (0, 1):
+            new = set(got[v, 0]) | set(got[v, 1])
+            assert not new & named[v]
+            named[v] |= new
+        assert found.ids
+
+
 def test_trees_are_monotone_and_equal_their_sql():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(800, 3))
