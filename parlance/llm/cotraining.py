@@ -4,9 +4,11 @@ Both views are logistic models. The text view reads hashed byte pairs and a few
 metadata view reads source, language and length columns, never the text. They are fitted on a bounded sample of labelled
 documents (``labelled`` at most, chosen by hashed id), a quarter of which is held out. In each of ``ROUNDS`` rounds both
 views score all documents without a label, in one pass that keeps only ids and scores; of those that a view is sure of,
-``NAMED`` a class (the smallest hashed ids, so of all kinds) become training rows of the other view. How sure a view has
-to be is measured on the held-out rows (``bar``). At the end each view is calibrated on the held-out rows, and the
-calibrated log-odds are added (less the prior, which both hold). All documents are scored in one pass without a shuffle.
+``NAMED`` a class that it has not named before (the smallest hashed ids, so of all kinds) become training rows of the
+other view; together they never weigh more than half of the labelled rows. How sure a view has to be is measured on the
+held-out rows (``bar``). The exchange ends early where nobody is named, or where the held-out rows fare worse; the best
+round's views are taken. Each view is calibrated on the held-out rows, and the calibrated log-odds are added (less the
+prior, which both hold). All documents are scored in one pass without a shuffle.
 
 Defined cases: a null or empty text has a zero text view, null metadata are a value of their own; null ids stay null;
 repeated rows are scored each; without labels of both classes the score is the label share (keep, if there is none).
