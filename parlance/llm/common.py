@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -79,10 +81,18 @@ def size_column(text: str = "text"):
 
 
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Batches in smaller slices, which bounds what a task derives from one at once."""
+    """Batches in smaller slices, which bounds what a task derives from one at once. At the end, what the worker has
+    freed goes back to the system: the worker stays for later tasks and stages."""
     for batch in batches:
         for first in range(0, batch.num_rows, rows):
             yield batch.slice(first, rows)
+    release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
