@@ -6,8 +6,8 @@ documents (``labelled`` at most, chosen by hashed id), a quarter of which is hel
 views score all documents without a label, in one pass that keeps only ids and scores; of those that a view is sure of,
 ``NAMED`` a class that it has not named before (the smallest hashed ids, so of all kinds) become training rows of the
 other view; together they never weigh more than half of the labelled rows. How sure a view has to be is measured on the
-held-out rows (``bar``). The exchange ends early where nobody is named, or where the held-out rows fare worse; the best
-round's views are taken. Each view is calibrated on the held-out rows, and the calibrated log-odds are added (less the
+held-out rows (``bar``). The exchange ends early where nobody is named, or where ``JUDGED`` held-out rows or more fare worse
+after a round, which is then not taken. Each view is calibrated on the held-out rows, and the calibrated log-odds are added (less the
 prior, which both hold). All documents are scored in one pass without a shuffle.
 
 Defined cases: a null or empty text has a zero text view, null metadata are a value of their own; null ids stay null;
@@ -33,6 +33,8 @@ LABELLED = 4000
 ROUNDS = 3
 #: Documents of each class that a view names in a round, at most, and the precision that it should have there.
 NAMED, SURE = 200, 0.95
+#: Held-out rows that a round's loss has to be measured on, at least; with fewer of them every round is taken.
+JUDGED = 30
 #: Held-out rows that a bar has to be measured on, at least.
 MEASURED = 8
 PAIRS, META = 512, 64
@@ -185,7 +187,7 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, name: Callable[[J
     if any(len(np.unique(y[x])) < 2 for x in (held, train)):
         return Model(None, ((1, 0), (1, 0)), prior if len(y) else 1.0), [0, 0]
     views = [text, meta]
-    best: tuple[float, list, tuple] = (np.inf, [], ())
+    taken: tuple = ()
     told: list[dict[int, tuple[np.ndarray, float]]] = [{}, {}]  # of each view: its row of a document, and the label
     for turn in range(rounds + 1):
         models = []
@@ -199,12 +201,13 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, name: Callable[[J
                 weight[label == k] *= (y[train] == k).mean() / weight[label == k].sum()
             models.append(logistic(rows, label, weight))
         scales = tuple(_calibrated(m.odds(x[held]), y[held]) for m, x in zip(models, views, strict=True))
-        # a round that doesn't serve the held-out rows is not taken, and ends the exchange
+        # a round after which the held-out rows fare worse is not taken and ends the exchange, if they are enough to tell
         both = _sigmoid(sum(a * m.odds(x[held]) + b for m, x, (a, b) in zip(models, views, scales, strict=True)) - prior)
-        loss = -float(np.log(np.clip(np.where(y[held] == 1, both, 1 - both), 1e-9, 1)).mean())
-        if loss < best[0]:
-            best = (loss, models, scales)
-        if turn == rounds or loss > best[0]:
+        loss = -np.log(np.clip(np.where(y[held] == 1, both, 1 - both), 1e-9, 1))
+        if taken and len(held) >= JUDGED and loss.mean() > taken[0].mean():
+            break
+        taken = (loss, models, scales)
+        if turn == rounds:
             break
         chances = [_sigmoid(a * m.odds(x[held]) + b) for m, x, (a, b) in zip(models, views, scales, strict=True)]
         bars = tuple((bar(1 - p, y[held] == 0), bar(p, y[held] == 1)) for p in chances)
@@ -213,7 +216,7 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, name: Callable[[J
             break
         for i, t, m, v, k in zip(found.ids, found.text, found.meta, found.view, found.label, strict=True):
             told[1 - v].setdefault(i, ((m, t)[v], float(k)))  # view 0 is the text
-    _, models, scales = best
+    _, models, scales = taken
     return Model((models[0], models[1]), scales, prior), [len(x) for x in told]
 
 
