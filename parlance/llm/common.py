@@ -7,7 +7,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -80,9 +80,23 @@ def size_column(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Batches in smaller slices, which bounds what a task derives from one at once. At the end, what the worker has
-    freed goes back to the system: the worker stays for later tasks and stages."""
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep(name: str, drop: Callable[[], None]) -> None:
+    """Has a worker keep what ``drop`` would drop, for as long as its tasks name it (``parts``)."""
+    _KEPT[name] = drop
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024, keeps: str = "") -> Iterator[pa.RecordBatch]:
+    """Batches in smaller slices, which bounds what a task derives from one at once. What earlier tasks kept under another
+    name than ``keeps`` is dropped first. At the end, what the worker has freed goes back to the system: the worker stays
+    for later tasks and stages."""
+    others = [x for x in _KEPT if x != keeps]
+    for name in others:
+        _KEPT.pop(name)()
+    if others:
+        release()
     for batch in batches:
         for first in range(0, batch.num_rows, rows):
             yield batch.slice(first, rows)

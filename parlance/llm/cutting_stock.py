@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, c
     path = path or tokens.default_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
+        for batch in parts(batches, keeps="tokens"):
             own, rows = [], []
             for i, ids in enumerate(tokens.encode(texts(batch, "text"), path, cache)):
                 ids += _END

@@ -279,7 +279,7 @@ def write(docs: DataFrame, stash: Stash, name: str = "blocks", path: str | None
             return out
 
         shard = None
-        for batch in parts(batches):
+        for batch in parts(batches, keeps="tokens"):
             if batch.num_rows:
                 shard = batch.column(2)[0].as_py()
             for i, ids in zip(batch.column(0).to_pylist(), tokens.encode(texts(batch, "text"), path), strict=True):

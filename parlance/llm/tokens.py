@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public tokenizer, with a bounded cache of words.
 
 The tokenizer drops white space and never joins across it, so a text's ids are those of its words, one after another.
-Each Python worker keeps the ids of the first ``CACHE`` words it meets; other words are encoded once a batch.
+Each Python worker keeps the ids of the first ``CACHE`` words it meets; other words are encoded once a batch. A task of
+another operator drops them (``common.keep``).
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import re
 
 import numpy as np
 
+from parlance.llm.common import keep
+
 #: Words that a worker keeps at most (about 230 bytes each).
 CACHE = 900_000
 END = 2
@@ -91,6 +94,7 @@ def encode(texts: list[bytes], path: str, cache: int = CACHE) -> list[bytes]:
     """Little-endian 32-bit ids of each text, without an end id; a worker learns no more words than ``cache``."""
     if path not in _HELD:
         _HELD[path] = _Held(path)
+    keep("tokens", _HELD.clear)
     held = _HELD[path]
     known = held.words
     out: list[bytes] = []

@@ -16,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parlance.llm import cotraining, cube_mixing, cutting_stock, gbt, html_lstm, hyperminhash, multiset_hash, quality_rules, repair_tokens, role_repair, tokens, url_filter, words
+from parlance.llm.common import parts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DATA = "/root/testdata/sf0.001"
@@ -334,6 +335,15 @@ def test_tokens_equal_the_library():
         assert np.frombuffer(raw, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_a_task_of_another_operator_drops_kept_words():
+    path = tokens.default_path()
+    batch = pa.RecordBatch.from_pydict({"x": [1]})
+    tokens.encode([b"some words"], path)
+    assert list(parts(iter([batch]), keeps="tokens")) == [batch] and tokens._HELD[path].words
+    assert list(parts(iter([batch]))) == [batch] and not tokens._HELD
+    assert tokens.encode([b"some"], path)[0] and tokens._HELD
+
+
 def test_grammar_round_trip():
     rng = np.random.default_rng(5)
     docs = [np.append(rng.zipf(1.3, int(n)) % 500 + 3, 2).astype("<u4").tobytes() for n in rng.integers(0, 4000, 60)]
