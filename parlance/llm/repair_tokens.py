@@ -91,13 +91,18 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
             _, slot = np.unique(key, return_inverse=True)
         else:
             turn += 1  # other buckets each round
-            slot = ((key * np.int64((_ODD * (2 * turn + 1) + (1 << 63)) % (1 << 64) - (1 << 63))) >> 40) & ((1 << max(10, len(key).bit_length())) - 1)
+            factor, most = np.int64((_ODD * (2 * turn + 1) + (1 << 63)) % (1 << 64) - (1 << 63)), 1 << max(10, len(key).bit_length())
+            slot = ((key * factor) >> 40) & (most - 1)
         often = np.bincount(slot[~odd], minlength=int(slot.max()) + 1)[slot]
         often[odd] = 0
         rare = np.flatnonzero((often < least) & ~odd)
-        old = find(key[rare]) >= 0
-        often[rare[old]] = least  # a rule that is there already costs nothing more
-        rare = rare[~old]
+        old = rare
+        if not exact:  # only where the bucket has a pair with a rule can there be one
+            ruled = np.zeros(most, bool)
+            ruled[((known * factor) >> 40) & (most - 1)] = True
+            old = rare[ruled[slot[rare]]]
+        often[old[find(key[old]) >= 0]] = least  # a rule that is there already costs nothing more
+        rare = rare[often[rare] < least]
         right = beside & ((often[:-1] < often[1:]) | (often[:-1] == often[1:]) & (key[:-1] < key[1:]))
         left = beside & ~right
         best = often >= least

@@ -1,28 +1,38 @@
 """Token ids of whole texts by a public tokenizer, with a bounded cache of words.
 
-The tokenizer drops white space and never joins across it, so a text's ids are those of its words, one after another.
-Each Python worker keeps the ids of the first ``CACHE`` words it meets; other words are encoded once a batch. A task of
-another operator drops them (``common.keep``).
+The tokenizer drops white space and never joins across it, so a text's ids are those of its words, one after another; it
+also cuts between a letter and marks after it. Words are cut on bytes, the distinct ones of a chunk are looked up once,
+and their ids are laid out for all places at once. Each Python worker keeps the ids of the first ``CACHE`` words it meets;
+other words are encoded once a chunk. A task of another operator drops them (``common.keep``).
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 
 from parlance.llm.common import keep
+from parlance.llm.words import SPACE
 
 #: Words that a worker keeps at most (about 230 bytes each).
 CACHE = 900_000
 END = 2
-#: ASCII characters that the tokenizer cuts off from letters before them, as one run.
-_MARKS = b".,!?;:*#%$&|"
-#: A full stop or comma between a letter and white space is a piece of its own.
-_CUT = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+#: Bytes of text that are looked up at once; one longer text makes a longer chunk of its own.
+CHUNK = 4 << 20
+#: ASCII characters that the tokenizer cuts off from letters before them, as one run; longer runs than ``RUN`` aren't cut off.
+_MARKS, RUN = b".,!?;:*#%$&|", 8
+_IS_MARK = np.zeros(256, bool)
+_IS_MARK[list(_MARKS)] = True
 #: Letters that are lower case and composed already, in UTF-8 (U+00DF to U+00FF without the division sign).
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_IS_AZ, _IS_SECOND = np.zeros(256, bool), np.zeros(256, bool)
+_IS_AZ[97:123] = True
+_IS_SECOND[[*range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = True
 
 
 class _Held:
@@ -58,25 +68,12 @@ class _Held:
     def alone(self, words: list[bytes]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.full.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
-    def learn(self, new: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that aren't kept yet."""
-        known = self.words
-        split, odd, need, plain = [], [], set(), _PLAIN.fullmatch
+    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct words."""
+        plain, odd = [], []
         for w in new:
-            core = w.rstrip(_MARKS)
-            if not core or plain(core):
-                marks = w[len(core) :]
-                split.append((w, core, marks))
-                if core not in known:
-                    need.add(core)
-                if marks not in known:
-                    need.add(marks)
-            else:
-                odd.append(w)
-        order = list(need)
-        own = dict(zip(order, self.pieces(order), strict=True))
-        get = lambda x: own[x] if x in own else known[x]
-        out = {w: get(core) + get(marks) for w, core, marks in split}
+            (plain if _PLAIN.fullmatch(w) or not w.strip(_MARKS) else odd).append(w)
+        out = dict(zip(plain, self.pieces(plain), strict=True))
         out.update(zip(odd, self.alone(odd), strict=True))
         return out
 
@@ -90,29 +87,63 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _cut(raw: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in bytes that end in white space; marks after a plain letter are words of their own."""
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edges = np.concatenate([[0], edges])
+    starts, stops = edges[::2], edges[1::2]
+    own = _IS_MARK[raw[stops - 1]]
+    first, at = starts[own], stops[own] - 1
+    for _ in range(RUN):
+        more = _IS_MARK[raw[at - 1]] & (at > first)
+        if not more.any():
+            break
+        at = at - more
+    letter = _IS_AZ[raw[at - 1]] | _IS_SECOND[raw[at - 1]] & (raw[at - 2] == 0xC3)
+    at = at[letter & (at > first)]
+    return np.sort(np.concatenate([starts, at]), kind="stable"), np.sort(np.concatenate([stops, at]), kind="stable")
+
+
+def _encoded(held: _Held, own: list[bytes], cache: int) -> Iterable[bytes]:
+    # the tokenizer lower-cases too, but finds its special tokens before it does
+    raw = np.frombuffer(b"\n".join([x if b"|>" in x else x.lower() for x in own]) + b"\n", np.uint8)
+    space = SPACE[raw]
+    starts, stops = _cut(raw, space)
+    offsets = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int32)
+    coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[~space])]).dictionary_encode()
+    which = coded.indices.to_numpy()
+    _, bounds, letters = coded.dictionary.buffers()
+    bounds, letters = np.frombuffer(bounds, np.int32, len(coded.dictionary) + 1).tolist(), bytes(letters or b"")
+    words = [letters[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    known = held.words
+    ids = list(map(known.get, words))
+    new = [w for w, x in zip(words, ids, strict=True) if x is None]
+    if new:
+        extra = held.learn(new)
+        known.update(islice(extra.items(), max(0, cache - len(known))))
+        ids = [extra[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+    count = size[which]
+    before = np.concatenate([[0], np.cumsum(count)])
+    place = np.repeat((np.cumsum(size) - size)[which] - before[:-1], count)
+    place += np.arange(len(place))
+    flat = np.frombuffer(b"".join(ids), "<u4")[place].tobytes()
+    ends = (before[np.searchsorted(starts, np.cumsum([len(x) + 1 for x in own]))] * 4).tolist()
+    return (flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True))
+
+
 def encode(texts: list[bytes], path: str, cache: int = CACHE) -> list[bytes]:
     """Little-endian 32-bit ids of each text, without an end id; a worker learns no more words than ``cache``."""
     if path not in _HELD:
         _HELD[path] = _Held(path)
     keep("tokens", _HELD.clear)
     held = _HELD[path]
-    known = held.words
     out: list[bytes] = []
     first, size = 0, 0
     for last, text in enumerate(texts):
         size += len(text)
-        if size >= 1 << 20 or last == len(texts) - 1:
-            # the tokenizer lower-cases too, but finds its special tokens before it does
-            split = [(x if b"|>" in x else _CUT.sub(rb" \1", x.lower())).split() for x in texts[first : last + 1]]
-            ids = [list(map(known.get, words)) for words in split]
-            new = {w for words, found in zip(split, ids, strict=True) if None in found for w, x in zip(words, found, strict=True) if x is None}
-            if new:
-                extra = held.learn(new)
-                if len(known) < cache:
-                    known.update(extra)
-                for words, found in zip(split, ids, strict=True):
-                    if None in found:
-                        found[:] = [extra[w] if x is None else x for w, x in zip(words, found, strict=True)]
-            out += map(b"".join, ids)
+        if size >= CHUNK or last == len(texts) - 1:
+            out += _encoded(held, texts[first : last + 1], cache)
             first, size = last + 1, 0
     return out

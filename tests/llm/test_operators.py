@@ -335,6 +335,22 @@ def test_tokens_equal_the_library():
         assert np.frombuffer(raw, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_tokens_are_looked_up_once_a_chunk(monkeypatch):
+    path = tokens.default_path()
+    tokens.encode([b""], path)
+    held = tokens._HELD[path]
+    asked = []
+    alone, pieces = held.alone, held.pieces
+    monkeypatch.setattr(held, "alone", lambda words: asked.extend(words) or alone(words))
+    monkeypatch.setattr(held, "pieces", lambda words: asked.extend(words) or pieces(words))
+    monkeypatch.setattr(held, "words", {})
+    own = ["qwxa, qwxa! qwxa.. qwxa", "Qwxa? qwxa\tqwxa. \n" * 9, "qwx\xe9; qwx\xe9", "5. qwx-a. " + "qwxa" + "*" * 40]
+    for text, raw in zip(own, tokens.encode([x.encode() for x in own], path, 3), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == held.full.encode(text, add_special_tokens=False).ids
+    assert len(asked) == len(set(asked)) and asked.count(b"qwxa") == 1 and not {b"qwxa,", b"qwxa!", b"qwxa.."} & set(asked)
+    assert len(held.words) == 3
+
+
 def test_a_task_of_another_operator_drops_kept_words():
     path = tokens.default_path()
     batch = pa.RecordBatch.from_pydict({"x": [1]})
