@@ -19,11 +19,14 @@ A row that is added again replaces the one of its key in earlier segments. Rows
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from parlance.operators.predicates import keyword
 
@@ -33,6 +36,8 @@ BUCKET, PARTS, GRAMS = 1 << 16, 32, 4
 FETCH, RANGES = 4096, 200
 #: Bytes of text that a page of rows is meant to hold, and lists in a page of postings.
 PAGE, LISTS = 4096, 16
+#: Bytes of text whose lists are made at once; one longer text makes a longer chunk of its own.
+CHUNK = 4 << 20
 #: What keeps lookups small: no dictionaries, which are read as a whole; keys as differences; short bounds of pages;
 #: pages that are cut as soon as they are full.
 _LAYOUT = {"parquet.enable.dictionary": "false", "parquet.writer.version": "PARQUET_2_0", "parquet.columnindex.truncate.length": "8", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "16", "parquet.block.size": str(32 << 20)}
@@ -51,10 +56,42 @@ def grams_of(text: str) -> list[str]:
     return list(dict.fromkeys(text[i : i + 3] for i in range(len(text) - 2)))
 
 
-def _grams(chars: Column) -> Column:
-    """The distinct runs of three characters of a text that ends in marks, given its characters."""
-    at = lambda i: F.coalesce(F.get(chars, i), F.lit(""))
-    return F.array_distinct(F.filter(F.transform(chars, lambda c, i: F.concat(c, at(i + 1), at(i + 2))), lambda g: F.char_length(g) == 3))
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys by gram and bucket of a few rows at a time (key, bucket, text): each key once a row's distinct gram."""
+    for batch in batches:
+        column = batch.column(2).cast(pa.large_binary())
+        size = np.diff(np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)) if len(column) else np.zeros(0, np.int64)
+        group = np.cumsum(size) // CHUNK
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(size)]]).tolist()
+        for first, last in zip(edges[:-1], edges[1:], strict=True):
+            if first < last:
+                yield _listed(batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first).to_numpy(), column.slice(first, last - first))
+
+
+def _listed(keys: pa.Array, bucket: np.ndarray, column: pa.Array) -> pa.RecordBatch:
+    order = np.argsort(bucket, kind="stable")
+    own = [x.decode("utf-8", "replace") for x in column.take(pa.array(order)).to_pylist()]
+    chars = np.frombuffer("".join(own).encode("utf-32-le"), "<u4")
+    row = np.repeat(np.arange(len(own)), np.array([len(x) for x in own], np.int64))
+    used = np.zeros(0x110000, bool)
+    used[chars] = True
+    letters = np.flatnonzero(used)
+    rank = (np.cumsum(used) - 1)[chars]  # numbers of characters, so that a gram and a row fit into 64 bits
+    base = max(1, len(letters))
+    gram = ((rank[:-2] * base + rank[1:-1]) * base + rank[2:])[row[:-2] == row[2:]]
+    row = row[:-2][row[:-2] == row[2:]]
+    kinds = None
+    if base**3 * len(own) >= 1 << 62:
+        kinds, gram = np.unique(gram, return_inverse=True)
+    gram, row = np.divmod(np.unique(gram * len(own) + row), len(own))
+    at = bucket[order][row]
+    begins = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (at[1:] != at[:-1])])) if len(gram) else np.zeros(0, np.int64)
+    number, which = np.unique(gram[begins], return_inverse=True)
+    number = number if kinds is None else kinds[number]
+    spelled = letters[np.stack([number // (base * base), number // base % base, number % base], 1)].astype("<u4").tobytes().decode("utf-32-le")
+    grams = pa.array([spelled[i : i + 3] for i in range(0, len(spelled), 3)], pa.string())
+    lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(gram)), pa.int32()), keys.take(pa.array(order[row])))
+    return pa.RecordBatch.from_arrays([grams.take(pa.array(which)), pa.array(at[begins], pa.int32()), lists], ["gram", "bucket", "keys"])
 
 
 class TextIndex:
@@ -84,8 +121,9 @@ class TextIndex:
         ordered = own.repartitionByRange(width, self.key).sortWithinPartitions(self.key)
         ordered.write.options(**_LAYOUT).option("parquet.page.row.count.limit", page).mode("overwrite").parquet(f"{self.path}/rows/segment={number}")
         bucket = F.pmod(F.xxhash64(self.key), F.lit(buckets)).cast("int")
-        found = own.select(F.col(self.key).alias(_KEY), bucket.alias("bucket"), F.split(text, "").alias("chars")).select(_KEY, "bucket", F.explode(_grams(F.col("chars"))).alias("gram"))
-        lists = found.groupBy("gram", "bucket").agg(F.sort_array(F.collect_set(_KEY)).alias("keys"))
+        found = own.select(F.col(self.key).alias(_KEY), bucket.alias("bucket"), text.alias("text"))
+        some = found.mapInArrow(_lists, StructType([StructField("gram", StringType()), StructField("bucket", IntegerType()), StructField("keys", ArrayType(found.schema[_KEY].dataType))]))
+        lists = some.groupBy("gram", "bucket").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("keys"))
         lists = lists.select("gram", "bucket", F.size("keys").cast("long").alias("n"), "keys", F.pmod(F.xxhash64("gram"), F.lit(PARTS)).cast("int").alias("part"))
         lists = lists.repartition("part").sortWithinPartitions("part", "gram", "bucket")
         lists.write.options(**_LAYOUT).option("parquet.page.row.count.limit", LISTS).mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings/segment={number}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,27 @@ def test_many_rows_are_joined_and_buckets_meet(spark, tmp_path, monkeypatch):
     assert lists.agg(F.max("n")).collect()[0][0] < 50 and lists.select("bucket").distinct().count() == 19
 
 
+def test_lists_are_made_before_the_shuffle(spark, tmp_path, monkeypatch):
+    """Lists of a chunk hold each key once a gram, as spelled out row by row; rows of one gram meet in lists, not as rows."""
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("aÄ日😀\n\x00") for _ in range(rng.randrange(0, 60)))) for i in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([i * 7 % 5 for i, _ in rows], pa.int32()), pa.array([t + "\x00\x00" for _, t in rows])], ["k", "b", "t"])
+    want = {}
+    for i, t in rows:
+        for g in {(t + "\x00\x00")[j : j + 3] for j in range(len(t))}:
+            want.setdefault((g, i * 7 % 5), set()).add(i)
+    for size in (4 << 20, 700, 1):
+        monkeypatch.setattr(index_module, "CHUNK", size)
+        got, n = {}, 0
+        for out in index_module._lists(iter([batch.slice(0, 200), batch.slice(200)])):
+            for r in out.to_pylist():
+                own = got.setdefault((r["gram"], r["bucket"]), set())
+                assert len(set(r["keys"])) == len(r["keys"]) and not own & set(r["keys"])
+                own.update(r["keys"])
+                n += 1
+        assert got == want and (size < 1000 or n < sum(map(len, want.values())) / 2)
+
+
 def test_keys_as_text(spark, tmp_path):
     df = spark.createDataFrame([(f"k{i}", f"text {i}") for i in range(30)], "id string, text string")
     own = TextIndex(spark, str(tmp_path / "i"), "id", lambda: [F.col("text")], lambda q: contains(F.col("text"), q))
