@@ -60,8 +60,9 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     gone[-1] = True
     last[np.append(np.cumsum(lengths) - 1, len(seq) - 1)] = True
     live = ~last  # where a pair begins that may be frequent
-    rules = np.zeros(0, np.int64)  # pairs as one number each
-    known, number = rules, rules  # the same in order, and which rule each is
+    place = np.flatnonzero(live)
+    rules: list[np.ndarray] = []  # pairs as one number each
+    known, number = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the same in order, and which rule each is
     exact, turn = False, 0
 
     def find(keys: np.ndarray) -> np.ndarray:
@@ -71,50 +72,61 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         return np.where(known[at] == keys, number[at], -1)
 
-    while True:
-        made = len(rules)
+    while len(place):
+        made = len(known)
         least = least_count(base + made)
-        place = np.flatnonzero(live)
-        if not len(place):
-            break
         follower = after[place]
-        key = (seq[place] << 32) | seq[follower]
+        key = seq[place]
+        key <<= 32
+        key |= seq[follower]
         beside = place[1:] == follower[:-1]
         # in a run of one symbol every other pair counts, from the left
-        same = np.concatenate([[False], beside & (key[1:] == key[:-1])])
-        if same.any():
-            begins = np.flatnonzero(~same)
-            odd = ((np.arange(len(key)) - begins[np.cumsum(~same) - 1]) & 1).astype(bool)
-        else:
-            odd = same
+        odd = np.flatnonzero(beside & (key[1:] == key[:-1])) + 1
+        if len(odd):
+            begins = np.flatnonzero(np.diff(odd, prepend=-1) != 1)
+            odd = odd[(np.arange(len(odd)) - np.repeat(begins, np.diff(begins, append=len(odd)))) & 1 == 0]
         if exact:
             _, slot = np.unique(key, return_inverse=True)
+            most = int(slot.max()) + 1
         else:
             turn += 1  # other buckets each round
             factor, most = np.int64((_ODD * (2 * turn + 1) + (1 << 63)) % (1 << 64) - (1 << 63)), 1 << max(10, len(key).bit_length())
-            slot = ((key * factor) >> 40) & (most - 1)
-        often = np.bincount(slot[~odd], minlength=int(slot.max()) + 1)[slot]
+            slot = key * factor
+            slot >>= 40
+            slot &= most - 1
+        counts = np.bincount(slot, minlength=most).astype(np.int32)
+        np.subtract.at(counts, slot[odd], 1)
+        often = counts[slot]
+        low = often < least
+        low[odd] = False
         often[odd] = 0
-        rare = np.flatnonzero((often < least) & ~odd)
+        rare = np.flatnonzero(low)
         old = rare
         if not exact:  # only where the bucket has a pair with a rule can there be one
             ruled = np.zeros(most, bool)
             ruled[((known * factor) >> 40) & (most - 1)] = True
             old = rare[ruled[slot[rare]]]
-        often[old[find(key[old]) >= 0]] = least  # a rule that is there already costs nothing more
-        rare = rare[often[rare] < least]
+        old = old[find(key[old]) >= 0]
+        often[old] = least  # a rule that is there already costs nothing more
+        low[old] = False
+        rare = np.flatnonzero(low)
         right = beside & ((often[:-1] < often[1:]) | (often[:-1] == often[1:]) & (key[:-1] < key[1:]))
-        left = beside & ~right
         best = often >= least
         best[:-1] &= ~right
-        best[1:] &= ~left
+        best[1:] &= right | ~beside
         # one pair of each slot has its turn; others of the same bucket wait for the next round
-        at, slot = place[best], slot[best]
-        pair_of = np.zeros(len(often) if exact else int(slot.max(initial=0)) + 1, np.int64)
-        pair_of[slot] = key[best]
-        own = pair_of[slot] == key[best]
+        hot = counts >= least
+        hot[slot[old]] = True
+        hot = np.flatnonzero(hot)
+        narrow = np.zeros(most, np.int32)
+        narrow[hot] = np.arange(len(hot))
+        best = np.flatnonzero(best)
+        at, slot, key = place[best], narrow[slot[best]], key[best]
+        pair_of = np.zeros(len(hot), np.int64)
+        pair_of[slot] = key
+        own = np.flatnonzero(pair_of[slot] == key)
         at, slot = at[own], slot[own]
-        times = np.bincount(slot, minlength=len(pair_of))
+        times = np.bincount(slot, minlength=len(hot))
         used = np.flatnonzero(times)
         pairs, times = pair_of[used], times[used]
         had = find(pairs)
@@ -128,7 +140,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         new = pays & (had < 0)
         had[new] = made + np.arange(new.sum())
         had[~pays] = -1
-        symbol = np.full(len(pair_of), -1)
+        symbol = np.full(len(hot), -1)
         symbol[used] = had
         rule = symbol[slot]
         kept = rule >= 0
@@ -141,10 +153,18 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         live[at] = ~last[at]
         earlier = before[at]
         live[earlier] = ~last[earlier]  # before the first place stands the last one, which is an end
+        if len(place) * 8 > len(seq):
+            place = np.flatnonzero(live)
+        else:  # few places are put in order faster than all are looked through
+            place = np.sort(np.concatenate([place[live[place]], earlier[live[earlier]]]))
+            place = place[np.diff(place, prepend=-1) != 0]
         if new.any():
-            rules = np.concatenate([rules, pairs[new]])
-            number = np.argsort(rules)
-            known = rules[number]
+            pairs = pairs[new]
+            rules.append(pairs)
+            order = np.argsort(pairs)
+            into = np.searchsorted(known, pairs[order])
+            known, number = np.insert(known, into, pairs[order]), np.insert(number, into, made + order)
+    rules = np.concatenate([np.zeros(0, np.int64), *rules])
     seq, ends = seq[~gone], np.flatnonzero(last[~gone]) + 1
     return seq, np.diff(ends, prepend=0), np.stack([rules >> 32, rules & 0xFFFFFFFF], 1), base
 
@@ -188,29 +208,28 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int, wide: np.ndarray |
             out[at[deep]], out[at[deep] + 1] = own[:, 0], own[:, 1]
             symbols = out
         return symbols
-    # every rule once, those that stand for fewest ids first; then all symbols by one lookup
-    first = np.concatenate([[0], np.cumsum(wide)])
-    flat = np.zeros(first[-1], np.int64)
+    if not len(rules):
+        return symbols
+    # every rule once, those that stand for fewest ids first, laid out in that order; then all symbols by one lookup
     order = np.argsort(wide, kind="stable")
-    ends = np.append(np.flatnonzero(np.diff(wide[order])) + 1, len(order))
+    ends = np.cumsum(wide[order])
+    first = np.empty(len(wide), np.int64)
+    first[order] = ends - wide[order]
+    flat = np.zeros(ends[-1], np.int64)
+
+    def spelled(symbols: np.ndarray) -> np.ndarray:
+        deep = symbols >= base
+        rule = np.where(deep, symbols - base, 0)
+        n = np.where(deep, wide[rule], 1)
+        out = flat[_runs(first[rule], n)]
+        out[(np.cumsum(n) - n)[~deep]] = symbols[~deep]
+        return out
+
     begin = 0
-    for end in ends.tolist() if len(order) else []:
-        level = order[begin:end]
+    for end in [*(np.flatnonzero(np.diff(wide[order])) + 1).tolist(), len(order)]:
+        flat[first[order[begin]] : ends[end - 1]] = spelled(rules[order[begin:end]].ravel())
         begin = end
-        left, right = rules[level, 0], rules[level, 1]
-        at = first[level]
-        for part in (left, right):
-            n = np.where(part < base, 1, wide[np.maximum(part - base, 0)])
-            source = np.where(part < base, -1, first[np.maximum(part - base, 0)])
-            into, out = _runs(at, n), _runs(np.maximum(source, 0), n)
-            flat[into] = np.where(np.repeat(source, n) < 0, np.repeat(part, n), flat[out])
-            at = at + n
-    n = np.where(symbols < base, 1, wide[np.maximum(symbols - base, 0)] if len(wide) else 1)
-    plain = np.repeat(symbols < base, n)
-    out = np.repeat(symbols, n)
-    deep = symbols >= base
-    out[~plain] = flat[_runs(first[symbols[deep] - base], n[deep])]
-    return out
+    return spelled(symbols)
 
 
 def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable
 from itertools import islice
 
@@ -30,52 +31,39 @@ _IS_MARK = np.zeros(256, bool)
 _IS_MARK[list(_MARKS)] = True
 #: Letters that are lower case and composed already, in UTF-8 (U+00DF to U+00FF without the division sign).
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: How the tokenizer's vocabulary spells the bytes of those letters that are no ASCII.
+_SPELLED = {b: chr(b) for b in range(0x80, 0x100)} | {b: chr(0x122 + b - 0x80) for b in range(0x80, 0xA1)} | {0xAD: chr(0x143)}
 _IS_AZ, _IS_SECOND = np.zeros(256, bool), np.zeros(256, bool)
 _IS_AZ[97:123] = True
 _IS_SECOND[[*range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = True
 
 
 class _Held:
-    """A tokenizer, its words so far, and its plain form for words that need no normalisation."""
+    """A tokenizer, its model for words that need neither normalisation nor cutting, and its words so far."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.full.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.model = self.full.model
         self.words: dict[bytes, bytes] = {b"": b""}
 
     def pieces(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words that are one piece each: plain letters, or marks only. Their last id alone closes a word."""
-        out: list[bytes] = []
-        for i in range(0, len(words), 4000):
-            own = words[i : i + 4000]
-            ids = np.asarray(self.plain.encode_batch_fast([b" ".join(own).decode()], add_special_tokens=False)[0].ids, "<u4")
-            at = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(at) == len(own):
-                raw, stops = ids.tobytes(), at.tolist()
-                out += [raw[x:y] for x, y in zip([0, *stops[:-1]], stops, strict=True)]
-            else:
-                out += self.alone(own)
-        return out
+        """Ids of words that are one piece each: plain letters, or marks only. The library's model takes them as they are."""
+        tokenize = self.model.tokenize
+        spelled = [w.decode() if w.isascii() else w.decode("latin-1").translate(_SPELLED) for w in words]
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in spelled]
 
     def alone(self, words: list[bytes]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.full.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
-    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+    def learn(self, new: list[bytes]) -> list[bytes]:
         """Ids of distinct words."""
-        plain, odd = [], []
-        for w in new:
-            (plain if _PLAIN.fullmatch(w) or not w.strip(_MARKS) else odd).append(w)
-        out = dict(zip(plain, self.pieces(plain), strict=True))
-        out.update(zip(odd, self.alone(odd), strict=True))
-        return out
+        plain = [w.isalpha() and w.islower() or _PLAIN.fullmatch(w) is not None or not w.strip(_MARKS) for w in new]
+        pieces = iter(self.pieces([w for w, own in zip(new, plain, strict=True) if own]))
+        alone = iter(self.alone([w for w, own in zip(new, plain, strict=True) if not own]))
+        return [next(pieces if own else alone) for own in plain]
 
 
 _HELD: dict[str, _Held] = {}
@@ -118,11 +106,13 @@ def _encoded(held: _Held, own: list[bytes], cache: int) -> Iterable[bytes]:
     words = [letters[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     known = held.words
     ids = list(map(known.get, words))
-    new = [w for w, x in zip(words, ids, strict=True) if x is None]
-    if new:
-        extra = held.learn(new)
-        known.update(islice(extra.items(), max(0, cache - len(known))))
-        ids = [extra[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+    missing = [k for k, x in enumerate(ids) if x is None]
+    if missing:
+        new = [words[k] for k in missing]
+        found = held.learn(new)
+        known.update(islice(zip(new, found, strict=True), max(0, cache - len(known))))
+        for k, x in zip(missing, found, strict=True):
+            ids[k] = x
     size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
     count = size[which]
     before = np.concatenate([[0], np.cumsum(count)])
